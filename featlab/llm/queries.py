@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlab.llm import exact_dedup, quality, simhash
-from featlab.llm.common import table
+from featlab.llm import binary_output, exact_dedup, packing, pii, quality, simhash
+from featlab.llm.common import scratch, table
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_first_fit(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrices are written, then read back: a row for each sequence with digests of what the files hold."""
+    path = scratch(spark, "matrices")
+    binary_output.write_packed(binary_output.packed_rows(table(spark, sf_dir, "documents")), path)
+    rows = spark.read.parquet(path)
+    used = F.element_at("cu_seqlens", -1).cast("long")
+    return rows.select("sequence_id", used.alias("n_ids"), F.size("doc_ids").cast("long").alias("n_segments"), "cu_seqlens", "doc_ids", "starts", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -34,6 +51,9 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(norm) AS text_sha256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_binary_output": op9_binary_output,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
