@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlab.llm import binary_output, exact_dedup, packing, pii, quality, simhash
+from featlab.llm import binary_output, exact_dedup, packing, pii, quality, rotation_codes, simhash
 from featlab.llm.common import scratch, table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(norm) AS text_sha256
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
