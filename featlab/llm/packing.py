@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.tokens import encoder
+from featlab.llm.tokens import batches_of, encoder
 
 LENGTH, END, GROUP_DOCS = 4096, 2, 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -97,9 +97,10 @@ def tokenised(docs: DataFrame, kind: str, name: str, end: int | None, id_col: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(kind, name)
         for rows in batches:
-            for k in range(0, len(rows), 1000):
-                part = rows[k : k + 1000]
-                yield pd.DataFrame({"id": part["id"].astype("Int64"), "grp": part["grp"], "ids": [own.encode(t or "") + tail for t in part["text"]]})
+            texts = [t or "" for t in rows["text"]]
+            for k in batches_of(texts):
+                part = rows[k]
+                yield pd.DataFrame({"id": part["id"].astype("Int64"), "grp": part["grp"], "ids": [x + tail for x in own.encode_batch(texts[k])]})
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.length(text), F.lit(0))), F.lit(groups)).alias("grp"), text.alias("text")).mapInPandas(run, "id long, grp long, ids binary")

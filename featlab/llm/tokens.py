@@ -2,42 +2,80 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
-#: Distinct words that a worker remembers; beyond that it forgets them all and goes on.
-CACHE_WORDS, CACHE_LENGTH = 250_000, 48
+#: Distinct words, and distinct parts of words, that a worker remembers; beyond that it forgets them all and goes on.
+CACHE, CACHE_LENGTH = 600_000, 48
+#: Characters of text that are encoded together.
+BATCH_CHARS = 4_000_000
 _made: dict[tuple, object] = {}
 
+# Texts of these characters need no normalising but lower case, which is the same for each character alone.
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017e\x09-\x0d\x20]+")
+
 
 class WordEncoder:
-    """Ids of a `tokenizers` file whose pre-tokenizer always splits at ASCII white space and drops it.
+    """Ids of a `tokenizers` BPE file whose pre-tokenizer always splits at ASCII white space and drops it.
 
-    A text's ids are then those of its words in turn, so each distinct word is encoded once while it
-    is remembered. Ids are little-endian unsigned 32-bit numbers in bytes.
+    A plain text is split into its pre-tokens here: letters, single digits, other characters. New ones go
+    through the file's BPE model many at a time, and the end-of-word suffix tells where the ids of each
+    end. In all other texts each distinct word goes through the whole tokenizer. What is known is
+    remembered, so it is encoded once. Ids are little-endian unsigned 32-bit numbers in bytes.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8").split()
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        extra = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.whole = Tokenizer.from_str(json.dumps(spec))
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}))
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.plain = bool(suffix) and spec["normalizer"]["normalizers"][-1]["type"] == "Lowercase"
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _parts(self, new: list[str]) -> None:
+        for k in range(0, len(new), 2048):
+            some = new[k : k + 2048]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            flat = ids.tobytes()
+            if len(cuts) != len(some):
+                raise ValueError("a part of a word has no end or several")
+            self.parts.update(zip(some, (flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+
+    def _words(self, new: list[bytes]) -> None:
         for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHE_LENGTH else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return b"".join([known[w] if w in known else extra[w] for w in words])
-        return b"".join([known[w] for w in words])
+            some = new[k : k + 4096]
+            for w, e in zip(some, self.whole.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        plain = [self.plain and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
+        lists = [_PARTS.findall(t.lower()) if p else t.encode("utf-8").split() for t, p in zip(texts, plain, strict=True)]
+        long = []
+        for known, learn, kind in ((self.parts, self._parts, True), (self.words, self._words, False)):
+            if len(known) > CACHE:
+                known.clear()
+            new = list(set().union(*(x for x, p in zip(lists, plain, strict=True) if p == kind)).difference(known))
+            learn(new)
+            long += [(known, x) for x in new if len(x) > CACHE_LENGTH]
+        out = [b"".join(map((self.parts if p else self.words).__getitem__, x)) for x, p in zip(lists, plain, strict=True)]
+        for known, x in long:
+            del known[x]
+        return out
 
 
 class RankEncoder:
@@ -53,8 +91,19 @@ class RankEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.encoding.encode_ordinary(t), "<u4").tobytes() for t in texts]
+
+
+def batches_of(texts: list[str], chars: int = BATCH_CHARS) -> list[slice]:
+    """Slices of texts with about that many characters each, one text at least."""
+    out, a, n = [], 0, 0
+    for k, t in enumerate(texts):
+        n += len(t)
+        if n >= chars:
+            out.append(slice(a, k + 1))
+            a, n = k + 1, 0
+    return out + [slice(a, len(texts))] * (a < len(texts))
 
 
 def encoder(kind: str, name: str):
