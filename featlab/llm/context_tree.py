@@ -1,17 +1,20 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its words, each followed by a space, then one end byte. The context of a byte is the DEPTH
-bytes before it, not beyond the space before its word. A byte is decomposed into eight binary choices;
-each choice is a node with counts of zeros and ones in every context of 0 to DEPTH bytes, with a
-Krichevsky-Trofimov estimate. Weighted sequence probabilities go from the deepest contexts up, half for
-a context's own estimate and half for its children's product; the weights that this gives each depth
-mix the estimates when a text is scored.
-
-Nothing from the corpus is gathered on the driver or sent to all executors, save the nodes of depth 0
-and 1, 65,536 at most. One pass over the texts writes, for each block of texts, a forward index: the
-documents as numbers of distinct tokens, the tokens with their training counts and the distinct grams
-(context and byte) with theirs. Tokens and grams are summed over all blocks by key, and what a block
-needs, the counts of its tokens and the probabilities of its grams, goes back to that block.
+A text is its words, each followed by a space, then one end byte. The context of a byte is up to DEPTH
+bytes before it: for the first HEAD bytes of a word they reach across the space to the last two bytes of
+the word before; for later bytes they end at the space before the word. A byte is decomposed into eight
+binary choices; each choice is a node with counts of zeros and ones in every context of 0 to DEPTH
+bytes, with a Krichevsky-Trofimov estimate. Weighted sequence probabilities go from the deepest contexts
+up, half for a context's own estimate and half for its children's product; the weights that this gives
+each depth mix the estimates when a text is scored.
+
+So a word's probability is a sum over two keys, its head with the two bytes before it, and the word
+itself. One pass over the texts writes, for each block of texts, a forward index: documents as numbers of
+distinct words and heads, words with their training counts, and the distinct grams (context and byte)
+with theirs, packed by shard. Words are summed over all blocks by key, grams by merging packed shards,
+MERGE at a time, as often as it takes; what a block needs, the counts of its words and the probabilities
+of its grams, goes back to that block. Nothing from the corpus is gathered on the driver or sent to all
+executors, save the nodes of depth 0 and 1, 65,536 at most.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featlab.llm.common import LOWER, written
+from featlab.llm.common import LOWER, parts, written
 
-DEPTH = 4
-#: Characters of text in a block of the forward index; grams in a shard of the tree.
-BLOCK_CHARS, SHARD_GRAMS = 16_000_000, 100_000
+DEPTH, HEAD = 5, 3
+#: Characters of text in a block of the forward index; shards of the grams; packed rows merged at a time.
+BLOCK_CHARS, SHARDS, MERGE = 16_000_000, 192, 64
 END = b"\n"
 
 
@@ -38,16 +41,62 @@ def held_out(doc_id) -> bool:
 
 
 def token_grams(tokens: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all tokens in turn, the byte lowest and the context above it with the last byte lowest; and how many each token has."""
+    """The grams of all words in turn from byte HEAD on, the byte lowest and the context above it with the last byte lowest; and how many each word has."""
     pad = b" " * depth
-    flat = np.frombuffer(b"".join([pad + END if t == END else pad + t + b" " for t in tokens]), np.uint8).astype(np.uint64)
-    count = np.array([1 if t == END else len(t) + 1 for t in tokens], np.int64)
-    first = np.cumsum(count) - count
-    at = np.arange(count.sum()) - np.repeat(first, count) + np.repeat(first + depth * np.arange(1, len(tokens) + 1), count)
+    flat = np.frombuffer(b"".join([pad + t + b" " for t in tokens]) or b" ", np.uint8).astype(np.int64)
+    size = np.array([len(t) + 1 for t in tokens], np.int64)
+    count = np.where([t == END for t in tokens], 0, np.maximum(0, size - HEAD)) if tokens else size
+    start = np.cumsum(size + depth) - size
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start + HEAD, count)
     out = flat[at]
     for k in range(1, depth + 1):
-        out |= flat[at - k] << np.uint64(8 * k)
-    return out.astype(np.int64), count
+        out |= flat[at - k] << (8 * k)
+    return out, count
+
+
+def head_grams(heads: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of heads (two bytes before, then HEAD bytes, 0 after the word's end), and how many each has."""
+    byte = [(heads >> (8 * (HEAD + 1 - k))) & 255 for k in range(HEAD + 2)]
+    there = np.stack([b != 0 for b in byte[2:]], axis=1)
+    before = byte[:2] + [np.full(len(heads), 32)]
+    rows = []
+    for i in range(HEAD):
+        context = ([np.zeros(len(heads), np.int64)] * depth + before + byte[2 : 2 + i])[-depth:]
+        g = byte[2 + i].copy()
+        for k, c in enumerate(reversed(context)):
+            g |= c << (8 * (k + 1))
+        rows.append(g)
+    return np.stack(rows, axis=1)[there], there.sum(1)
+
+
+def head_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The head of the word at each start; flat has two spare bytes at its end."""
+    p2, p1, a, b, c = (flat[starts + k].astype(np.int64) for k in (-3, -2, 0, 1, 2))
+    b = np.where(a == 10, 0, b)
+    c = np.where((b == 32) | (b == 0), 0, c)
+    return (p2 << 32) | (p1 << 24) | (a << 16) | (b << 8) | c
+
+
+def packed(gram: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Ascending grams with columns of 64-bit values, compressed."""
+    import zstandard
+
+    parts = [np.diff(gram, prepend=0), *columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(np.asarray(x).astype("<i8" if x.dtype.kind in "iu" else "<f8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in parts))
+
+
+def unpacked(data: bytes, kinds: str) -> list[np.ndarray]:
+    """The grams and the columns, kinds "i" or "f" for each of the latter."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(1 + len(kinds), 8, -1)
+    out = [np.ascontiguousarray(x.T).view("<i8" if k == "i" else "<f8").ravel() for x, k in zip(raw, "i" + kinds, strict=True)]
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
+    """By the last two context bytes."""
+    return ((((gram >> 8) & 0xFFFF) * 40503) & 0xFFFF) * shards >> 16
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -123,83 +172,140 @@ class Crown:
         return np.log10(p).reshape(8, -1).sum(0)
 
 
+def _summed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = [unpacked(d, "i") for d in data]
+    gram, at = np.unique(np.concatenate([g for g, _ in both]), return_inverse=True)
+    return gram, np.bincount(at, np.concatenate([c for _, c in both]), len(gram)).astype(np.int64)
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """rows: (block, shard, data). (shard, data), the counts of all blocks summed; MERGE rows meet in a task at a time."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [part["block"].min()], "shard": [part["shard"].iloc[0]], "data": [packed(*_summed(list(part["data"])))]})
+
+    most = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    first = True
+    while first or most > 1:
+        groups = max(1, -(-most // MERGE) if most > MERGE else 1)
+        salt = F.pmod(F.xxhash64("block", F.lit(most)), F.lit(groups))
+        rows = written(rows.withColumn("salt", salt).groupBy("shard", "salt").applyInPandas(add, "block long, shard int, data binary"), "merged")
+        first, most = False, groups if groups > 1 else 1
+    return rows.select("shard", "data")
+
+
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """counts: (gram, c), each gram once, c 0 where training lacks it. (gram, logp)"""
-    shards = max(16, -(-counts.count() // SHARD_GRAMS))
-    rows = counts.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(shards)))
+    """counts: (shard, data) with packed (gram, c). (shard, data) with packed (gram, logp)."""
 
-    def up(part: pd.DataFrame) -> pd.DataFrame:
-        node, zeros, ones, _, weighted, _ = Subtree(part["gram"].to_numpy(), part["c"].to_numpy(), depth, 2).levels[-1]
-        return pd.DataFrame({"key": (((node >> 8) & 255) << 8) | (node & 255), "zeros": zeros, "ones": ones, "weighted": weighted})
+    def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for data in rows["data"]:
+                node, zeros, ones, _, weighted, _ = Subtree(*unpacked(data, "i"), depth, 2).levels[-1]
+                yield pd.DataFrame({"key": (((node >> 8) & 255) << 8) | (node & 255), "zeros": zeros, "ones": ones, "weighted": weighted})
 
-    two = rows.groupBy("shard").applyInPandas(up, "key long, zeros double, ones double, weighted double")
-    one = two.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).toPandas()  # 65,536 rows at most
+    counts = counts.repartition(parts(counts.sparkSession), "shard")  # small rows, long work: not to be coalesced
+    two = counts.select("data").mapInPandas(up, "key long, zeros double, ones double, weighted double")
+    one = two.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).orderBy("key").toPandas()  # 65,536 rows at most
     crown = Crown(one["key"].to_numpy(np.int64), one["zeros"].to_numpy(float), one["ones"].to_numpy(float), one["weighted"].to_numpy(float))
 
-    def down(part: pd.DataFrame) -> pd.DataFrame:
-        gram = part["gram"].to_numpy()
-        return pd.DataFrame({"gram": gram, "logp": crown.mixed(gram, Subtree(gram, part["c"].to_numpy(), depth, 2))})
+    def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for shard, data in zip(rows["shard"], rows["data"], strict=True):
+                gram, c = unpacked(data, "i")
+                yield pd.DataFrame({"shard": [shard], "data": [packed(gram, crown.mixed(gram, Subtree(gram, c, depth, 2)))]})
+
+    return counts.mapInPandas(down, "shard int, data binary")
 
-    return rows.groupBy("shard").applyInPandas(down, "gram long, logp double")
 
+def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
+    """asked: (block, shard, data), scored: (shard, data). (block, shard, data) with the values of each block's grams, in their order."""
+    most = asked.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    groups = max(1, -(-most // MERGE))
+    salt = F.pmod(F.xxhash64("block"), F.lit(groups))
+    left = asked.select("shard", salt.alias("salt"), "block", "data")
+    right = scored.select(F.col("shard").alias("to_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("to_salt"), "data")
 
-_INDEX = "kind int, block long, doc_id long, held boolean, data binary, key long, c long"
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"block": [], "shard": [], "data": []})
+        gram, value = unpacked(b["data"].iloc[0], "f")
+        out = [value[np.searchsorted(gram, unpacked(d, "i")[0])].astype("<f8").tobytes() for d in a["data"]]
+        return pd.DataFrame({"block": a["block"], "shard": a["shard"], "data": out})
 
+    return left.groupBy("shard", "salt").cogroup(right.groupBy("to_shard", "to_salt")).applyInPandas(run, "block long, shard int, data binary")
 
-def forward_index(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int) -> DataFrame:
-    """Rows of four kinds. 0: a document, data its sorted token numbers as differences; 1: a token (data) with its
-    number (key) and training count; 2: a gram (key) with its count; 3: all tokens of the block in order."""
 
-    def frames(block: int, docs_: list, numbers: dict) -> Iterator[pd.DataFrame]:
+_INDEX = "kind int, block long, doc_id long, held boolean, data binary, heads binary, key long, c long"
+
+
+class _Block:
+    """Texts on their way into the forward index."""
+
+    def __init__(self):
+        self.numbers: dict = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.docs, self.chars = [], 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        words = text.encode("utf-8").translate(LOWER).split()
+        words.append(END)
+        flat = np.frombuffer(b"\n\n " + b" ".join(words) + b"  ", np.uint8)
+        starts = np.flatnonzero(flat[:-2] == 32) + 1
+        ids = np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
+        self.docs.append((doc_id, held_out(doc_id), ids, head_keys(flat, starts)))
+        self.chars += len(text) + 10
+
+    def frames(self, block: int, depth: int, shards: int) -> Iterator[pd.DataFrame]:
         def frame(kind: int, n: int, **columns) -> pd.DataFrame:
-            empty = {"doc_id": pd.array([None] * n, "Int64"), "held": pd.array([None] * n, "boolean"), "data": [None] * n, "key": pd.array([None] * n, "Int64"), "c": pd.array([None] * n, "Int64")}
+            empty = {"doc_id": pd.array([None] * n, "Int64"), "held": pd.array([None] * n, "boolean"), "data": [None] * n, "heads": [None] * n, "key": pd.array([None] * n, "Int64"), "c": pd.array([None] * n, "Int64")}
             return pd.DataFrame({"kind": np.full(n, kind, np.int32), "block": np.full(n, block, np.int64)} | empty | columns)
 
-        tokens = list(numbers)
-        count = np.zeros(len(tokens), np.int64)
-        for _, held, ids in docs_:
-            if not held:
-                count += np.bincount(ids, minlength=len(tokens)) if len(ids) > len(tokens) // 8 else 0
-                if len(ids) <= len(tokens) // 8:
-                    np.add.at(count, ids, 1)
-        for k in range(0, len(docs_), 2000):
-            part = docs_[k : k + 2000]
-            yield frame(0, len(part), doc_id=pd.array([d for d, _, _ in part], "Int64"), held=pd.array([h for _, h, _ in part], "boolean"), data=[np.diff(np.sort(ids), prepend=np.uint32(0)).astype("<u4").tobytes() for _, _, ids in part])
+        def delta(ids: np.ndarray) -> bytes:
+            return np.diff(np.sort(ids), prepend=0).astype("<u4").tobytes()
+
+        tokens = list(self.numbers)
+        heads, at = np.unique(np.concatenate([h for *_, h in self.docs]), return_inverse=True)
+        at = np.split(at, np.cumsum([len(x) for _, _, x, _ in self.docs])[:-1])
+        none = [np.zeros(0, np.int64)]
+        count = np.bincount(np.concatenate([x for _, held, x, _ in self.docs if not held] or none), minlength=len(tokens))
+        head_count = np.bincount(np.concatenate([h for (_, held, _, _), h in zip(self.docs, at, strict=True) if not held] or none), minlength=len(heads))
+        for k in range(0, len(self.docs), 2000):
+            part = self.docs[k : k + 2000]
+            yield frame(0, len(part), doc_id=pd.array([d for d, *_ in part], "Int64"), held=pd.array([h for _, h, *_ in part], "boolean"), data=[delta(x) for _, _, x, _ in part], heads=[delta(h) for h in at[k : k + 2000]])
         for k in range(0, len(tokens), 50_000):
             part = tokens[k : k + 50_000]
             yield frame(1, len(part), data=part, key=np.arange(k, k + len(part)), c=count[k : k + len(part)])
-        grams, per = token_grams(tokens, depth)
-        gram, at = np.unique(grams, return_inverse=True)
-        c = np.bincount(at, np.repeat(count, per), len(gram)).astype(np.int64)
-        for k in range(0, len(gram), 50_000):
-            yield frame(2, len(gram[k : k + 50_000]), key=gram[k : k + 50_000], c=c[k : k + 50_000])
-        yield frame(3, 1, data=[b" ".join([b"" if t == END else t for t in tokens])])
+        tail, per = token_grams(tokens, depth)
+        front, per_head = head_grams(heads, depth)
+        gram, where = np.unique(np.concatenate((tail, front)), return_inverse=True)
+        c = np.bincount(where, np.concatenate((np.repeat(count, per), np.repeat(head_count, per_head))), len(gram)).astype(np.int64)
+        shard = shard_of(gram, shards)
+        some = [(k, shard == k) for k in np.unique(shard).tolist()]
+        yield frame(2, len(some), key=np.array([k for k, _ in some]), data=[packed(gram[m], c[m]) for _, m in some])
+        yield frame(3, 1, data=[b" ".join([b"" if t == END else t for t in tokens])], heads=[heads.astype("<i8").tobytes()])
+
+
+def forward_index(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int, shards: int) -> DataFrame:
+    """Rows of four kinds. 0: a document, its sorted word and head numbers as differences; 1: a word (data) with its
+    number (key) and training count; 2: the grams of a shard (key) with theirs; 3: all words and heads of the block in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        block, docs_, chars = TaskContext.get().partitionId() << 32, [], 0
-        numbers: dict = defaultdict()
-        numbers.default_factory = numbers.__len__
+        block, held = TaskContext.get().partitionId() << 32, _Block()
         for rows in batches:
             for doc_id, text in zip(rows["id"].astype("Int64"), rows["text"], strict=True):
-                doc_id = None if doc_id is pd.NA else int(doc_id)
-                words = (text or "").encode("utf-8").translate(LOWER).split()
-                words.append(END)
-                docs_.append((doc_id, held_out(doc_id), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
-                chars += len(text or "") + 10
-                if chars >= block_chars:
-                    yield from frames(block, docs_, numbers)
-                    block, docs_, chars = block + 1, [], 0
-                    numbers = defaultdict()
-                    numbers.default_factory = numbers.__len__
-        if docs_:
-            yield from frames(block, docs_, numbers)
+                held.add(None if doc_id is pd.NA else int(doc_id), text or "")
+                if held.chars >= block_chars:
+                    yield from held.frames(block, depth, shards)
+                    block, held = block + 1, _Block()
+        if held.docs:
+            yield from held.frames(block, depth, shards)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, _INDEX)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS, shards: int = SHARDS) -> DataFrame:
     """One row for each row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
 
     Documents whose crc32(id as text) mod 5 is 1 are held out, a null id counts as empty text; the others
@@ -207,38 +313,46 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     the smoothed token frequencies; score: under the context trees; n_bytes: those that score predicts.
     Null texts are empty. Without training rows every choice is even.
     """
-    index = written(forward_index(docs, id_col, text_col, depth, block_chars), "forward", "zstd")
+    index = written(forward_index(docs, id_col, text_col, depth, block_chars, shards), "forward", "zstd")
     by_token = Window.partitionBy("data")
     tokens = index.where("kind = 1").select("block", "key", "data", "c")
-    tokens = written(tokens.select("block", "key", F.sum("c").over(by_token).alias("c"), (F.row_number().over(by_token.orderBy("block")) == 1).alias("one")), "tokens")
+    tokens = written(tokens.select("block", "key", F.sum("c").over(by_token).alias("c"), (F.row_number().over(by_token.orderBy("block")) == 1).alias("one")), "tokens", "zstd")
     size = tokens.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    grams = index.where("kind = 2").select("block", F.col("key").alias("gram"), "c")
-    scored = gram_scores(written(grams.groupBy("gram").agg(F.sum("c").alias("c")), "grams"), depth)
-    needed = grams.select("block", "gram").join(scored, "gram").select("block", F.lit(2).alias("kind"), F.col("gram").alias("key"), F.col("logp").alias("value"))
-    needed = needed.unionByName(tokens.select("block", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value")))
+    asked = index.where("kind = 2").select("block", F.col("key").cast("int").alias("shard"), "data")
+    given = answers(asked, written(gram_scores(merged(asked), depth), "gram-scores"))
+    needed = given.select(F.col("block").alias("to_block"), F.lit(2).alias("kind"), F.col("shard").cast("long").alias("key"), F.lit(None).cast("long").alias("c"), "data")
+    needed = needed.unionByName(tokens.select(F.col("block").alias("to_block"), F.lit(1).alias("kind"), "key", "c", F.lit(None).cast("binary").alias("data")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kind, key, value = right["kind"].to_numpy(), right["key"].to_numpy(), right["value"].to_numpy()
-        words = [t or END for t in left.loc[left["kind"] == 3, "data"].iloc[0].split(b" ")]
+        stored = left[left["kind"] == 3].iloc[0]
+        words = [t or END for t in stored["data"].split(b" ")]
+        heads = np.frombuffer(stored["heads"], "<i8")
+        counts, parts = right[right["kind"] == 1], right[right["kind"] == 2]
         c = np.zeros(len(words))
-        c[key[kind == 1]] = value[kind == 1]
-        gram, logp = key[kind == 2], value[kind == 2]
-        order = np.argsort(gram)
-        own, per = token_grams(words, depth)
-        word_score = np.add.reduceat(logp[order][np.searchsorted(gram[order], own)], np.cumsum(per) - per)
+        c[counts["key"].to_numpy(np.int64)] = counts["c"].to_numpy(float)
+        tail, per = token_grams(words, depth)
+        front, per_head = head_grams(heads, depth)
+        gram, where = np.unique(np.concatenate((tail, front)), return_inverse=True)
+        logp, shard = np.zeros(len(gram)), shard_of(gram, shards)
+        for k, data in zip(parts["key"], parts["data"], strict=True):
+            logp[shard == k] = np.frombuffer(data, "<f8")
+        each = logp[where]
+        word_score, head_score = np.zeros(len(words)), np.zeros(len(heads))
+        np.add.at(word_score, np.repeat(np.arange(len(words)), per), each[: len(tail)])
+        np.add.at(head_score, np.repeat(np.arange(len(heads)), per_head), each[len(tail) :])
         word_base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         rows = left[left["kind"] == 0]
         out = []
-        for data in rows["data"]:
-            ids = np.cumsum(np.frombuffer(data, "<u4"), dtype=np.int64)
-            out.append((len(ids), int((c[ids] > 0).sum()), total, word_base[ids].sum(), word_score[ids].sum(), int(per[ids].sum())))
+        for data, head_data in zip(rows["data"], rows["heads"], strict=True):
+            ids, hs = (np.cumsum(np.frombuffer(x, "<u4"), dtype=np.int64) for x in (data, head_data))
+            out.append((len(ids), int((c[ids] > 0).sum()), total, word_base[ids].sum(), word_score[ids].sum() + head_score[hs].sum(), int(per[ids].sum() + per_head[hs].sum())))
         frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
         frame.insert(0, "held_out", rows["held"].astype(bool).to_numpy())
-        frame.insert(0, id_col, rows["doc_id"].astype("Int64").to_numpy())
+        frame.insert(0, id_col, pd.array(rows["doc_id"], "Int64"))
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]
-        return frame.astype({id_col: "Int64"})
+        return frame
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    left = index.where("kind IN (0, 3)").select("block", "kind", "doc_id", "held", "data")
-    return left.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(run, schema)
+    left = index.where("kind IN (0, 3)").select(F.col("block").alias("block"), "kind", "doc_id", "held", "data", "heads")
+    return left.groupBy("block").cogroup(needed.groupBy("to_block")).applyInPandas(run, schema)
