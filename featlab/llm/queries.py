@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlab.llm import binary_output, chat, context_tree, exact_dedup, packing, pii, quality, rotation_codes, simhash
+from featlab.llm import binary_output, chat, context_tree, exact_dedup, packing, pieces, pii, quality, rotation_codes, simhash
 from featlab.llm.common import scratch, table
 
 
@@ -43,6 +43,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encode(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_ids", F.sha2("ids", 256).alias("ids_sha256"), "exact")
+
+
 def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrices are written, then read back: a row for each sequence with digests of what the files hold."""
     path = scratch(spark, "matrices")
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_binary_output": op9_binary_output,
     "op10_pii": op10_pii,
 }
