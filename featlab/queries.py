@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featlab.functions import expressions as X
-from featlab.operators import consensus, filters, graphs, metrics, moments, redundancy, splits
+from featlab.operators import consensus, filters, graphs, metrics, moments, redundancy, selectors, splits
 from featlab.operators.rank import at_least_kth, column_order, reversed_rank, tier, top_k
-from featlab.plans import peeling, results
+from featlab.plans import peeling, pipeline, registry, results
 from featlab.session import ensure_importable
 from featlab.sources import matrices as M
 
@@ -680,3 +680,39 @@ def repositories(spark, d):
 def file_stems(spark, d):
     r = runs(spark, d).select(F.concat("dataset", F.lit(".mat")).alias("file")).distinct()
     return r.select("file", M.file_stem(F.col("file")).alias("stem"))
+
+
+# --- selectors that need dense matrices ---
+
+
+def _selector(name: str, k: int = K):
+    def run(spark, d):
+        return rounded(selectors.select(_emb(spark, d), registry.REGISTRY[name].fn, k, registry.SETTINGS.get(name)))
+
+    run.__name__ = "fs_" + {"SVM_RBF": "svm_rbf", "LeadingEV": "leading_ev", "DecisionTree_Forward": "dt_forward", "DecisionTree_Backward": "dt_backward"}.get(name, name.lower())
+    query(run)
+
+
+for _name, _k in (("AdaBoost", K), ("SVC", K), ("SHAP", K), ("CT", K), ("LeadingEV", K), ("MCFS", K), ("RFS", K), ("GRAPH", K), ("SVM_Forward", 3), ("SVM_Backward", 60), ("DecisionTree_Forward", 3), ("DecisionTree_Backward", 60), ("SVM_RBF", K), ("CEI_GA", K), ("CAE", K), ("UFS", K), ("DLFS", K), ("GRACES", 5), ("CFS", K)):
+    _selector(_name, _k)
+
+
+@query
+def fs_etree(spark, d):
+    return rounded(top_k(selectors.forest_importance(_emb(spark, d), 10), K))
+
+
+@query
+def cv_pipeline(spark, d):
+    return pipeline.cross_validate(_emb(spark, d), "embeddings", "low_variance", "driver", [5, 10], ["LR", "KNN", "LDA", "ETREE"])
+
+
+@query
+def cv_baseline(spark, d):
+    return pipeline.cross_validate(_emb(spark, d), "embeddings", None, "driver", None, ["KNN", "LDA"])
+
+
+@query
+def hyperparameter_sheets(spark, d):
+    t = registry.settings_table(spark)
+    return t.select("algorithm", "setting_no", "comment", F.size("params").alias("n_params"))
