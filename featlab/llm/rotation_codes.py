@@ -17,6 +17,7 @@ links and pass on one tree of links a tile, not the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ from featlab.llm.components import components
 COSINE, TABLES, BITS, TILE, EPSILON, SEED = 0.93, 48, 16, 512, 5.0, 17
 
 
+@lru_cache(maxsize=64)
 def rotation(dim: int, k: int, seed: int = SEED) -> np.ndarray:
     """The k-th random rotation of dim dimensions, the same on every machine up to the last digits."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dim, k]).standard_normal((dim, dim)))
