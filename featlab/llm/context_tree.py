@@ -19,6 +19,7 @@ executors, save the nodes of depth 0 and 1, 65,536 at most.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from featlab.llm.common import LOWER, parts, written
 
 DEPTH, HEAD = 5, 3
 #: Characters of text in a block of the forward index; shards of the grams; packed rows merged at a time.
-BLOCK_CHARS, SHARDS, MERGE = 16_000_000, 192, 64
+BLOCK_CHARS, SHARDS, MERGE = 14_000_000, 192, 64
 END = b"\n"
 
 
@@ -94,6 +95,20 @@ def unpacked(data: bytes, kinds: str) -> list[np.ndarray]:
     return [np.cumsum(out[0]), *out[1:]]
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes())
+
+
+def restored(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     """By the last two context bytes."""
     return ((((gram >> 8) & 0xFFFF) * 40503) & 0xFFFF) * shards >> 16
@@ -102,7 +117,7 @@ def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     y = x + 8
     low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - low
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -235,7 +250,7 @@ def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
     return left.groupBy("shard", "salt").cogroup(right.groupBy("to_shard", "to_salt")).applyInPandas(run, "block long, shard int, data binary")
 
 
-_INDEX = "kind int, block long, doc_id long, held boolean, data binary, heads binary, key long, c long"
+_INDEX = "kind int, block long, data binary, heads binary, more binary, key long, c long"
 
 
 class _Block:
@@ -257,11 +272,11 @@ class _Block:
 
     def frames(self, block: int, depth: int, shards: int) -> Iterator[pd.DataFrame]:
         def frame(kind: int, n: int, **columns) -> pd.DataFrame:
-            empty = {"doc_id": pd.array([None] * n, "Int64"), "held": pd.array([None] * n, "boolean"), "data": [None] * n, "heads": [None] * n, "key": pd.array([None] * n, "Int64"), "c": pd.array([None] * n, "Int64")}
+            empty = {"data": [None] * n, "heads": [None] * n, "more": [None] * n, "key": pd.array([None] * n, "Int64"), "c": pd.array([None] * n, "Int64")}
             return pd.DataFrame({"kind": np.full(n, kind, np.int32), "block": np.full(n, block, np.int64)} | empty | columns)
 
-        def delta(ids: np.ndarray) -> bytes:
-            return np.diff(np.sort(ids), prepend=0).astype("<u4").tobytes()
+        def deltas(lists: list[np.ndarray]) -> bytes:
+            return squeezed(np.concatenate([np.diff(np.sort(x).astype(np.int64), prepend=0) for x in lists]).astype("<u4"))
 
         tokens = list(self.numbers)
         heads, at = np.unique(np.concatenate([h for *_, h in self.docs]), return_inverse=True)
@@ -271,7 +286,7 @@ class _Block:
         head_count = np.bincount(np.concatenate([h for (_, held, _, _), h in zip(self.docs, at, strict=True) if not held] or none), minlength=len(heads))
         for k in range(0, len(self.docs), 2000):
             part = self.docs[k : k + 2000]
-            yield frame(0, len(part), doc_id=pd.array([d for d, *_ in part], "Int64"), held=pd.array([h for _, h, *_ in part], "boolean"), data=[delta(x) for _, _, x, _ in part], heads=[delta(h) for h in at[k : k + 2000]])
+            yield frame(0, 1, data=[deltas([x for _, _, x, _ in part])], heads=[deltas(at[k : k + 2000])], more=[pickle.dumps(([d for d, *_ in part], [h for _, h, *_ in part], [len(x) for _, _, x, _ in part]))])
         for k in range(0, len(tokens), 50_000):
             part = tokens[k : k + 50_000]
             yield frame(1, len(part), data=part, key=np.arange(k, k + len(part)), c=count[k : k + len(part)])
@@ -282,27 +297,28 @@ class _Block:
         shard = shard_of(gram, shards)
         some = [(k, shard == k) for k in np.unique(shard).tolist()]
         yield frame(2, len(some), key=np.array([k for k, _ in some]), data=[packed(gram[m], c[m]) for _, m in some])
-        yield frame(3, 1, data=[b" ".join([b"" if t == END else t for t in tokens])], heads=[heads.astype("<i8").tobytes()])
+        yield frame(3, 1, data=[b" ".join([b"" if t == END else t for t in tokens])], heads=[squeezed(heads.astype("<i8"))], more=[squeezed(count.astype("<i8"))])
 
 
 def forward_index(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int, shards: int) -> DataFrame:
-    """Rows of four kinds. 0: a document, its sorted word and head numbers as differences; 1: a word (data) with its
-    number (key) and training count; 2: the grams of a shard (key) with theirs; 3: all words and heads of the block in order."""
+    """Rows of four kinds. 0: some documents, their sorted word and head numbers as differences, and ids, sides and lengths;
+    1: a word (data) with its number (key) and training count; 2: the grams of a shard (key) with theirs; 3: all words and heads
+    of the block in order, and the words' training counts in the block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         block, held = TaskContext.get().partitionId() << 32, _Block()
         for rows in batches:
-            for doc_id, text in zip(rows["id"].astype("Int64"), rows["text"], strict=True):
-                held.add(None if doc_id is pd.NA else int(doc_id), text or "")
+            for doc_id, text in zip(rows["id"], rows["text"], strict=True):
+                held.add(None if doc_id is None else int(doc_id), text or "")
                 if held.chars >= block_chars:
                     yield from held.frames(block, depth, shards)
                     block, held = block + 1, _Block()
         if held.docs:
             yield from held.frames(block, depth, shards)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, _INDEX)
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, _INDEX)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS, shards: int = SHARDS) -> DataFrame:
@@ -316,20 +332,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     index = written(forward_index(docs, id_col, text_col, depth, block_chars, shards), "forward", "zstd")
     by_token = Window.partitionBy("data")
     tokens = index.where("kind = 1").select("block", "key", "data", "c")
-    tokens = written(tokens.select("block", "key", F.sum("c").over(by_token).alias("c"), (F.row_number().over(by_token.orderBy("block")) == 1).alias("one")), "tokens", "zstd")
+    tokens = written(tokens.select("block", "key", F.sum("c").over(by_token).alias("c"), F.col("c").alias("own"), (F.row_number().over(by_token.orderBy("block")) == 1).alias("one")), "tokens", "zstd")
     size = tokens.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
     asked = index.where("kind = 2").select("block", F.col("key").cast("int").alias("shard"), "data")
     given = answers(asked, written(gram_scores(merged(asked), depth), "gram-scores"))
     needed = given.select(F.col("block").alias("to_block"), F.lit(2).alias("kind"), F.col("shard").cast("long").alias("key"), F.lit(None).cast("long").alias("c"), "data")
-    needed = needed.unionByName(tokens.select(F.col("block").alias("to_block"), F.lit(1).alias("kind"), "key", "c", F.lit(None).cast("binary").alias("data")))
+    # a block knows its own counts; it is told those that differ over all blocks
+    needed = needed.unionByName(tokens.where("c <> own").select(F.col("block").alias("to_block"), F.lit(1).alias("kind"), "key", "c", F.lit(None).cast("binary").alias("data")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         stored = left[left["kind"] == 3].iloc[0]
         words = [t or END for t in stored["data"].split(b" ")]
-        heads = np.frombuffer(stored["heads"], "<i8")
+        heads, c = restored(stored["heads"], "<i8"), restored(stored["more"], "<i8").astype(float)
         counts, parts = right[right["kind"] == 1], right[right["kind"] == 2]
-        c = np.zeros(len(words))
         c[counts["key"].to_numpy(np.int64)] = counts["c"].to_numpy(float)
         tail, per = token_grams(words, depth)
         front, per_head = head_grams(heads, depth)
@@ -342,17 +358,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         np.add.at(word_score, np.repeat(np.arange(len(words)), per), each[: len(tail)])
         np.add.at(head_score, np.repeat(np.arange(len(heads)), per_head), each[len(tail) :])
         word_base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        rows = left[left["kind"] == 0]
         out = []
-        for data, head_data in zip(rows["data"], rows["heads"], strict=True):
-            ids, hs = (np.cumsum(np.frombuffer(x, "<u4"), dtype=np.int64) for x in (data, head_data))
-            out.append((len(ids), int((c[ids] > 0).sum()), total, word_base[ids].sum(), word_score[ids].sum() + head_score[hs].sum(), int(per[ids].sum() + per_head[hs].sum())))
-        frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
-        frame.insert(0, "held_out", rows["held"].astype(bool).to_numpy())
-        frame.insert(0, id_col, pd.array(rows["doc_id"], "Int64"))
+        for row in left[left["kind"] == 0].itertuples():
+            names, held, sizes = pickle.loads(row.more)
+            ids, hs = restored(row.data, "<u4"), restored(row.heads, "<u4")
+            at = 0
+            for name, side, n in zip(names, held, sizes, strict=True):
+                i, h = (np.cumsum(x[at : at + n], dtype=np.int64) for x in (ids, hs))
+                at += n
+                out.append((name, side, n, int((c[i] > 0).sum()), total, word_base[i].sum(), word_score[i].sum() + head_score[h].sum(), int(per[i].sum() + per_head[h].sum())))
+        frame = pd.DataFrame(out, columns=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
+        frame[id_col] = pd.array(frame[id_col], "Int64")
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]
         return frame
 
     schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    left = index.where("kind IN (0, 3)").select(F.col("block").alias("block"), "kind", "doc_id", "held", "data", "heads")
+    left = index.where("kind IN (0, 3)").select(F.col("block").alias("block"), "kind", "data", "heads", "more")
     return left.groupBy("block").cogroup(needed.groupBy("to_block")).applyInPandas(run, schema)
