@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.packing import tokenised
+from featlab.llm.packing import by_id, tokenised
 
 LENGTH, PAD, GROUP_DOCS = 2048, 50256, 2048
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -90,9 +90,7 @@ def packed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind, place = ("<u2" if pad < 1 << 16 else "<u4"), ("<u2" if length <= 1 << 16 else "<u4")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        ids = [np.frombuffer(b, "<u4") for b in rows["ids"]]
-        names = [None if x is pd.NA or x != x else int(x) for x in rows["id"]]
+        names, ids = by_id(rows)
         grp, out = int(rows["grp"].iloc[0]), []
         for s, pieces in enumerate(best_fit([len(x) for x in ids], length)):
             row, pos, ends = np.full(length, pad, kind), np.zeros(length, place), [0]

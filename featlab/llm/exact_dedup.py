@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.common import SPACE, scratch, text_or_empty, written
+from featlab.llm.common import SPACE, fresh, scratch, text_or_empty, written
 
 #: The filter over hits has 2**FILTER_WORDS rows of 64 bits: 8 Mbit, whatever the input.
 FILTER_WORDS = 17
@@ -107,11 +107,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows that exact_groups doesn't keep; all columns stay as they are."""
     kept = exact_groups(docs, id_col, text_col)
     # a text whose row stays is a (_id, _digest); more than one row there: repeated rows
-    kept = written(kept.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.max("kept").alias("stays"), F.count("*").alias("n_rows")).where("stays").drop("stays"), "kept")
-    shown = docs.withColumn("_own", _digest(normalised(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    key, digest, own = (fresh(c, docs) for c in ("_id", "_digest", "_own"))
+    kept = written(kept.groupBy(F.col(id_col).alias(key), F.col("digest").alias(digest)).agg(F.max("kept").alias("stays"), F.count("*").alias("n_rows")).where("stays").drop("stays"), "kept")
+    shown = docs.withColumn(own, _digest(normalised(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(digest))
     out = shown.join(kept.where("n_rows = 1"), same, "left_semi")
     again = kept.where("n_rows > 1")
     if not again.isEmpty():
-        out = out.unionByName(shown.join(again, same, "left_semi").dropDuplicates([id_col, "_own"]))
+        out = out.unionByName(shown.join(again, same, "left_semi").dropDuplicates([id_col, own]))
     return out.select(*docs.columns)

@@ -3,7 +3,7 @@
 pack_first_fit: documents are dealt to randomised groups of about GROUP_DOCS by a hash of their id and
 text. In a group, whole sequences are cut off long documents, the rests are placed by decreasing length
 in the first bin with room, found in a tournament tree of the bins' free space. Then the emptiest bins
-are cut up to fill the gaps in the others, so a group ends with one partly filled sequence at most.
+are cut up to fill the gaps in the others, so all gaps of a group come to less than one sequence.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ class Tournament:
 
 
 def first_fit(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
-    """Sequences as lists of (document, start, size), gapless; all but one are full."""
+    """Sequences as lists of (document, start, size), gapless; all gaps at their ends are less than the emptiest holds."""
     out, rest = [], []
     for d, n in enumerate(lengths):
         whole = n - n % length
@@ -90,7 +90,7 @@ def first_fit(lengths: list[int], length: int = LENGTH) -> list[list[tuple[int,
 
 
 def tokenised(docs: DataFrame, kind: str, name: str, end: int | None, id_col: str, text_col: str, group_docs: int) -> DataFrame:
-    """(id, grp, ids): little-endian 32-bit ids with the end id, dealt to groups of about group_docs rows."""
+    """(id as a string, grp, ids): little-endian 32-bit ids with the end id, dealt to groups of about group_docs rows."""
     groups = max(1, -(-docs.count() // group_docs))
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
@@ -100,10 +100,17 @@ def tokenised(docs: DataFrame, kind: str, name: str, end: int | None, id_col: st
             texts = [t or "" for t in rows["text"]]
             for k in batches_of(texts):
                 part = rows[k]
-                yield pd.DataFrame({"id": part["id"].astype("Int64"), "grp": part["grp"], "ids": [x + tail for x in own.encode_batch(texts[k])]})
+                yield pd.DataFrame({"id": part["id"], "grp": part["grp"], "ids": [x + tail for x in own.encode_batch(texts[k])]})
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.length(text), F.lit(0))), F.lit(groups)).alias("grp"), text.alias("text")).mapInPandas(run, "id long, grp long, ids binary")
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.length(text), F.lit(0))), F.lit(groups)).alias("grp"), text.alias("text")).mapInPandas(run, "id string, grp long, ids binary")
+
+
+def by_id(rows: pd.DataFrame) -> tuple[list[int | None], list[np.ndarray]]:
+    """Ids and token ids of a group's rows in order; rows without an id come last."""
+    pairs = [(None if i is None else int(i), b) for i, b in zip(rows["id"], rows["ids"], strict=True)]
+    pairs.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return [i for i, _ in pairs], [np.frombuffer(b, "<u4") for _, b in pairs]
 
 
 def pack_first_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, tokenizer: str = TOKENIZER, group_docs: int = GROUP_DOCS, with_ids: bool = False) -> DataFrame:
@@ -114,9 +121,8 @@ def pack_first_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        ids = [np.frombuffer(b, "<u4") for b in rows["ids"]]
-        names, grp = rows["id"].astype("Int64").array, int(rows["grp"].iloc[0])
+        names, ids = by_id(rows)
+        grp = int(rows["grp"].iloc[0])
         out = []
         for s, pieces in enumerate(first_fit([len(x) for x in ids], length)):
             offset = 0
@@ -124,8 +130,8 @@ def pack_first_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 own = ids[d][a : a + n].tobytes()
                 out.append((names[d], a, n, zlib.crc32(own), len(ids[d]), (grp << 32) + s, offset) + ((own,) if with_ids else ()))
                 offset += n
-        frame = pd.DataFrame(out, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
-        return frame.astype({id_col: "Int64"})
+        frame = pd.DataFrame(out, dtype=object, columns=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
+        return frame.astype({c: "Int64" for c in frame.columns if c != "ids"})
 
     schema = f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return tokenised(docs, "word", tokenizer, end, id_col, text_col, group_docs).groupBy("grp").applyInPandas(run, schema)

@@ -217,9 +217,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             for k in batches_of(texts):
                 ids = own.encode_batch(texts[k])
                 exact = [own.decode(b) == t.replace(MARK, " ") for b, t in zip(ids, texts[k], strict=True)]
-                yield pd.DataFrame({"id": rows["id"][k].astype("Int64"), "ids": ids, "n_ids": np.array([len(b) // 4 for b in ids], np.int64), "exact": exact})
+                yield pd.DataFrame({"id": rows["id"][k], "ids": ids, "n_ids": np.array([len(b) // 4 for b in ids], np.int64), "exact": exact})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, ids binary, n_ids long, exact boolean").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, ids binary, n_ids long, exact boolean").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -228,6 +228,6 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = pieces(model)
         for part in batches:
-            yield pd.DataFrame({"id": part["id"].astype("Int64"), "text": [None if b is None else own.decode(b) for b in part["ids"]]})
+            yield pd.DataFrame({"id": part["id"], "text": [None if b is None else own.decode(b) for b in part["ids"]]})
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, "id string, text string").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.common import LOWER, written
+from featlab.llm.common import LOWER, fresh, written
 from featlab.llm.components import components
 
 RADIUS = 2
@@ -50,9 +50,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             fp = np.array([fingerprint(t, words) for t in rows["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": rows["id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"id": rows["id"], "fp": fp})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, fp long").withColumn("id", F.col("id").cast("long"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -118,8 +118,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs with the row of the least id of each component; all columns stay as they are. Of several rows with that id, one stays."""
     rows = near_components(docs, id_col, text_col, words, radius)
-    kept = written(rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("n_rows")), "kept")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
+    key = fresh("_id", docs)
+    kept = written(rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias("n_rows")), "kept")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key))
     out = docs.join(kept.where("n_rows = 1"), same, "left_semi")
     again = kept.where("n_rows > 1")
     if not again.isEmpty():
