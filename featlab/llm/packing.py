@@ -9,14 +9,12 @@ are cut up to fill the gaps in the others, so all gaps of a group come to less t
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.tokens import batches_of, encoder
+from featlab.llm.tokens import batches_of, encoder, lengths
 
 LENGTH, END, GROUP_DOCS = 4096, 2, 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -94,16 +92,18 @@ def tokenised(docs: DataFrame, kind: str, name: str, end: int | None, id_col: st
     groups = max(1, -(-docs.count() // group_docs))
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         own = encoder(kind, name)
         for rows in batches:
-            texts = [t or "" for t in rows["text"]]
-            for k in batches_of(texts):
-                part = rows[k]
-                yield pd.DataFrame({"id": part["id"], "grp": part["grp"], "ids": [x + tail for x in own.encode_batch(texts[k])]})
+            for k in batches_of(lengths(rows.column("text"))):
+                part = rows.slice(k.start, k.stop - k.start)
+                ids = own.encode_batch([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grp"), pa.array([x + tail for x in ids], pa.binary())], names=["id", "grp", "ids"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.length(text), F.lit(0))), F.lit(groups)).alias("grp"), text.alias("text")).mapInPandas(run, "id string, grp long, ids binary")
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.length(text), F.lit(0))), F.lit(groups)).alias("grp"), text.alias("text")).mapInArrow(run, "id string, grp long, ids binary")
 
 
 def by_id(rows: pd.DataFrame) -> tuple[list[int | None], list[np.ndarray]]:

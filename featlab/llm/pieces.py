@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.tokens import batches_of
+from featlab.llm.tokens import batches_of, lengths
 
 MODEL = "piece_bpe_32k.model"
 #: Distinct words that a worker remembers at most, and the longest of them in characters; those not met lately are forgotten.
@@ -210,16 +210,19 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """(id_col, ids binary, n_ids, exact), one row for each row of docs. Null texts are empty and have no ids.
     exact: decoding the ids gives the text, with marks as spaces."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import pyarrow as pa
+
         own = pieces(model)
         for rows in batches:
-            texts = [t or "" for t in rows["text"]]
-            for k in batches_of(texts):
-                ids = own.encode_batch(texts[k])
-                exact = [own.decode(b) == t.replace(MARK, " ") for b, t in zip(ids, texts[k], strict=True)]
-                yield pd.DataFrame({"id": rows["id"][k], "ids": ids, "n_ids": np.array([len(b) // 4 for b in ids], np.int64), "exact": exact})
-
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, ids binary, n_ids long, exact boolean").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
+            for k in batches_of(lengths(rows.column("text"))):
+                part = rows.slice(k.start, k.stop - k.start)
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = own.encode_batch(texts)
+                exact = [own.decode(b) == t.replace(MARK, " ") for b, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(exact, pa.bool_())], names=["id", "ids", "n_ids", "exact"])
+
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id string, ids binary, n_ids long, exact boolean").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:

@@ -10,8 +10,8 @@ import numpy as np
 
 #: Distinct words, and distinct parts of words, that a worker remembers; beyond that it forgets them all and goes on.
 CACHE, CACHE_LENGTH = 600_000, 48
-#: Characters of text that are encoded together.
-BATCH_CHARS = 4_000_000
+#: Bytes of text that are encoded together.
+BATCH_BYTES = 1_000_000
 _made: dict[tuple, object] = {}
 
 # Texts of these characters need no normalising but lower case, which is the same for each character alone.
@@ -95,15 +95,22 @@ class RankEncoder:
         return [np.array(self.encoding.encode_ordinary(t), "<u4").tobytes() for t in texts]
 
 
-def batches_of(texts: list[str], chars: int = BATCH_CHARS) -> list[slice]:
-    """Slices of texts with about that many characters each, one text at least."""
-    out, a, n = [], 0, 0
-    for k, t in enumerate(texts):
-        n += len(t)
-        if n >= chars:
+def lengths(texts) -> list[int]:
+    """Bytes of each text of an Arrow column; null: 0."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
+def batches_of(sizes: list[int], most: int = BATCH_BYTES) -> list[slice]:
+    """Slices of texts with about that size each, one text at least."""
+    out, a, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= most:
             out.append(slice(a, k + 1))
-            a, n = k + 1, 0
-    return out + [slice(a, len(texts))] * (a < len(texts))
+            a, total = k + 1, 0
+    return out + [slice(a, len(sizes))] * (a < len(sizes))
 
 
 def encoder(kind: str, name: str):
