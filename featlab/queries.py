@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from featlab.functions import expressions as X
 from featlab.operators import consensus, filters, graphs, metrics, moments, redundancy, selectors, splits
 from featlab.operators.rank import at_least_kth, column_order, reversed_rank, tier, top_k
-from featlab.plans import peeling, pipeline, registry, results
+from featlab.plans import hard, peeling, pipeline, registry, results
 from featlab.session import ensure_importable
 from featlab.sources import matrices as M
 
@@ -716,3 +716,48 @@ def cv_baseline(spark, d):
 def hyperparameter_sheets(spark, d):
     t = registry.settings_table(spark)
     return t.select("algorithm", "setting_no", "comment", F.size("params").alias("n_params"))
+
+
+# --- single splits and hard variants ---
+
+
+def _split(spark, d):
+    return splits.train_test(_emb(spark, d), 0.5)
+
+
+@query
+def single_split_evaluation(spark, d):
+    return rounded(hard.single_split(_split(spark, d), "low_variance", [5, 10]))
+
+
+@query
+def ground_truth_rescore(spark, d):
+    best = [r["j"] for r in filters.low_variance(_emb_long(spark, d), 10).orderBy("rank").collect()]  # ten features
+    return rounded(hard.rescored(_split(spark, d), best))
+
+
+@query
+def hard_baseline(spark, d):
+    return rounded(hard.single_split(splits.train_test(splits.peel(_emb(spark, d), 5), 0.5), None, [64]))
+
+
+@query
+def shap_contributions(spark, d):
+    return rounded(hard.shap_contributions(_emb(spark, d), trees=10))
+
+
+@query
+def training_size(spark, d):
+    return hard.train_sizes(_emb(spark, d))
+
+
+@query
+def selection_sweep(spark, d):
+    return rounded(hard.sweep(_split(spark, d), 0.7, 0.9, 3, [5], "Fast", 4))
+
+
+@query
+def fold_importances(spark, d):
+    runs_ = pipeline.fold_runs(_emb(spark, d), "low_variance", [5], ["ETREE", "LR", "KNN", "LDA"])
+    cell = runs_.select("fold", "evaluator", F.posexplode(F.arrays_zip("selected", "importance")).alias("p", "x"))
+    return cell.select("fold", "evaluator", (F.col("p") + 1).alias("rank"), F.col("x.selected").alias("j"), F.round("x.importance", 6).alias("importance"))

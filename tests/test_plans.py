@@ -1,9 +1,12 @@
 """Result tables, benchmark runs and streams."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featlab.plans import peeling, pipeline, registry, results
+import featlab.__main__ as command
+from featlab.operators import splits
+from featlab.plans import hard, peeling, pipeline, registry, results
 from featlab.streaming import streams
 
 
@@ -90,3 +93,34 @@ def test_results_as_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r["run_key"] for r in spark.read.parquet(out).collect()) == ["k1", "k2"]
+
+
+def test_single_splits_and_the_outcome_row(spark, wide):
+    rows = splits.train_test(wide, 0.5).cache()
+    fs, hd = hard.single_split(rows, "DT", [2, 3]), hard.single_split(rows, None, [6])
+    assert [r["k"] for r in fs.orderBy("k").collect()] == [2, 3] and hard.leading(hd, "auc")["k"] == 6
+    known = hard.rescored(rows, [2, 0])
+    assert set(hard.leading(known, "auc")["selected"]) == {0, 2}
+    out = hard.document(spark, "d", {"n": 90, "p": 6, "classes": 3, "hard_t": 0.7}, hd, fs, hd, fs, {"auc": known, "accuracy": known}).first()
+    assert out["label"] in ("Hard Interesting", "Hard Not Interesting") and out["auc_overlap"] is not None and out["leading_fs"] == "DT"
+    assert hard.sweep(rows, 0.0, 2.0, 3, [2], "Fast", 3).count() == 1  # the first one is good enough
+
+
+def test_contributions_sum_to_probabilities(wide):
+    rows = hard.shap_contributions(wide, trees=5).groupBy("id").agg(F.sum("contribution").alias("s"))
+    assert rows.where("abs(s) > 1e-6").count() == 0  # over classes they cancel out
+
+
+def test_selected_importance():
+    r = np.random.default_rng(0)
+    x, y = r.random((80, 5)), r.integers(0, 2, 80)
+    x[:, 3] += y
+    order, share, total = hard.selected_importance(x, y, 2, [0, 3, 4])
+    assert order[0] == 3 and share == sorted(share, reverse=True) and 0 < total <= 1
+
+
+def test_command_line(spark, wide, tmp_path, capsys):
+    path = str(tmp_path / "repo" / "toy")
+    wide.select(F.col("features").alias("X"), (F.col("label") + 1).alias("Y")).write.parquet(path)
+    command.main([path, "--algorithms", "DT", "--results", str(tmp_path / "out")])
+    assert "DT" in capsys.readouterr().out
