@@ -17,17 +17,20 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 2048
 
 
-def neighbours(wide: DataFrame, k: int, metric: str = "euclidean", within: str = "any") -> DataFrame:
+def neighbours(wide: DataFrame, k: int, metric: str = "euclidean", within: str = "any", against: DataFrame | None = None) -> DataFrame:
     """(src, src_label, dst, dst_label, rank, d): the k nearest rows of each row, itself included unless `within` excludes it.
 
     metric: euclidean (d the squared distance) or cosine (d the cosine, nearest first by the largest).
     within: "any" all rows; "same" rows of the same label; "each" the k nearest other rows of every label.
-    Distances rank with 9 decimals, ties by id.
+    against: other rows to look for neighbours in. Distances rank with 9 decimals, ties by id.
     """
-    rows = wide.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
-    packed = wide.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("blk").agg(F.collect_list(F.struct("id", "label", "features")).alias("rows"))
-    pairs = packed.select(F.col("blk").alias("a"), F.col("rows").alias("left")).crossJoin(packed.select(F.col("blk").alias("b"), F.col("rows").alias("right")))
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        blocks = max(1, -(-df.count() // BLOCK_ROWS))
+        return df.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("blk").agg(F.collect_list(F.struct("id", "label", "features")).alias(name)).drop("blk")
+
+    pairs = packed(wide, "left").crossJoin(packed(wide if against is None else against, "right"))
+    same_rows = against is None
     sign = -1.0 if metric == "cosine" else 1.0
 
     def unpack(x):
@@ -44,7 +47,8 @@ def neighbours(wide: DataFrame, k: int, metric: str = "euclidean", within: str =
                     d = xa @ xb.T
                 else:
                     d = np.maximum(0, (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * xa @ xb.T)
-                    d[ia[:, None] == ib[None, :]] = 0
+                    if same_rows:
+                        d[ia[:, None] == ib[None, :]] = 0
                 d = np.round(d, 9)
                 groups = [(None, np.ones(len(ib), bool))] if within == "any" else [(c, lb == c) for c in np.unique(lb)]
                 for c, mask in groups:
@@ -53,14 +57,14 @@ def neighbours(wide: DataFrame, k: int, metric: str = "euclidean", within: str =
                     at = np.flatnonzero(mask)
                     rows_ = np.flatnonzero(la == c) if within == "same" else np.arange(len(ia))
                     own = sign * d[np.ix_(rows_, at)]
-                    if within == "each":
+                    if within == "each" and same_rows:
                         own = np.where(ia[rows_][:, None] == ib[at][None, :], np.inf, own)
                     best = np.argsort(own, axis=1, kind="stable")[:, :k]
                     value = np.take_along_axis(own, best, 1)
                     ok = np.isfinite(value).ravel()
                     yield pd.DataFrame({"src": np.repeat(ia[rows_], best.shape[1])[ok], "src_label": np.repeat(la[rows_], best.shape[1])[ok], "dst": ib[at][best].ravel()[ok], "dst_label": lb[at][best].ravel()[ok], "d": sign * value.ravel()[ok]})
 
-    near = pairs.select("left", "right").mapInPandas(run, "src long, src_label long, dst long, dst_label long, d double")
+    near = pairs.mapInPandas(run, "src long, src_label long, dst long, dst_label long, d double")
     by = ["src", "dst_label"] if within == "each" else ["src"]
     order = Window.partitionBy(*by).orderBy(F.col("d").desc() if metric == "cosine" else F.col("d").asc(), "dst")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "src_label", "dst", "dst_label", "rank", "d")
@@ -128,14 +132,9 @@ def relieff(wide: DataFrame, k: int = 10) -> DataFrame:
 
 def knn_votes(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """(id, label, predicted) of the test rows by k nearest training rows; of equal votes the least label."""
-    marked = train.withColumn("side", F.lit(0)).unionByName(test.withColumn("side", F.lit(1)))
-    both = marked.select((F.col("id") * 2 + F.col("side")).alias("id"), "label", "features")
-    # labels carry the side, so that "each" gives each test row its nearest training rows by class
-    near = neighbours(both.withColumn("label", F.col("label") * 2 + F.pmod("id", F.lit(2)).cast("int")), k, "euclidean", "each")
-    near = near.where("src % 2 = 1 AND dst_label % 2 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))).where(F.col("rank") <= k)
-    votes = near.groupBy("src", "src_label", F.expr("dst_label div 2").alias("y")).agg(F.count("*").alias("n"))
-    best = votes.groupBy("src", "src_label").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("predicted"))
-    return best.select(F.expr("src div 2").alias("id"), F.expr("(src_label - 1) div 2").alias("label"), F.col("predicted").alias("predicted"))
+    near = neighbours(test, k, against=train)
+    votes = near.groupBy(F.col("src").alias("id"), F.col("src_label").cast("int").alias("label"), F.col("dst_label").cast("int").alias("y")).agg(F.count("*").alias("n"))
+    return votes.groupBy("id", "label").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("predicted"))
 
 
 def nearest_other_accuracy(wide: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Splits by a hash of the row id: any executor gives a row the same fold."""
+"""Splits by a hash of the row id: any executor gives a row the same fold.
+
+A row's place in its class is its rank by that hash. Ranks are taken in buckets of the hash, 4,096 a
+class, and the sizes of the buckets before are added, so no class has to fit in one task.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _order(seed: int):
-    return F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))
+def _placed(wide: DataFrame, seed: int) -> DataFrame:
+    """wide with _at, a row's place in its class from 1, and _size, the class's rows."""
+    rows = wide.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = rows.groupBy("label", "_b").agg(F.count("*").alias("_k"))
+    own = Window.partitionBy("label")
+    before = sizes.select("label", "_b", F.coalesce(F.sum("_k").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_k").over(own).alias("_size"))
+    at = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_h", "id"))
+    placed = rows.withColumn("_rn", at).join(before, ["label", "_b"])
+    return placed.select(*wide.columns, (F.col("_before") + F.col("_rn")).alias("_at"), "_size")
 
 
 def stratified_folds(wide: DataFrame, folds: int = 5, seed: int = 0) -> DataFrame:
     """wide with fold: rows of a class are dealt in turn in hash order, each class starting where the one before ended."""
     sizes = wide.groupBy("label").agg(F.count("*").alias("n"))
     before = sizes.withColumn("off", F.coalesce(F.sum("n").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("label", "off")
-    at = F.row_number().over(Window.partitionBy("label").orderBy(_order(seed), "id")) - 1
-    return wide.withColumn("at", at).join(before, "label").withColumn("fold", F.pmod(F.col("at") + F.col("off"), F.lit(folds)).cast("int")).drop("at", "off")
+    return _placed(wide, seed).join(before, "label").select(*wide.columns, F.pmod(F.col("_at") - 1 + F.col("off"), F.lit(folds)).cast("int").alias("fold"))
 
 
 def feasible_folds(wide: DataFrame, folds: int = 5, fallback: int = 2) -> int:
@@ -26,9 +36,7 @@ def feasible_folds(wide: DataFrame, folds: int = 5, fallback: int = 2) -> int:
 
 def train_test(wide: DataFrame, train_share: float, seed: int = 0) -> DataFrame:
     """wide with train: in each class the first rows in hash order, the rounded share of them."""
-    at = F.row_number().over(Window.partitionBy("label").orderBy(_order(seed), "id"))
-    n = F.count("*").over(Window.partitionBy("label"))
-    return wide.withColumn("train", at <= F.round(n * train_share))
+    return _placed(wide, seed).select(*wide.columns, (F.col("_at") <= F.round(F.col("_size") * train_share)).alias("train"))
 
 
 def repair_classes(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,13 +54,11 @@ def duplicate_singletons(wide: DataFrame) -> DataFrame:
 
 def peel(wide: DataFrame, tenths: int, seed: int = 0) -> DataFrame:
     """Without floor(n d / 10) rows of each class, the first in hash order; if that is none at all, without one of the least class."""
-    n = F.count("*").over(Window.partitionBy("label"))
-    at = F.row_number().over(Window.partitionBy("label").orderBy(_order(seed), "id"))
-    rows = wide.withColumn("at", at).withColumn("quota", F.floor(n * tenths / 10))
+    rows = _placed(wide, seed).withColumn("_quota", F.floor(F.col("_size") * tenths / 10))
     least = wide.groupBy("label").agg(F.floor(F.count("*") * tenths / 10).alias("q")).agg(F.sum("q").alias("all"), F.min("label").alias("first"))
     rows = rows.crossJoin(F.broadcast(least))
-    quota = F.when((F.col("all") == 0) & (F.col("label") == F.col("first")), 1).otherwise(F.col("quota"))
-    return rows.where(F.col("at") > quota).select(*wide.columns)
+    quota = F.when((F.col("all") == 0) & (F.col("label") == F.col("first")), 1).otherwise(F.col("_quota"))
+    return rows.where(F.col("_at") > quota).select(*wide.columns)
 
 
 def training_share(counts: dict[int, int], start: float, least_share: float = 0.3, least_rows: int = 50, step: float = 0.01, tries: int = 100) -> float:
