@@ -122,8 +122,8 @@ SELECT rank::INT AS rank, j, round(score, 6) AS score FROM r WHERE rank <= 10"""
     "one_hot_counts": "SELECT c::INT AS c, (SELECT count(*) FROM embeddings WHERE label = c) AS n FROM range(10) t(c)",
     "second_moment_matrix": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J} SELECT i, j, round(s / n, 6) AS v FROM pj CROSS JOIN n",
     "thresholded_covariance": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J} SELECT i, j, round(CASE WHEN i <> j AND s / n < 1 / sqrt(n) THEN 0 ELSE s / n END, 5) AS v FROM pj CROSS JOIN n",
-    "sample_covariance": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, {_COV} SELECT i, j, round(v, 6) AS v FROM cov",
-    "feature_correlation": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, {_COV}, {_CORR} SELECT i, j, round(r, 5) AS r FROM r",
+    "sample_covariance": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, {_COV} SELECT i, j, round(v, 6) + 0 AS v FROM cov",
+    "feature_correlation": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, {_COV}, {_CORR} SELECT i, j, round(r, 5) + 0 AS r FROM r",
     "correlation_edges": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, {_COV}, {_CORR} SELECT i, j FROM r WHERE abs(r) > 0.1",
     "knn_graph_binary": _graph(5, "binary"),
     "knn_graph_binary_cosine": _graph(5, "binary", True),
