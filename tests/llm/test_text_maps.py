@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -151,6 +152,11 @@ def test_base_spans_equal_the_patterns(spark):
     for _ in range(20_000):
         t = "".join(r.choice("a1@.+- (9.5%@é)4") for _ in range(r.randint(1, 60)))
         assert pii.base_spans(t) == plain_spans(t), t
+    long = "1" * 300_000 + " a@b.co " + "1." * 100_000 + " " + "x" * 300_000 + "@ +1" + "(" * 100_000
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    began = time.perf_counter()
+    assert any(k == 0 for *_, k in pii.base_spans(long)) and len(pii.all_spans([long], field)) == 1
+    assert time.perf_counter() - began < 10
     d = docs(spark)
     rows = pii.find(d).collect()
     want = {r["doc_id"]: plain_spans(r["text"] or "") for r in d.collect()}
