@@ -67,6 +67,22 @@ def correlation_edges(wide: DataFrame, limit: float = 0.8) -> DataFrame:
     return correlation(wide).where(F.abs(F.col("r")) > limit).select("i", "j")
 
 
+def extreme_entries(entries: DataFrame, k: int, largest: bool = True, value: str = "v") -> DataFrame:
+    """The k largest or smallest entries of a matrix, ties by place."""
+    v = F.round(value, 9)
+    return entries.orderBy(v.desc() if largest else v.asc(), "i", "j").limit(k)
+
+
+def l21_norm(long: DataFrame) -> DataFrame:
+    """One row: the sum over rows of their Euclidean lengths."""
+    return long.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).agg(F.sum("n").alias("norm"))
+
+
+def masked(wide: DataFrame, masks: DataFrame) -> DataFrame:
+    """(id, label, mask_id, features): each row under each mask (mask_id, mask)."""
+    return wide.crossJoin(masks).select("id", "label", "mask_id", F.zip_with("features", "mask", lambda x, m: x * m).alias("features"))
+
+
 def dense(entries: DataFrame, p: int, value: str = "v") -> np.ndarray:
     """The symmetric matrix of (i, j, value) with p(p+1)/2 entries at most, on the driver."""
     out = np.zeros((p, p))

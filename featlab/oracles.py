@@ -88,6 +88,9 @@ _SETN = "u AS (SELECT j, j IN (SELECT j FROM a) AS ia, j IN (SELECT j FROM b) AS
 
 _ALGORITHMS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
+_CAT_ROWS = """c AS (SELECT l_returnflag || (l_suppkey % 7) AS category, (l_linestatus = 'O')::INT AS y FROM lineitem),
+st AS (SELECT category, y, count(*) OVER w AS k, (sum(y) OVER w)::DOUBLE AS s, avg(y) OVER w AS m, coalesce(var_samp(y) OVER w, 0) AS v, avg(y) OVER () AS g, var_samp(y) OVER () AS gv FROM c WINDOW w AS (PARTITION BY category))"""
+
 ORACLES: dict[str, str] = {
     "fs_low_variance_topk": _top(_VAR),
     "fs_low_variance_floor": f"WITH {_EMB}, s AS ({_VAR}), c AS (SELECT count(*) FILTER (score > 0.1 * (1 - 0.1)) AS a, count(*) FILTER (score > 0.01) AS b, count(*) AS n FROM s) SELECT (CASE WHEN a > 0 THEN 0.1::DOUBLE * (1 - 0.1::DOUBLE) WHEN b > 0 THEN 0.01::DOUBLE ELSE 0 END)::DOUBLE AS floor, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE n END AS n_pass FROM c",
@@ -211,4 +214,12 @@ ks, hypers, dks AS dataset_ks, das AS dataset_algorithms FROM m JOIN ga USING (r
     "json_cell": f"WITH {_RUNS} SELECT dataset, '[' || string_agg('{{\"seq\":' || seq || ',\"k\":' || k || '}}', ',' ORDER BY seq, k) || ']' AS json FROM runs WHERE seq % 50 = 0 GROUP BY dataset",
     "repositories": f"WITH {_RUNS} SELECT DISTINCT repository FROM runs",
     "file_stems": f"WITH {_RUNS} SELECT DISTINCT dataset || '.mat' AS file, dataset AS stem FROM runs",
+    "extreme_matrix_entries": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, mm AS (SELECT i, j, s / n AS v FROM pj CROSS JOIN n WHERE i < j), a AS (SELECT *, 'largest' AS side FROM mm ORDER BY round(v, 9) DESC, i, j LIMIT 5), b AS (SELECT *, 'smallest' AS side FROM mm ORDER BY round(v, 9), i, j LIMIT 5) SELECT i, j, round(v, 6) AS v, side FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
+    "l21_norm": f"WITH {_EMB} SELECT round(sum(n), 4) AS norm FROM (SELECT sqrt(sum(x * x)) AS n FROM x GROUP BY id)",
+    "masked_inputs": f"WITH {_EMB} SELECT id, (j % 4)::BIGINT AS mask_id, round(sum(x), 6) AS s FROM x GROUP BY ALL",
+    "leading_algorithms": f"WITH {_RUNS}, t AS (SELECT * FROM runs QUALIFY avg_accuracy = max(avg_accuracy) OVER (PARTITION BY dataset, fs)) SELECT dataset, fs, max(avg_accuracy) AS best, array_to_string(list_sort(list(DISTINCT algorithm)), ',') AS algorithms FROM t GROUP BY ALL",
+    "encode_target": f"WITH {_CAT_ROWS} SELECT category, y, count(*) AS n, round(avg(m), 6) AS encoded FROM st GROUP BY ALL",
+    "encode_leave_one_out": f"WITH {_CAT_ROWS} SELECT category, y, count(*) AS n, round(avg(coalesce((s - y) / nullif(k - 1, 0), g)), 6) AS encoded FROM st GROUP BY ALL",
+    "encode_james_stein": f"WITH {_CAT_ROWS} SELECT category, y, count(*) AS n, round(avg((1 - v / (v + gv)) * m + v / (v + gv) * g), 6) AS encoded FROM st GROUP BY ALL",
+    "full_results_upsert": f"WITH {_RUNS} SELECT repository, dataset, fs, algorithm, k, hyper, evaluator, seq FROM runs QUALIFY row_number() OVER (PARTITION BY repository, dataset, fs, algorithm, k, hyper, evaluator ORDER BY seq % 3 = 0 DESC, seq DESC) = 1",
 }

@@ -54,6 +54,7 @@ UPSERTS = {
     "results": (["run_key", "perform_cv", "folds", "fs"], "first", [F.asc, ("dataset", "algorithm", "k")]),
     "original_fs": (["repository", "dataset", "hard_t", "training_percent", "algorithm", "k"], "last", [F.asc, ("repository", "dataset", "hard_t", "training_percent", "algorithm", "k")]),
     "change_log": (["repository", "dataset", "removed_percent", "fs", "hard_t", "training_percent"], "last", None),
+    "full_results": (["repository", "dataset", "hard_t", "training_percent", "removed_percent", "fs", "algorithm", "k", "hyper", "evaluator"], "last", None),
     "dataset_labels": (["repository", "dataset", "hard_t", "training_percent", "n", "p", "fs", "algorithm"], "first", None),
 }
 
@@ -61,6 +62,8 @@ UPSERTS = {
 def upsert_table(name: str, old: DataFrame, new: DataFrame, seq: str | None = None) -> DataFrame:
     keys, keep, order = UPSERTS[name]
     columns = [order[0](c) for c in order[1]] if order else None
+    if name == "full_results":
+        columns = [F.desc(c) if c in ("hard_t", "training_percent") else F.asc(c) for c in keys]
     if name == "change_log":
         columns = [F.asc("repository"), F.asc("dataset"), F.desc("training_length"), F.asc("fs")]
     return upsert(old, new, keys, keep, seq, columns)
@@ -150,6 +153,12 @@ def summary(best: DataFrame) -> DataFrame:
     return both.select(*out)
 
 
+def leaders(df: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """(by, best, algorithms): the distinct algorithms that reach the best score, joined by commas."""
+    top = df.groupBy(*by).agg(F.max(metric).alias(metric))
+    return df.join(top, [*by, metric]).groupBy(*by).agg(F.max(metric).alias("best"), F.array_join(F.array_sort(F.collect_set("algorithm")), ",").alias("algorithms"))
+
+
 def light(df: DataFrame, seq: str, metrics: list[str]) -> DataFrame:
     """The FS rows that lead their dataset by one of the metrics (of equals the first by seq), each once."""
     rows = df.where("fs = 'FS'")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featlab.functions import expressions as X
-from featlab.operators import consensus, filters, graphs, metrics, moments, redundancy, selectors, splits
+from featlab.operators import consensus, encoders, filters, graphs, metrics, moments, redundancy, selectors, splits
 from featlab.operators.rank import at_least_kth, column_order, reversed_rank, tier, top_k
 from featlab.plans import hard, peeling, pipeline, registry, results
 from featlab.session import ensure_importable
@@ -761,3 +761,69 @@ def fold_importances(spark, d):
     runs_ = pipeline.fold_runs(_emb(spark, d), "low_variance", [5], ["ETREE", "LR", "KNN", "LDA"])
     cell = runs_.select("fold", "evaluator", F.posexplode(F.arrays_zip("selected", "importance")).alias("p", "x"))
     return cell.select("fold", "evaluator", (F.col("p") + 1).alias("rank"), F.col("x.selected").alias("j"), F.round("x.importance", 6).alias("importance"))
+
+
+# --- further matrix and table operators ---
+
+
+@query
+def extreme_matrix_entries(spark, d):
+    m = moments.second_moments(_emb(spark, d)).where("i < j")
+    both = moments.extreme_entries(m, 5).withColumn("side", F.lit("largest")).unionByName(moments.extreme_entries(m, 5, False).withColumn("side", F.lit("smallest")))
+    return rounded(both)
+
+
+@query
+def l21_norm(spark, d):
+    return rounded(moments.l21_norm(_emb_long(spark, d)), 4)
+
+
+@query
+def masked_inputs(spark, d):
+    masks = spark.range(4).select(F.col("id").alias("mask_id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: (j % 4 == F.col("id")).cast("int")).alias("mask"))
+    rows = moments.masked(_emb(spark, d), masks)
+    return rounded(rows.select("id", "mask_id", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("s")))
+
+
+@query
+def leading_algorithms(spark, d):
+    return results.leaders(runs(spark, d), ["dataset", "fs"], "avg_accuracy")
+
+
+def _categories(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.select(F.concat("l_returnflag", (F.col("l_suppkey") % 7).cast("string")).alias("category"), (F.col("l_linestatus") == "O").cast("int").alias("y"))
+
+
+def _encoded(df):
+    return rounded(df.groupBy("category", "y").agg(F.count("*").alias("n"), F.avg("encoded").alias("encoded")))
+
+
+@query
+def encode_target(spark, d):
+    return _encoded(encoders.target_mean(_categories(spark, d), "category", "y"))
+
+
+@query
+def encode_leave_one_out(spark, d):
+    return _encoded(encoders.leave_one_out(_categories(spark, d), "category", "y"))
+
+
+@query
+def encode_james_stein(spark, d):
+    return _encoded(encoders.james_stein(_categories(spark, d), "category", "y"))
+
+
+@query
+def full_results_upsert(spark, d):
+    r = runs(spark, d).select("seq", "repository", "dataset", "fs", "algorithm", "k", "hyper", "evaluator", "avg_auc", F.lit(0.7).alias("hard_t"), F.lit(50.0).alias("training_percent"), F.lit(10.0).alias("removed_percent"))
+    return results.upsert_table("full_results", r.where("seq % 3 <> 0"), r.where("seq % 3 = 0"), "seq").select("repository", "dataset", "fs", "algorithm", "k", "hyper", "evaluator", "seq")
+
+
+@query
+def selected_importance(spark, d):
+    """Shares of importance of the ten features with the most variance, from trees on all features."""
+    imp = selectors.forest_importance(_emb(spark, d), 10)
+    chosen = filters.low_variance(_emb_long(spark, d), 10).select("j")
+    total = imp.agg(F.sum("score").alias("t"))
+    return imp.join(chosen, "j").crossJoin(F.broadcast(total)).select("j", X.custom_round(F.col("score") / F.col("t")).alias("importance"))
