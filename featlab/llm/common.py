@@ -16,11 +16,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Java and RE2 form of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _scratch: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_importable(spark)
+    if spark.conf.get(_BATCH) == "10000":  # the default, made for short rows; documents are long
+        spark.conf.set(_BATCH, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
