@@ -28,6 +28,8 @@ from featlab.llm.tokens import batches_of, lengths
 MODEL = "piece_bpe_32k.model"
 #: Distinct words that a worker remembers at most, and the longest of them in characters; those not met lately are forgotten.
 CACHE, CACHE_LENGTH = 500_000, 48
+#: Bytes of text whose new words are sorted together.
+SORT_BYTES = 4_000_000
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n\r\t]*|[^{MARK}\n\r\t]+|[\n\r\t]")
 _made: dict[str, "Pieces"] = {}
@@ -44,7 +46,10 @@ class Pieces:
         self.text = [sp.id_to_piece(i) for i in range(n)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.text) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
+        self.high = np.zeros(n, bool)  # bytes of longer characters; those under 128 are characters of their own
+        self.high[[i for i, b in self.byte_of.items() if b >= 128]] = True
         self.hidden = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i)}
+        self.shown = ["" if i in self.hidden else chr(self.byte_of.get(i, 0)) if i in self.byte_of else p.replace(MARK, " ") for i, p in enumerate(self.text)]
         self.ids = {p: i for i, p in enumerate(self.text) if i not in self.hidden and i not in self.byte_of and not sp.is_unused(i)}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         # scores of merge files are minus the merge's rank, whole numbers
@@ -178,8 +183,11 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text; exact but that a mark in a text comes back as a space."""
+        numbers = np.frombuffer(ids, "<u4")
+        if not self.high[numbers].any():
+            return "".join(map(self.shown.__getitem__, numbers.tolist()))[1:]
         out, raw = [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
+        for i in numbers.tolist():
             b = self.byte_of.get(i)
             if b is not None:
                 raw.append(b)
@@ -187,11 +195,10 @@ class Pieces:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i not in self.hidden:
-                out.append(self.text[i])
+            out.append(self.shown[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        return "".join(out)[1:]
 
 
 def pieces(name: str = MODEL) -> Pieces:
@@ -215,7 +222,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         own = pieces(model)
         for rows in batches:
-            for k in batches_of(lengths(rows.column("text"))):
+            for k in batches_of(lengths(rows.column("text")), SORT_BYTES):
                 part = rows.slice(k.start, k.stop - k.start)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = own.encode_batch(texts)
