@@ -115,9 +115,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with the row of the least id of each component; all columns stay as they are. Of several rows with that id, one stays."""
-    rows = near_components(docs, id_col, text_col, words, radius)
+def keep_least(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with the row of the least id of each component. rows: (id_col, component_id, ...), one for each row of docs."""
     key = fresh("_id", docs)
     kept = written(rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias("n_rows")), "kept")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(key))
@@ -126,3 +125,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not again.isEmpty():
         out = out.unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col]))
     return out.select(*docs.columns)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with the row of the least id of each component; all columns stay as they are. Of several rows with that id, one stays."""
+    return keep_least(docs, near_components(docs, id_col, text_col, words, radius), id_col)
