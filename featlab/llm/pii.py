@@ -2,9 +2,11 @@
 
 Patterns give the base spans. The nodes of the field are the tokens that hold a digit or an @. A node
 has potentials from its shape and from the words beside it; neighbouring nodes share potentials
-(linear chain), and so do nodes with the same or similar tokens, however far apart (skip edges:
-each occurrence with the next one of its group, so a token that occurs k times has k - 1 edges).
-Loopy sum-product messages spread the base spans' labels to the other mentions in the document. A
+(linear chain), and so do nodes with the same or similar tokens, however far apart (skip edges: each
+occurrence with the hub of its group, a node without a text of its own, so a token that occurs k
+times has k edges at most and any two of its mentions are two steps apart; a base span on one of
+them gives the hub its label). Loopy sum-product messages
+spread the base spans' labels to the other mentions in the document until they no longer change. A
 node whose label is certain enough and that no base span touches becomes a further span.
 
 The weights come from maximum pseudo-likelihood on a bounded sample of documents, labelled by the
@@ -32,7 +34,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Documents at most that the weights are learned from: those with the least hash of their id among those with a digit or an @.
 SAMPLE_ROWS = 2_000
-ROUNDS, DAMPING, CERTAIN = 12, 0.3, 0.9
+DAMPING, CERTAIN = 0.3, 0.9
+#: Messages are passed until none changes by more than TOLERANCE; every STEADY rounds the steps halve, so that those that swing settle.
+TOLERANCE, STEADY = 1e-4, 100
 
 # Scans below take time in proportion to the text, also where a run of digits or letters is very long.
 _TOKEN, _REST = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"\x20\([0-9]+\)\x20[0-9][0-9-]*")
@@ -190,7 +194,7 @@ def graph(text: str, spans: list[tuple[int, int, int]]) -> Graph:
 
 
 def edges(g: Graph) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges and skip edges."""
+    """Chain edges and skip edges in turn: what the weights are learned from."""
     chain = [(i, i + 1) for i in range(len(g.spans) - 1)]
     skip, last = [], {}
     for i, keys in enumerate(g.keys):
@@ -201,14 +205,37 @@ def edges(g: Graph) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     return chain, skip
 
 
+def hubs(g: Graph) -> tuple[int, list[tuple[int, int]]]:
+    """The number of groups of nodes that share keys, directly or by way of others, and (node, group) of all nodes that are not alone."""
+    group: dict[str, str] = {}
+
+    def root(k: str) -> str:
+        while group.setdefault(k, k) != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    for keys in g.keys:
+        for k in keys[1:]:
+            group[root(k)] = root(keys[0])
+    members: dict[str, list[int]] = {}
+    for i, keys in enumerate(g.keys):
+        members.setdefault(root(keys[0]), []).append(i)
+    shared = [m for m in members.values() if len(m) > 1]
+    return len(shared), [(i, h) for h, m in enumerate(shared) for i in m]
+
+
 @dataclass
 class Field:
     node: np.ndarray  #: FEATURES x labels
     chain: np.ndarray  #: labels x labels
     skip: np.ndarray  #: labels x labels
 
-    def beliefs(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Marginals of all nodes by damped loopy sum-product messages; edges: (n, 2) of node positions."""
+    def beliefs(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, doc: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of all nodes by damped loopy sum-product messages; edges: (n, 2) of node positions.
+
+        doc: the number of each node's document; each document's messages end by themselves, so none
+        depends on the others.
+        """
         ends = np.concatenate((chain, skip)).astype(np.int64)
         if not len(ends):
             return _softmax(unary)
@@ -216,15 +243,26 @@ class Field:
         src, dst = np.concatenate((ends[:, 0], ends[:, 1])), np.concatenate((ends[:, 1], ends[:, 0]))
         pot = np.exp(np.concatenate((pot, pot.transpose(0, 2, 1))))
         back = np.concatenate((np.arange(len(ends)) + len(ends), np.arange(len(ends))))
+        own = np.zeros(len(src), np.int64) if doc is None else doc[src]
         msg = np.zeros((len(src), unary.shape[1]))
-        for _ in range(ROUNDS):
-            total = unary.copy()
-            np.add.at(total, dst, msg)
-            out = total[src] - msg[back]
+        going, weight, rounds = np.arange(len(src)), 1 - DAMPING, 0
+        total = unary.copy()
+        while len(going):
+            total[dst[going]] = unary[dst[going]]
+            np.add.at(total, dst[going], msg[going])
+            out = total[src[going]] - msg[back[going]]
             out = np.exp(out - out.max(1, keepdims=True))
-            new = np.log(np.einsum("ea,eab->eb", out, pot))
+            new = np.log(np.einsum("ea,eab->eb", out, pot[going]))
             new -= new.max(1, keepdims=True)
-            msg = (1 - DAMPING) * new + DAMPING * msg
+            step = weight * (new - msg[going])
+            msg[going] += step
+            far = np.abs(step).max(1) > TOLERANCE
+            open_ = np.zeros(own.max() + 1, bool)
+            open_[own[going[far]]] = True
+            going = going[open_[own[going]]]
+            rounds += 1
+            if rounds % STEADY == 0:
+                weight /= 2
         total = unary.copy()
         np.add.at(total, dst, msg)
         return _softmax(total)
@@ -273,8 +311,8 @@ HELD = 50.0
 
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and the further ones; all texts' graphs go through one set of messages."""
-    found, graphs, unary, chain, skip, at = [base_spans(t) for t in texts], [], [], [], [], 0
-    for t, spans in zip(texts, found, strict=True):
+    found, graphs, unary, chain, skip, doc, at = [base_spans(t) for t in texts], [], [], [], [], [], 0
+    for d, (t, spans) in enumerate(zip(texts, found, strict=True)):
         g = None
         if spans:  # without a base span there is no label to spread
             g = graph(t, spans)
@@ -282,20 +320,27 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
             for i, k in enumerate(g.base):
                 if k:
                     u[i, k] += HELD
-            c, s = edges(g)
-            unary.append(u)
-            chain += [(a + at, b + at) for a, b in c]
-            skip += [(a + at, b + at) for a, b in s]
-            at += len(g.spans)
+            n, joins = hubs(g)
+            own = np.zeros((n, u.shape[1]))
+            for i, h in joins:
+                if g.base[i]:  # a base span's label holds for the group, however many other mentions it has
+                    own[h, g.base[i]] += HELD * len(g.spans)
+                else:
+                    skip.append((i + at, h + at + len(g.spans)))
+            unary += [u, own]
+            chain += [(a + at, a + at + 1) for a in range(len(g.spans) - 1)]
+            at += len(g.spans) + n
+            doc += [d] * (len(g.spans) + n)
         graphs.append(g)
     out = []
-    p = field.beliefs(np.concatenate(unary), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)) if at else None
+    pairs = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
+    p = field.beliefs(np.concatenate(unary), *pairs, np.array(doc, np.int64)) if at else None
     at = 0
     for spans, g in zip(found, graphs, strict=True):
         more = []
         if g is not None:
             own = p[at : at + len(g.spans)]
-            at += len(g.spans)
+            at += len(g.spans) + hubs(g)[0]
             for (a, b), k, q in zip(g.spans, g.base, own, strict=True):
                 best = int(q.argmax())
                 if not k and best and q[best] >= CERTAIN:
