@@ -314,7 +314,7 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
     found, graphs, unary, chain, skip, doc, at = [base_spans(t) for t in texts], [], [], [], [], [], 0
     for d, (t, spans) in enumerate(zip(texts, found, strict=True)):
         g = None
-        if spans:  # without a base span there is no label to spread
+        if _HOLDS.search(t):  # else there is no node
             g = graph(t, spans)
             u = g.feats @ field.node
             for i, k in enumerate(g.base):

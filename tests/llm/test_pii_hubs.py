@@ -33,3 +33,13 @@ def test_hubs_are_linear_and_messages_end_where_they_settle():
     for _ in range(199):
         exact.append(exact[-1] @ m)
     assert np.abs(p - np.array(exact)).max() < 1e-3
+
+
+def test_documents_without_a_base_span_get_inference():
+    f = field()
+    f.node[13, 4] = 6.0  # a hyphen in the token
+    line = "reach me at 389-555-0199 today"
+    assert pii.base_spans(line) == []
+    want = [(12, 24, 3)]
+    assert pii.all_spans([line], f)[0] == ([], want)
+    assert pii.all_spans([line + " or a@b.org"], f)[0][1] == want
