@@ -255,6 +255,15 @@ def tree_shap(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def shap_importance(trees: list[Tree], x: np.ndarray, block: int = 256) -> np.ndarray:
+    """The mean over all rows and outputs of the absolute sum of the trees' Shapley values, by feature; blocks of rows bound the memory."""
+    total = np.zeros(x.shape[1])
+    for at in range(0, len(x), block):
+        s = np.abs(sum(tree_shap(t, x[at : at + block]) for t in trees))
+        total += s.mean(2).sum(0)
+    return total / max(1, len(x))
+
+
 # --- linear and kernel ---
 
 
