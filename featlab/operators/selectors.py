@@ -300,15 +300,14 @@ def linear_svc(f: Fold, C: float = 1.0, penalty: str = "l2", **_):
     return best, [float(s[j]) for j in best]
 
 
-def shapley(f: Fold, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, explain_rows: int = 500, **_):
+def shapley(f: Fold, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, **_):
     if f.classes == 2:
         trees = learn.Boosting(n_estimators, learning_rate, max_depth).fit(f.x, f.y).trees
         scale = 1.0
     else:
         trees = learn.Forest(n_estimators, max_depth, False).fit(f.x, f.y, f.classes, f.seed).trees
         scale = 1.0 / len(trees)
-    x = f.x[f.rng().permutation(len(f.x))[:explain_rows]]
-    return ranked(np.abs(scale * sum(learn.tree_shap(t, x) for t in trees)).mean((0, 2)), f.k)
+    return ranked(scale * learn.shap_importance(trees, f.x), f.k)
 
 
 def kernel_svm(f: Fold, C: float = 1.0, repeats: int = 10, **_):
@@ -546,6 +545,36 @@ def dual_network(f: Fold, data_batch_size: int = 16, mask_batch_size: int = 16,
     return ranked(-gradient(optimal(12)[None])[0], f.k)
 
 
+def graph_gradient(full: np.ndarray, y: np.ndarray, chosen: list[int], w0: np.ndarray, noisy: list[tuple], alpha: float, cells: int = 1 << 22) -> np.ndarray:
+    """The loss gradients of the input weights of all features, summed over noisy copies (wl, wr, wo), in the graph of all rows.
+
+    The graph is made anew in blocks of about `cells` cosines, so that memory stays linear in the rows.
+    """
+    xb, n = full[:, chosen], len(full)
+    z = xb / np.maximum(1e-12, np.linalg.norm(xb, axis=1, keepdims=True))
+    step = max(1, cells // n)
+
+    def blocks():
+        for at in range(0, n, step):
+            c = np.abs(z[at : at + step] @ z.T)
+            a = (c >= np.quantile(c, alpha, axis=1, keepdims=True)).astype(float)
+            yield slice(at, at + step), a / a.sum(1, keepdims=True)
+
+    h0 = np.maximum(xb @ w0, 0)
+    near = np.empty_like(h0)
+    for at, a in blocks():
+        near[at] = a @ h0
+    own, others = np.zeros_like(h0), np.zeros_like(h0)
+    for wl, wr, wo in noisy:
+        z1 = near @ wl + h0 @ wr
+        g1 = ((learn.softmax(np.maximum(z1, 0) @ wo) - y) / n @ wo.T) * (z1 > 0)
+        own += g1 @ wr.T
+        others += g1 @ wl.T
+    for at, a in blocks():
+        own += a.T @ others[at]
+    return full.T @ (own * (h0 > 0))
+
+
 def graph_network(f: Fold, epochs: int = 5, learning_rate: float = 1e-3, q: float = 2, n_dropouts: int = 10, dropout_prob: float = 0.5, batch_size: int = 16, alpha: float = 0.95, sigma: float = 0.1, f_correct: float = 0.0, hidden: tuple[int, int] = (64, 32), **_):
     """A subset grows by the feature whose input weights have the largest loss gradient in a graph network, averaged over noisy copies with units left out.
 
@@ -563,8 +592,7 @@ def graph_network(f: Fold, epochs: int = 5, learning_rate: float = 1e-3, q: floa
         a = (c >= np.quantile(c, alpha, axis=1, keepdims=True)).astype(float)
         return a / a.sum(1, keepdims=True)
 
-    def run(par, xb, yb, full=None):
-        """Gradients of all parameters, and of the input weights for all features if full is given."""
+    def run(par, xb, yb):
         w0, wl, wr, wo = par
         h0 = np.maximum(xb @ w0, 0)
         a = adjacency(xb)
@@ -575,7 +603,7 @@ def graph_network(f: Fold, epochs: int = 5, learning_rate: float = 1e-3, q: floa
         g1 = (g @ wo.T) * (z1 > 0)
         gl, gr = (a @ h0).T @ g1, h0.T @ g1
         g0 = (a.T @ g1 @ wl.T + g1 @ wr.T) * (h0 > 0)
-        return [(xb if full is None else full).T @ g0, gl, gr, go]
+        return [xb.T @ g0, gl, gr, go]
 
     chosen, scores = [0], []
     shape = lambda a, b: rng.standard_normal((a, b)) * np.sqrt(2 / (a + b))
@@ -589,12 +617,11 @@ def graph_network(f: Fold, epochs: int = 5, learning_rate: float = 1e-3, q: floa
             for at in range(0, len(x), batch_size):
                 rows = order[at : at + batch_size]
                 adam.step(run(par, x[rows][:, chosen], y[rows]))
-        total = np.zeros((x.shape[1], hidden[0]))
-        rows = rng.permutation(len(x))[:512]
+        copies = []
         for _d in range(n_dropouts):
             keep0, keep1 = rng.random(hidden[0]) >= dropout_prob, rng.random(hidden[1]) >= dropout_prob
-            noisy = [w0, (wl + sigma * rng.standard_normal(wl.shape)) * keep0[:, None], (wr + sigma * rng.standard_normal(wr.shape)) * keep0[:, None], wo * keep1[:, None]]
-            total += run(noisy, x[rows][:, chosen], y[rows], x[rows])[0]
+            copies.append(((wl + sigma * rng.standard_normal(wl.shape)) * keep0[:, None], (wr + sigma * rng.standard_normal(wr.shape)) * keep0[:, None], wo * keep1[:, None]))
+        total = graph_gradient(x, y, chosen, w0, copies, alpha)
         norm = (np.abs(total / n_dropouts) ** q).sum(1) ** (1 / q)
         norm = norm / (np.linalg.norm(norm) or 1)
         norm[1:] = (1 - f_correct) * norm[1:] + f_correct * anova_
