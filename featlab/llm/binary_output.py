@@ -1,9 +1,9 @@
 """Token ids as packed matrices: best-fit decreasing by a segment tree over capacities.
 
-Overlong documents are split into whole rows and a rest, so nothing is lost. The rests go by decreasing
-length to the bin that they fill best. The tree has a leaf for each free capacity and counts the bins
-with that much room; a search goes down to the least capacity that suffices. Documents are dealt to
-groups by a hash, as in packing; a matrix row is a sequence, with the cumulative lengths of its segments
+Overlong documents are split into whole rows and a rest where they are encoded, so nothing is lost. The
+rests go by decreasing length to the bin that they fill best. The tree has a leaf for each free capacity
+and counts the bins with that much room; a search goes down to the least capacity that suffices. Pieces
+are dealt to groups of bounded size by a hash, as in packing; a matrix row is a sequence, with the cumulative lengths of its segments
 and positions that start anew with each.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.packing import by_id, tokenised
+from featlab.llm.packing import by_id, ids_kind, tokenised
 
 LENGTH, PAD, GROUP_DOCS = 2048, 50256, 2048
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -90,19 +90,21 @@ def packed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind, place = ("<u2" if pad < 1 << 16 else "<u4"), ("<u2" if length <= 1 << 16 else "<u4")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, ids = by_id(rows)
+        rows = by_id(rows)
+        names, starts, sizes = (rows[c].tolist() for c in ("id", "start", "n"))
+        names = [None if i is pd.NA else i for i in names]
         grp, out = int(rows["grp"].iloc[0]), []
-        for s, pieces in enumerate(best_fit([len(x) for x in ids], length)):
+        for s, pieces in enumerate(best_fit(sizes, length)):
             row, pos, ends = np.full(length, pad, kind), np.zeros(length, place), [0]
             for d, a, n in pieces:
-                row[ends[-1] : ends[-1] + n] = ids[d][a : a + n]
+                row[ends[-1] : ends[-1] + n] = np.frombuffer(rows["ids"][d], ids_kind(rows["ids"][d], sizes[d]))[a : a + n]
                 pos[ends[-1] : ends[-1] + n] = np.arange(n)
                 ends.append(ends[-1] + n)
             pos[ends[-1] :] = np.arange(length - ends[-1])
-            out.append(((grp << 32) + s, row.tobytes(), pos.tobytes(), ends, [names[d] for d, _, _ in pieces], [a for _, a, _ in pieces]))
+            out.append(((grp << 32) + s, row.tobytes(), pos.tobytes(), ends, [names[d] for d, _, _ in pieces], [starts[d] + a for d, a, _ in pieces]))
         return pd.DataFrame(out, columns=["sequence_id", "ids", "positions", "cu_seqlens", "doc_ids", "starts"])
 
-    return tokenised(docs, "rank", tokenizer, None, id_col, text_col, group_docs).groupBy("grp").applyInPandas(run, "sequence_id long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
+    return tokenised(docs, "rank", tokenizer, None, id_col, text_col, length, group_docs, True).groupBy("grp").applyInPandas(run, "sequence_id long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>")
 
 
 def write_packed(rows: DataFrame, path: str) -> None:

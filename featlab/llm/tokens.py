@@ -8,8 +8,10 @@ import re
 
 import numpy as np
 
-#: Distinct words, and distinct parts of words, that a worker remembers; beyond that it forgets them all and goes on.
-CACHE, CACHE_LENGTH = 600_000, 48
+#: Bytes, by estimate, that a worker's memory of words or of parts of words may take; words longer than CACHE_LENGTH aren't kept.
+CACHE_BYTES, CACHE_LENGTH = 24_000_000, 48
+#: What an entry takes besides its own characters and ids.
+_ENTRY = 190
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1_000_000
 _made: dict[tuple, object] = {}
@@ -19,6 +21,35 @@ _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\u017e\x09-\x0d\x20]+")
 
 
+class Remembered:
+    """Ids by word in two generations: when the newer one has half of CACHE_BYTES, the older one is forgotten and it takes its place.
+    What is asked for again moves to the newer one, so words in use stay."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def missing(self, words: set) -> list:
+        """The words whose ids aren't known; all others are in self.new from now on."""
+        out = []
+        for w in words.difference(self.new):
+            found = self.old.get(w)
+            if found is None:
+                out.append(w)
+            else:
+                self.put(w, found)
+        return out
+
+    def put(self, word, ids: bytes) -> None:
+        self.new[word] = ids
+        self.size += len(word) + len(ids) + _ENTRY
+
+    def turn(self) -> None:
+        if self.size > CACHE_BYTES // 2:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
 class WordEncoder:
     """Ids of a `tokenizers` BPE file whose pre-tokenizer always splits at ASCII white space and drops it.
 
@@ -43,8 +74,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Remembered(), Remembered()
+        self.kind = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
 
     def _parts(self, new: list[str]) -> None:
         for k in range(0, len(new), 2048):
@@ -54,27 +85,28 @@ class WordEncoder:
             flat = ids.tobytes()
             if len(cuts) != len(some):
                 raise ValueError("a part of a word has no end or several")
-            self.parts.update(zip(some, (flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            for w, a, b in zip(some, [0, *cuts], cuts, strict=False):
+                self.parts.put(w, flat[a:b])
 
     def _words(self, new: list[bytes]) -> None:
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             for w, e in zip(some, self.whole.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+                self.words.put(w, np.array(e.ids, "<u4").tobytes())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         plain = [self.plain and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in texts]
         lists = [_PARTS.findall(t.lower()) if p else t.encode("utf-8").split() for t, p in zip(texts, plain, strict=True)]
         long = []
         for known, learn, kind in ((self.parts, self._parts, True), (self.words, self._words, False)):
-            if len(known) > CACHE:
-                known.clear()
-            new = list(set().union(*(x for x, p in zip(lists, plain, strict=True) if p == kind)).difference(known))
+            known.turn()
+            new = known.missing(set().union(*(x for x, p in zip(lists, plain, strict=True) if p == kind)))
             learn(new)
             long += [(known, x) for x in new if len(x) > CACHE_LENGTH]
-        out = [b"".join(map((self.parts if p else self.words).__getitem__, x)) for x, p in zip(lists, plain, strict=True)]
+        parts, words = self.parts.new, self.words.new
+        out = [b"".join(map((parts if p else words).__getitem__, x)) for x, p in zip(lists, plain, strict=True)]
         for known, x in long:
-            del known[x]
+            known.size -= len(x) + len(known.new.pop(x)) + _ENTRY
         return out
 
 
@@ -90,6 +122,7 @@ class RankEncoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.kind = "<u2" if self.encoding.n_vocab <= 1 << 16 else "<u4"
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(self.encoding.encode_ordinary(t), "<u4").tobytes() for t in texts]

@@ -54,6 +54,31 @@ def test_packing_is_whole_and_close(spark):
     assert packing.pack_first_fit(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_dealt_to_several_groups(spark):
+    """A repeated row and a long document don't make a group larger."""
+    rows = [(1, "the same row again", "en")] * 5000 + [(2, "word " * 40_000, "en"), (None, "no id", "de"), (None, "no id", "de")]
+    d = docs(spark, rows).coalesce(3)
+    dealt = packing.tokenised(d, "word", packing.TOKENIZER, 2, "doc_id", "text", 64, 512, False).toPandas()
+    sizes = dealt["grp"].value_counts()
+    assert len(sizes) == 10 and sizes.max() < 1.4 * len(dealt) / 10
+    assert dealt[dealt["crc"].notna()]["ids"].isna().all() and dealt["n"].sum() == dealt.drop_duplicates(["id", "total"])["total"].mul([5000, 1, 2]).sum()
+    out = packing.pack_first_fit(d, length=64, group_docs=512)
+    assert out.count() >= len(dealt) and out.where("doc_id = 1 AND start = 0").count() == 5000
+
+
+def test_word_memory_is_bounded_and_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    own, free = (tokens.WordEncoder(public.path("word_bpe_49k.json")) for _ in range(2))
+    for k in range(60):
+        texts = [f"the word{j} zażółć{j} again" for j in range(k, k + 30)]
+        got = own.encode_batch(texts)
+        monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 40)
+        assert got == free.encode_batch(texts)
+        monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+        for known in (own.words, own.parts):
+            assert len(known.new) + len(known.old) < 400
+
+
 @pytest.mark.parametrize("fit", [packing.first_fit, binary_output.best_fit])
 def test_bins_hold_everything_once(fit):
     r = random.Random(7)
