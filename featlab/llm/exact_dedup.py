@@ -1,11 +1,15 @@
 """Exact deduplication by a log-structured merge index over text digests.
 
-Memtables (one a task) flush runs: (id, digest) rows sorted by digest, with Parquet statistics and
-Bloom filters on the digest. Compaction merges all runs into one level with the least id and the
-number of rows of each digest. Digests with several rows are hits. Hits receive byte verification:
-a bit filter of fixed size over the hits lets only their texts pass a second scan, which groups by
-the digest and the text itself, so equal keys mean equal bytes. Copies are merged before each
-shuffle, so a group with a third of all rows costs a row a task.
+Each row's (id, digest) goes to a log, dealt to MEMTABLES memtables by a hash of the id. A memtable
+merges its copies, first in each task and then by digest, and is flushed as a run: (digest, least_id, n)
+sorted by digest over all its files, with Parquet statistics and Bloom filters on the digest, so a
+lookup reads only the row groups that may hold it. Compaction merges FAN_IN runs of a level into one of
+the next by ranges of the digest, least id and sum of n, as often as it takes; one run is left.
+
+Digests with several rows are hits. Hits receive byte verification: a bit filter over the hits, sized by
+their number, lets their texts and few others pass a second scan, which groups by the digest and the
+text itself, so equal keys mean equal bytes. Copies are merged before each shuffle, so a group with a
+third of all rows costs a row a task.
 """
 
 from __future__ import annotations
@@ -13,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.common import SPACE, fresh, scratch, text_or_empty, written
+from featlab.llm.common import SPACE, fresh, parts, scratch, text_or_empty, written
 
-#: The filter over hits has 2**FILTER_WORDS rows of 64 bits: 8 Mbit, whatever the input.
-FILTER_WORDS = 17
+MEMTABLES, FAN_IN = 4, 4
+#: The filter over hits has 2**FILTER_WORDS rows of 64 bits (8 Mbit), and more where there are more than a bit for FILTER_BITS
+#: of them: up to 2**FILTER_MOST rows (128 Mbit). Beyond 8 million hits more texts that are none pass and are grouped.
+FILTER_WORDS, FILTER_MOST, FILTER_BITS = 17, 21, 16
 
 
 def normalised(column: str = "text"):
@@ -28,40 +34,62 @@ def _digest(norm):
 
 
 class DigestIndex:
-    """Sorted digest runs of (id, digest) in the shared folder."""
+    """Runs (digest, least_id, n) in the shared folder, each sorted by digest; levels[k] holds those merged k times."""
 
-    def __init__(self, spark):
-        self.spark, self.runs, self._level = spark, [], None
+    def __init__(self, spark, fan_in: int = FAN_IN):
+        self.spark, self.fan_in, self.levels = spark, fan_in, [[]]
 
-    def flush(self, rows: DataFrame) -> None:
-        """rows: (id, digest). Each task's rows become one sorted run with filters."""
-        path = scratch(self.spark, "run")
-        rows.select("id", "digest").sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000").parquet(path)
-        self.runs.append(path)
-        self._level = None
+    def _write(self, rows: DataFrame, level: int) -> None:
+        path = scratch(self.spark, f"run-{level}")
+        rows.select("digest", "least_id", "n").sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000").parquet(path)
+        self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+        self.levels[level].append(path)
+
+    def _by_range(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(parts(self.spark), "digest")
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
+    def flush(self, rows: DataFrame) -> None:
+        """rows: (id, digest), one memtable. Its copies are merged, then it becomes a run."""
+        self._write(self._by_range(rows.groupBy("digest").agg(F.min("id").alias("least_id"), F.count("*").alias("n"))), 0)
+
+    def compact(self) -> None:
+        """Merges fan_in runs of a level at a time, from the lowest level up, until one run is left."""
+        while sum(map(len, self.levels)) > 1:
+            level = next(k for k, runs in enumerate(self.levels) if runs)
+            some, self.levels[level] = self.levels[level][: self.fan_in], self.levels[level][self.fan_in :]
+            if len(some) == 1:  # nothing to merge it with here
+                self.levels += [[] for _ in range(level + 2 - len(self.levels))]
+                self.levels[level + 1].append(some[0])
+            else:
+                rows = self._by_range(self.spark.read.parquet(*some))
+                self._write(rows.groupBy("digest").agg(F.min("least_id").alias("least_id"), F.sum("n").alias("n")), level + 1)
 
     def compacted(self) -> DataFrame:
-        """(digest, least_id, n): all runs merged; written once for each set of runs."""
-        if self._level is None:
-            merged = self.rows().groupBy("digest").agg(F.min("id").alias("least_id"), F.count("*").alias("n"))
-            self._level = written(merged.sortWithinPartitions("digest"), "level")
-        return self._level
+        """(digest, least_id, n) of all memtables flushed."""
+        self.compact()
+        return self.spark.read.parquet(*[path for runs in self.levels for path in runs])
+
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """The rows of some digests; statistics and Bloom filters skip the row groups that hold none of them."""
+        return self.compacted().where(F.col("digest").isin([bytearray(d) for d in digests]))
 
     def hits(self) -> DataFrame:
         return self.compacted().where("n > 1").select("digest")
 
 
-def _bits(digest):
+def filter_words(hits: int) -> int:
+    """log2 of the rows of the filter over so many hits."""
+    return min(FILTER_MOST, max(FILTER_WORDS, (hits * FILTER_BITS // 64).bit_length()))
+
+
+def _bits(digest, words: int):
     h = F.xxhash64(digest)
-    return F.pmod(h, F.lit(1 << FILTER_WORDS)).cast("int"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
+    return F.pmod(h, F.lit(1 << words)).cast("int"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
 
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """(word, bits), 2**FILTER_WORDS rows at most."""
-    word, bit = _bits(F.col("digest"))
+def hit_filter(hits: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """(word, bits), 2**words rows at most."""
+    word, bit = _bits(F.col("digest"), words)
     one = F.expr("shiftleft(1L, bit)")
     return hits.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
 
@@ -82,14 +110,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     index = DigestIndex(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col, digest_bytes)
-    index.flush(keyed.select("id", "digest"))
+    path = scratch(docs.sparkSession, "log")
+    log = keyed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(MEMTABLES)).cast("int").alias("memtable"))
+    log.write.partitionBy("memtable").parquet(path)  # a memtable's rows are read alone
+    log = docs.sparkSession.read.schema(log.schema).parquet(path)
+    for k in range(MEMTABLES):
+        index.flush(log.where(F.col("memtable") == k))
     hits = index.hits()
 
-    word, bit = _bits(F.col("digest"))
-    passed = keyed.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(hit_filter(hits)), "word").where(F.expr("shiftright(bits, bit) & 1L") == 1)
+    words = filter_words(hits.count())
+    word, bit = _bits(F.col("digest"), words)
+    passed = keyed.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(hit_filter(hits, words)), "word").where(F.expr("shiftright(bits, bit) & 1L") == 1)
     groups = passed.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     verified = written(groups.select("digest", F.xxhash64("norm").alias("text_hash"), "keep_id", "group_size").join(hits, "digest", "left_semi"), "verified")
-    each = index.rows().groupBy("id", "digest").agg(F.count("*").alias("n_rows"))
+    each = log.groupBy("id", "digest").agg(F.count("*").alias("n_rows"))
     shared = verified.groupBy("digest").count().where("count > 1").select("digest")
     if shared.isEmpty():
         out = each.join(verified.select("digest", "keep_id", "group_size"), "digest", "left")
