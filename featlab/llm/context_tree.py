@@ -318,7 +318,7 @@ def forward_index(docs: DataFrame, id_col: str, text_col: str, depth: int, block
         if held.docs:
             yield from held.frames(block, depth, shards)
 
-    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, _INDEX)
+    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, _INDEX)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS, shards: int = SHARDS) -> DataFrame:

@@ -127,7 +127,7 @@ def tokenised(docs: DataFrame, kind: str, name: str, end: int | None, id_col: st
                         out.append((i, grp, a, len(piece), total, zlib.crc32(piece.tobytes()) if full else None, piece.astype(own.kind).tobytes() if whole_ids or not full else None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 7, [pa.string(), *[pa.int64()] * 5, pa.binary()], strict=True)], names=["id", "grp", "start", "n", "total", "crc", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text")).mapInArrow(run, _ROW)
+    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("id"), F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text")).mapInArrow(run, _ROW)
 
 
 def by_id(rows: pd.DataFrame) -> pd.DataFrame:

@@ -229,7 +229,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 exact = [own.decode(b) == t.replace(MARK, " ") for b, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(exact, pa.bool_())], names=["id", "ids", "n_ids", "exact"])
 
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id string, ids binary, n_ids long, exact boolean").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id string, ids binary, n_ids long, exact boolean").withColumn("id", F.col("id").try_cast("long")).withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -240,4 +240,4 @@ def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model:
         for part in batches:
             yield pd.DataFrame({"id": part["id"], "text": [None if b is None else own.decode(b) for b in part["ids"]]})
 
-    return rows.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, "id string, text string").withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
+    return rows.select(F.col(id_col).cast("string").alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, "id string, text string").withColumn("id", F.col("id").try_cast("long")).withColumnRenamed("id", id_col)

@@ -536,7 +536,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
             )
 
     schema = "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").try_cast("long")).withColumnRenamed("id", id_col)
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:

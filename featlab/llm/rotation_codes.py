@@ -116,7 +116,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     different lengths. Equal vectors of a label link with each other; a repeated row is a vector of its
     own. A row without vec_id counts as a link of others but names no component.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").try_cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.withColumn("valid", F.coalesce(_valid("vector"), F.lit(False)))
     reps = rows.where("valid").groupBy("label", "vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("mult"))
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")  # numbers are settled once written

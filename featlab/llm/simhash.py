@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, words) for t in rows["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"id": rows["id"], "fp": fp})
 
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, fp long").withColumn("id", F.col("id").cast("long"))
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, "id string, fp long").withColumn("id", F.col("id").try_cast("long"))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -119,7 +119,7 @@ def keep_least(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> Data
     """docs with the row of the least id of each component. rows: (id_col, component_id, ...), one for each row of docs."""
     key = fresh("_id", docs)
     kept = written(rows.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias("n_rows")), "kept")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(key))
+    same = F.col(id_col).try_cast("long").eqNullSafe(F.col(key))
     out = docs.join(kept.where("n_rows = 1"), same, "left_semi")
     again = kept.where("n_rows > 1")
     if not again.isEmpty():
