@@ -1,7 +1,7 @@
 import corpus_pipeline
 
-from featlab.llm import exact_dedup, queries, simhash
-from tests.llm.helpers import collapse, docs
+from featlab.llm import exact_dedup, queries
+from tests.llm.helpers import collapse, docs, words
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
@@ -20,8 +20,8 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
         norm.setdefault(" ".join((t or "").split(" ")) if not (t or "").strip() else " ".join((t or "").split()), i)
     left = [i for i in norm.values() if i is not None]
     text = {i: t for i, t in rows if i is not None}
-    fp = {i: simhash.fingerprint(text[i]) for i in left}
-    pairs = [(a, b) for a in left for b in left if a < b and bin(fp[a] ^ fp[b]).count("1") <= 2]
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(text[i])) else set() for i in left}
+    pairs = [(a, b) for a in left for b in left if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     kept = set(collapse(pairs, left).values())
     assert kept <= {r["doc_id"] for r in out} | {None}
     assert {r["doc_id"] for r in out} - {None} <= kept | {2}
