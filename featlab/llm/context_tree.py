@@ -1,20 +1,18 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its words, each followed by a space, then one end byte. The context of a byte is up to DEPTH
-bytes before it: for the first HEAD bytes of a word they reach across the space to the last two bytes of
-the word before; for later bytes they end at the space before the word. A byte is decomposed into eight
-binary choices; each choice is a node with counts of zeros and ones in every context of 0 to DEPTH
-bytes, with a Krichevsky-Trofimov estimate. Weighted sequence probabilities go from the deepest contexts
-up, half for a context's own estimate and half for its children's product; the weights that this gives
-each depth mix the estimates when a text is scored.
-
-So a word's probability is a sum over two keys, its head with the two bytes before it, and the word
-itself. One pass over the texts writes, for each block of texts, a forward index: documents as numbers of
-distinct words and heads, words with their training counts, and the distinct grams (context and byte)
-with theirs, packed by shard. Words are summed over all blocks by key, grams by merging packed shards,
-MERGE at a time, as often as it takes; what a block needs, the counts of its words and the probabilities
-of its grams, goes back to that block. Nothing from the corpus is gathered on the driver or sent to all
-executors, save the nodes of depth 0 and 1, 65,536 at most.
+A text is its words, A-Z in lower case, with one space after each, and an end byte. The context of a byte
+is the DEPTH bytes before it, whatever words they belong to; before a text's start are end bytes. A byte
+is decomposed into eight binary choices; each choice is a node with counts of zeros and ones in every
+context of 0 to DEPTH bytes, with a Krichevsky-Trofimov estimate. Weighted sequence probabilities go from
+the deepest contexts up, half for a context's own estimate and half for its children's product; the
+weights that this gives each depth mix the estimates when a text is scored.
+
+One pass over the texts writes, for each block of texts, the texts themselves, packed, and by shard the
+block's distinct grams (context and byte) and words with their training counts. Counts are summed over
+blocks by merging packed shards, MERGE at a time, as often as it takes; the probabilities of a block's
+grams, and the counts of its words, go back to that block, in its own order. A token that every text
+holds is one entry a block. Nothing from the corpus is gathered on the driver or sent to all executors,
+save the nodes of depth 0 and 1, 65,536 at most. Words are told apart by 63 bits of their XXH3.
 """
 
 from __future__ import annotations
@@ -26,56 +24,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.common import LOWER, parts, written
+from featlab.llm.common import LOWER, parts, text_or_empty, written
 
-DEPTH, HEAD = 5, 3
-#: Characters of text in a block of the forward index; shards of the grams; packed rows merged at a time.
-BLOCK_CHARS, SHARDS, MERGE = 14_000_000, 192, 64
+DEPTH = 6
+#: Characters of text in a block; characters for each shard of grams and words; packed rows merged at a time; bytes of
+#: packed questions that a task answers at least.
+BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 12_000_000, 4_500_000, 64, 1 << 25
+#: All grams of a two-byte context are in one shard, so more shards than that are of no use.
+MOST_SHARDS = 1 << 16
 END = b"\n"
+#: Positions whose grams are made, or looked up, at a time.
+_SLICE = 1 << 20
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
-def token_grams(tokens: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all words in turn from byte HEAD on, the byte lowest and the context above it with the last byte lowest; and how many each word has."""
-    pad = b" " * depth
-    flat = np.frombuffer(b"".join([pad + t + b" " for t in tokens]) or b" ", np.uint8).astype(np.int64)
-    size = np.array([len(t) + 1 for t in tokens], np.int64)
-    count = np.where([t == END for t in tokens], 0, np.maximum(0, size - HEAD)) if tokens else size
-    start = np.cumsum(size + depth) - size
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start + HEAD, count)
-    out = flat[at]
-    for k in range(1, depth + 1):
-        out |= flat[at - k] << (8 * k)
-    return out, count
-
-
-def head_grams(heads: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of heads (two bytes before, then HEAD bytes, 0 after the word's end), and how many each has."""
-    byte = [(heads >> (8 * (HEAD + 1 - k))) & 255 for k in range(HEAD + 2)]
-    there = np.stack([b != 0 for b in byte[2:]], axis=1)
-    before = byte[:2] + [np.full(len(heads), 32)]
-    rows = []
-    for i in range(HEAD):
-        context = ([np.zeros(len(heads), np.int64)] * depth + before + byte[2 : 2 + i])[-depth:]
-        g = byte[2 + i].copy()
-        for k, c in enumerate(reversed(context)):
-            g |= c << (8 * (k + 1))
-        rows.append(g)
-    return np.stack(rows, axis=1)[there], there.sum(1)
-
-
-def head_keys(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The head of the word at each start; flat has two spare bytes at its end."""
-    p2, p1, a, b, c = (flat[starts + k].astype(np.int64) for k in (-3, -2, 0, 1, 2))
-    b = np.where(a == 10, 0, b)
-    c = np.where((b == 32) | (b == 0), 0, c)
-    return (p2 << 32) | (p1 << 24) | (a << 16) | (b << 8) | c
+def stream(text: str) -> bytes:
+    """The bytes that are predicted."""
+    return b" ".join([*text.encode("utf-8", "surrogatepass").translate(LOWER).split(), END])
+
+
+class Block:
+    """Some texts' streams, each after as many end bytes as a context has."""
+
+    def __init__(self, streams: list[bytes], depth: int):
+        self.depth, self.streams = depth, streams
+        self.flat = np.frombuffer(b"".join([END * depth + s for s in streams]), np.uint8)
+        self.sizes = np.array([len(s) for s in streams], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def grams(self, lo: int, hi: int) -> np.ndarray:
+        """Of the bytes lo to hi of all streams together: the byte lowest and the context above it, its last byte lowest."""
+        at = np.arange(lo, hi)
+        at += self.depth * np.searchsorted(self.starts, at, "right")
+        out = self.flat[at].astype(np.int64)
+        for k in range(1, self.depth + 1):
+            out |= self.flat[at - k].astype(np.int64) << (8 * k)
+        return out
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        total = int(self.sizes.sum())
+        return ((k, min(k + _SLICE, total)) for k in range(0, total, _SLICE))
+
+    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct grams, and how often each occurs in the streams marked in train."""
+        every, seen = [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        marked = np.repeat(train, self.sizes)
+        for lo, hi in self.slices():
+            g = self.grams(lo, hi)
+            every.append(np.unique(g))
+            seen.append(np.unique(g[marked[lo:hi]], return_counts=True))
+        gram = np.unique(np.concatenate(every))
+        return gram, np.bincount(np.searchsorted(gram, np.concatenate([g for g, _ in seen])), np.concatenate([c for _, c in seen]), len(gram)).astype(np.int64)
+
+    def numbered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words, the number of the word of each token, and the first token of each stream."""
+        numbers: dict = defaultdict()
+        numbers.default_factory = numbers.__len__
+        tokens = [s.split(b" ") for s in self.streams]
+        flat = np.concatenate([np.fromiter(map(numbers.__getitem__, t), np.int64, len(t)) for t in tokens])
+        size = np.array([len(t) for t in tokens], np.int64)
+        return list(numbers), flat, np.cumsum(size) - size
+
+
+class Places:
+    """Positions of numbers in an ascending array, by a table of hashes that the array itself checks."""
+
+    def __init__(self, sorted_: np.ndarray):
+        self.all, self.shift = sorted_, np.uint64(61 - max(1, len(sorted_)).bit_length())
+        self.table = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.table[self._hash(sorted_)] = np.arange(len(sorted_), dtype=np.int32)
+
+    def _hash(self, x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = self.table[self._hash(x)].astype(np.int64)
+        other = np.flatnonzero(self.all[out] != x)
+        out[other] = np.searchsorted(self.all, x[other])
+        return out
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).astype(np.int64)
 
 
 def packed(gram: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -108,12 +146,15 @@ def restored(data: bytes, kind: str) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
-
 def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     """By the last two context bytes."""
     return ((((gram >> 8) & 0xFFFF) * 40503) & 0xFFFF) * shards >> 16
 
 
+def word_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (key >> 31) * shards >> 32
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     y = x + 8
     low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
@@ -194,19 +235,19 @@ def _summed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """rows: (block, shard, data). (shard, data), the counts of all blocks summed; MERGE rows meet in a task at a time."""
+    """rows: (block, kind, shard, data). (kind, shard, data), the counts of all blocks summed; MERGE rows meet in a task at a time."""
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [part["block"].min()], "shard": [part["shard"].iloc[0]], "data": [packed(*_summed(list(part["data"])))]})
+        return pd.DataFrame({"block": [part["block"].min()], "kind": [part["kind"].iloc[0]], "shard": [part["shard"].iloc[0]], "data": [packed(*_summed(list(part["data"])))]})
 
-    most = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    most = rows.groupBy("kind", "shard").count().agg(F.max("count")).first()[0] or 0
     first = True
     while first or most > 1:
         groups = max(1, -(-most // MERGE) if most > MERGE else 1)
         salt = F.pmod(F.xxhash64("block", F.lit(most)), F.lit(groups))
-        rows = written(rows.withColumn("salt", salt).groupBy("shard", "salt").applyInPandas(add, "block long, shard int, data binary"), "merged")
+        rows = written(rows.withColumn("salt", salt).groupBy("kind", "shard", "salt").applyInPandas(add, "block long, kind int, shard int, data binary"), "merged")
         first, most = False, groups if groups > 1 else 1
-    return rows.select("shard", "data")
+    return rows.select("kind", "shard", "data")
 
 
 def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -232,146 +273,126 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return counts.mapInPandas(down, "shard int, data binary")
 
 
-def answers(asked: DataFrame, scored: DataFrame) -> DataFrame:
-    """asked: (block, shard, data), scored: (shard, data). (block, shard, data) with the values of each block's grams, in their order."""
-    most = asked.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    groups = max(1, -(-most // MERGE))
-    salt = F.pmod(F.xxhash64("block"), F.lit(groups))
-    left = asked.select("shard", salt.alias("salt"), "block", "data")
-    right = scored.select(F.col("shard").alias("to_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("to_salt"), "data")
+def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked: (block, kind, shard, data), known: (kind, shard, data). (block, kind, shard, data) with the values of each block's keys, in their order.
+
+    kind 1: counts, packed; kind 2: single-precision numbers. A shard that many blocks ask is answered in several tasks, as many as
+    the questions have times its own size or TASK_BYTES, so its copies are no more than the questions.
+    """
+    sizes = asked.groupBy("kind", "shard").agg(F.sum(F.octet_length("data")).alias("asked")).join(known.select("kind", "shard", F.octet_length("data").alias("own")), ["kind", "shard"])
+    sizes = sizes.select("kind", "shard", F.ceil(F.col("asked") / F.greatest(F.col("own"), F.lit(TASK_BYTES))).cast("long").alias("groups"))
+    left = asked.join(sizes, ["kind", "shard"]).select("kind", "shard", F.pmod(F.xxhash64("block"), "groups").alias("salt"), "block", "data")
+    right = known.join(sizes, ["kind", "shard"]).select(F.col("kind").alias("to_kind"), F.col("shard").alias("to_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("to_salt"), "data")
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
-            return pd.DataFrame({"block": [], "shard": [], "data": []})
-        gram, value = unpacked(b["data"].iloc[0], "f")
-        out = [value[np.searchsorted(gram, unpacked(d, "i")[0])].astype("<f8").tobytes() for d in a["data"]]
-        return pd.DataFrame({"block": a["block"], "shard": a["shard"], "data": out})
-
-    return left.groupBy("shard", "salt").cogroup(right.groupBy("to_shard", "to_salt")).applyInPandas(run, "block long, shard int, data binary")
-
-
-_INDEX = "kind int, block long, data binary, heads binary, more binary, key long, c long"
-
-
-class _Block:
-    """Texts on their way into the forward index."""
-
-    def __init__(self):
-        self.numbers: dict = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
-        self.docs, self.chars = [], 0
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        words = text.encode("utf-8").translate(LOWER).split()
-        words.append(END)
-        flat = np.frombuffer(b"\n\n " + b" ".join(words) + b"  ", np.uint8)
-        starts = np.flatnonzero(flat[:-2] == 32) + 1
-        ids = np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words))
-        self.docs.append((doc_id, held_out(doc_id), ids, head_keys(flat, starts)))
-        self.chars += len(text) + 10
-
-    def frames(self, block: int, depth: int, shards: int) -> Iterator[pd.DataFrame]:
-        def frame(kind: int, n: int, **columns) -> pd.DataFrame:
-            empty = {"data": [None] * n, "heads": [None] * n, "more": [None] * n, "key": pd.array([None] * n, "Int64"), "c": pd.array([None] * n, "Int64")}
-            return pd.DataFrame({"kind": np.full(n, kind, np.int32), "block": np.full(n, block, np.int64)} | empty | columns)
-
-        def deltas(lists: list[np.ndarray]) -> bytes:
-            return squeezed(np.concatenate([np.diff(np.sort(x).astype(np.int64), prepend=0) for x in lists]).astype("<u4"))
-
-        tokens = list(self.numbers)
-        heads, at = np.unique(np.concatenate([h for *_, h in self.docs]), return_inverse=True)
-        at = np.split(at, np.cumsum([len(x) for _, _, x, _ in self.docs])[:-1])
-        none = [np.zeros(0, np.int64)]
-        count = np.bincount(np.concatenate([x for _, held, x, _ in self.docs if not held] or none), minlength=len(tokens))
-        head_count = np.bincount(np.concatenate([h for (_, held, _, _), h in zip(self.docs, at, strict=True) if not held] or none), minlength=len(heads))
-        for k in range(0, len(self.docs), 2000):
-            part = self.docs[k : k + 2000]
-            yield frame(0, 1, data=[deltas([x for _, _, x, _ in part])], heads=[deltas(at[k : k + 2000])], more=[pickle.dumps(([d for d, *_ in part], [h for _, h, *_ in part], [len(x) for _, _, x, _ in part]))])
-        for k in range(0, len(tokens), 50_000):
-            part = tokens[k : k + 50_000]
-            yield frame(1, len(part), data=part, key=np.arange(k, k + len(part)), c=count[k : k + len(part)])
-        tail, per = token_grams(tokens, depth)
-        front, per_head = head_grams(heads, depth)
-        gram, where = np.unique(np.concatenate((tail, front)), return_inverse=True)
-        c = np.bincount(where, np.concatenate((np.repeat(count, per), np.repeat(head_count, per_head))), len(gram)).astype(np.int64)
-        shard = shard_of(gram, shards)
-        some = [(k, shard == k) for k in np.unique(shard).tolist()]
-        yield frame(2, len(some), key=np.array([k for k, _ in some]), data=[packed(gram[m], c[m]) for _, m in some])
-        yield frame(3, 1, data=[b" ".join([b"" if t == END else t for t in tokens])], heads=[squeezed(heads.astype("<i8"))], more=[squeezed(count.astype("<i8"))])
-
-
-def forward_index(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int, shards: int) -> DataFrame:
-    """Rows of four kinds. 0: some documents, their sorted word and head numbers as differences, and ids, sides and lengths;
-    1: a word (data) with its number (key) and training count; 2: the grams of a shard (key) with theirs; 3: all words and heads
-    of the block in order, and the words' training counts in the block."""
+            return pd.DataFrame({"block": [], "kind": [], "shard": [], "data": []})
+        counts = int(a["kind"].iloc[0]) == 1
+        key, value = unpacked(b["data"].iloc[0], "i" if counts else "f")
+        found = (value[np.searchsorted(key, unpacked(d, "i")[0])] for d in a["data"])
+        out = [squeezed(x.astype("<i8")) if counts else x.astype("<f4").tobytes() for x in found]
+        return pd.DataFrame({"block": a["block"], "kind": a["kind"], "shard": a["shard"], "data": out})
+
+    return left.groupBy("kind", "shard", "salt").cogroup(right.groupBy("to_kind", "to_shard", "to_salt")).applyInPandas(run, "block long, kind int, shard int, data binary")
+
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int, shards: int) -> DataFrame:
+    """(block, kind, shard, data, more). Kind 0: the streams of a block, and ids, sizes and text bytes; 1: its words of a shard with their
+    training counts; 2: its grams of a shard with theirs."""
+    names = ["block", "kind", "shard", "data", "more"]
+
+    def frames(block: int, rows: list[tuple[int | None, bytes, int]]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        own = Block([s for _, s, _ in rows], depth)
+        train = np.array([not held_out(i) for i, _, _ in rows])
+        text = zstandard.ZstdCompressor(level=1).compress(b"".join(own.streams))
+        yield pd.DataFrame([(block, 0, -1, text, pickle.dumps(([i for i, *_ in rows], own.sizes, [n for *_, n in rows])))], columns=names)
+        words, flat, first = own.numbered()
+        marked = np.repeat(train, np.diff(np.append(first, len(flat))))
+        key, at = np.unique(word_keys(words), return_inverse=True)
+        count = np.bincount(at[flat[marked]], minlength=len(key))
+        gram, c = own.counted(train)
+        for kind, keys, counts, shard in ((1, key, count, word_shard(key, shards)), (2, gram, c, shard_of(gram, shards))):
+            order = np.argsort(shard, kind="stable")
+            edge = np.searchsorted(shard[order], np.arange(shards + 1))
+            some = [(k, order[a:b]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+            yield pd.DataFrame([(block, kind, k, packed(keys[m], counts[m]), None) for k, m in some], columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        block, held = TaskContext.get().partitionId() << 32, _Block()
+        block, held, chars = TaskContext.get().partitionId() << 32, [], 0
         for rows in batches:
             for doc_id, text in zip(rows["id"], rows["text"], strict=True):
-                held.add(None if doc_id is None else int(doc_id), text or "")
-                if held.chars >= block_chars:
-                    yield from held.frames(block, depth, shards)
-                    block, held = block + 1, _Block()
-        if held.docs:
-            yield from held.frames(block, depth, shards)
+                s = stream(text)
+                held.append((None if doc_id is None else int(doc_id), s, len(text.encode("utf-8", "surrogatepass"))))
+                chars += len(s)
+                if chars >= block_chars:
+                    yield from frames(block, held)
+                    block, held, chars = block + 1, [], 0
+        if held:
+            yield from frames(block, held)
 
-    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, _INDEX)
+    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "block long, kind int, shard int, data binary, more binary")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS, shards: int = SHARDS) -> DataFrame:
-    """One row for each row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """One row for each row of docs: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, text_bytes, bits_per_byte).
 
     Documents whose crc32(id as text) mod 5 is 1 are held out, a null id counts as empty text; the others
     train. Words have A-Z in lower case; the end counts as a token. base_score: log10 probability under
-    the smoothed token frequencies; score: under the context trees; n_bytes: those that score predicts.
-    Null texts are empty. Without training rows every choice is even.
+    the smoothed token frequencies; score: under the context trees; n_bytes: those that score predicts,
+    with one space after a word and the end byte; text_bytes: of the text as it is; bits_per_byte: code
+    length for each byte predicted. Null texts are empty, ids that are no whole number null. Without
+    training rows every choice is even.
     """
-    index = written(forward_index(docs, id_col, text_col, depth, block_chars, shards), "forward", "zstd")
-    by_token = Window.partitionBy("data")
-    tokens = index.where("kind = 1").select("block", "key", "data", "c")
-    tokens = written(tokens.select("block", "key", F.sum("c").over(by_token).alias("c"), F.col("c").alias("own"), (F.row_number().over(by_token.orderBy("block")) == 1).alias("one")), "tokens", "zstd")
-    size = tokens.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    chars = docs.agg(F.sum(F.length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
+    shards = int(min(MOST_SHARDS, max(16, -(-chars // shard_chars))))
+    index = written(blocks(docs, id_col, text_col, depth, block_chars, shards), "blocks")
+    asked = index.where("kind > 0").select("block", "kind", "shard", "data")
+    counts = merged(asked)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            c = [unpacked(d, "i")[1] for d in rows["data"]]
+            yield pd.DataFrame({"n": [int(x.sum()) for x in c], "v": [int((x > 0).sum()) for x in c]}, dtype=np.int64)
+
+    size = counts.where("kind = 1").select("data").mapInPandas(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    asked = index.where("kind = 2").select("block", F.col("key").cast("int").alias("shard"), "data")
-    given = answers(asked, written(gram_scores(merged(asked), depth), "gram-scores"))
-    needed = given.select(F.col("block").alias("to_block"), F.lit(2).alias("kind"), F.col("shard").cast("long").alias("key"), F.lit(None).cast("long").alias("c"), "data")
-    # a block knows its own counts; it is told those that differ over all blocks
-    needed = needed.unionByName(tokens.where("c <> own").select(F.col("block").alias("to_block"), F.lit(1).alias("kind"), "key", "c", F.lit(None).cast("binary").alias("data")))
+    scored = gram_scores(counts.where("kind = 2").select("shard", "data"), depth).select(F.lit(2).alias("kind"), "shard", "data")
+    known = written(scored.unionByName(counts.where("kind = 1")), "known")
+    given = answers(asked, known).withColumnRenamed("block", "to_block")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        stored = left[left["kind"] == 3].iloc[0]
-        words = [t or END for t in stored["data"].split(b" ")]
-        heads, c = restored(stored["heads"], "<i8"), restored(stored["more"], "<i8").astype(float)
-        counts, parts = right[right["kind"] == 1], right[right["kind"] == 2]
-        c[counts["key"].to_numpy(np.int64)] = counts["c"].to_numpy(float)
-        tail, per = token_grams(words, depth)
-        front, per_head = head_grams(heads, depth)
-        gram, where = np.unique(np.concatenate((tail, front)), return_inverse=True)
-        logp, shard = np.zeros(len(gram)), shard_of(gram, shards)
-        for k, data in zip(parts["key"], parts["data"], strict=True):
-            logp[shard == k] = np.frombuffer(data, "<f8")
-        each = logp[where]
-        word_score, head_score = np.zeros(len(words)), np.zeros(len(heads))
-        np.add.at(word_score, np.repeat(np.arange(len(words)), per), each[: len(tail)])
-        np.add.at(head_score, np.repeat(np.arange(len(heads)), per_head), each[len(tail) :])
-        word_base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        out = []
-        for row in left[left["kind"] == 0].itertuples():
-            names, held, sizes = pickle.loads(row.more)
-            ids, hs = restored(row.data, "<u4"), restored(row.heads, "<u4")
-            at = 0
-            for name, side, n in zip(names, held, sizes, strict=True):
-                i, h = (np.cumsum(x[at : at + n], dtype=np.int64) for x in (ids, hs))
-                at += n
-                out.append((name, side, n, int((c[i] > 0).sum()), total, word_base[i].sum(), word_score[i].sum() + head_score[h].sum(), int(per[i].sum() + per_head[h].sum())))
-        frame = pd.DataFrame(out, columns=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
-        frame[id_col] = pd.array(frame[id_col], "Int64")
+        import zstandard
+
+        stored = left.iloc[0]
+        ids, sizes, text_bytes = pickle.loads(stored["more"])
+        text = zstandard.ZstdDecompressor().decompress(stored["data"])
+        ends = np.cumsum(sizes).tolist()
+        own = Block([text[b - int(n) : b] for b, n in zip(ends, sizes, strict=True)], depth)
+
+        def value(kind: int, keys: np.ndarray, shard: np.ndarray, read) -> np.ndarray:
+            order, out = np.argsort(shard, kind="stable"), np.zeros(len(keys))
+            edge = np.searchsorted(shard[order], np.arange(shards + 1))
+            part = right[right["kind"] == kind]
+            for k, data in zip(part["shard"], part["data"], strict=True):
+                out[order[edge[k] : edge[k + 1]]] = read(data)
+            return out
+
+        words, flat, first = own.numbered()
+        key, at = np.unique(word_keys(words), return_inverse=True)
+        c = value(1, key, word_shard(key, shards), lambda d: restored(d, "<i8"))[at]
+        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat]
+        gram = np.unique(np.concatenate([np.unique(own.grams(lo, hi)) for lo, hi in own.slices()]))
+        logp, places = value(2, gram, shard_of(gram, shards), lambda d: np.frombuffer(d, "<f4")), Places(gram)
+        each = np.concatenate([logp[places.of(own.grams(lo, hi))].astype(np.float32) for lo, hi in own.slices()])
+        sums = np.add.reduceat(each, own.starts, dtype=np.float64)
+        frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": np.diff(np.append(first, len(flat))), "n_known": np.add.reduceat((c > 0)[flat].astype(np.int64), first), "train_tokens": total, "base_score": np.add.reduceat(base, first), "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]
         return frame
 
-    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    left = index.where("kind IN (0, 3)").select(F.col("block").alias("block"), "kind", "data", "heads", "more")
-    return left.groupBy("block").cogroup(needed.groupBy("to_block")).applyInPandas(run, schema)
+    schema = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, text_bytes long, bits_per_byte double"
+    left = index.where("kind = 0").select("block", "data", "more")
+    return left.groupBy("block").cogroup(given.groupBy("to_block")).applyInPandas(run, schema)

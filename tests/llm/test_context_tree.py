@@ -9,14 +9,10 @@ from featlab.llm import context_tree as C
 from tests.llm.helpers import docs, words
 
 
-def contexts(token, before, depth):
-    """The context of each byte of a word and its end, last byte first."""
-    out, data = [], token + b" " if token != C.END else token
+def contexts(data, depth):
+    """The context of each byte, last byte first; end bytes are before the start."""
     for i, b in enumerate(data):
-        back = list(reversed(data[:i])) + [32]
-        back = back + list(reversed(before)) + [0] * depth if i < C.HEAD else back + [32] * depth
-        out.append((tuple(back[:depth]), b))
-    return out
+        yield tuple((list(reversed(data[:i])) + [10] * depth)[:depth]), b
 
 
 def plain(rows, depth):
@@ -25,10 +21,7 @@ def plain(rows, depth):
     texts = {i: [w.encode() for w in words(t)] + [C.END] for i, t in rows}
 
     def steps(i):
-        before = b"\n\n"
-        for t in texts[i]:
-            yield from contexts(t, before, depth)
-            before = (before + b" " + t)[-2:] if len(t) < 2 else t[-2:]
+        yield from contexts(b" ".join(texts[i]), depth)
 
     def bits(b):
         for k in range(8):
@@ -70,7 +63,8 @@ def test_scores_equal_plain_recursion(spark):
     got = {r["doc_id"]: r for r in C.score(docs(spark, rows), block_chars=60).collect()}
     assert len(got) == len(rows)
     for i, s in want.items():
-        assert got[i]["score"] == pytest.approx(s, abs=1e-8)
+        assert got[i]["score"] == pytest.approx(s, rel=1e-6)  # probabilities travel in single precision
+        assert got[i]["bits_per_byte"] == pytest.approx(-s / math.log10(2) / got[i]["n_bytes"], rel=1e-6)
     train = Counter(w for i, t, _ in rows if not C.held_out(i) for w in [*words(t), "\n"])
     n, v = sum(train.values()), len(train)
     for i, t, _ in rows:
@@ -98,8 +92,27 @@ def test_merging_takes_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(C, "MERGE", 2)
     rows = [(i, f"word{i % 7} other words {i}", "en") for i in range(40)]
     many = {r["doc_id"]: r["score"] for r in C.score(docs(spark, rows), block_chars=30).collect()}
+    monkeypatch.setattr(C, "TASK_BYTES", 100)  # a shard's questions are answered in several tasks
+    few = {r["doc_id"]: r["score"] for r in C.score(docs(spark, rows), block_chars=30, shard_chars=10).collect()}
     one = {r["doc_id"]: r["score"] for r in C.score(docs(spark, rows)).collect()}
-    assert many == pytest.approx(one, abs=1e-8)
+    assert many == pytest.approx(one, rel=1e-6) and few == pytest.approx(one, rel=1e-6)
+
+
+def test_contexts_reach_across_words():
+    text = "one two"
+    own = C.Block([C.stream(text), C.stream("x")], 6)
+    data = b"\n" * 6 + b"one two \n"
+    want = [sum(data[at - k] << (8 * k) for k in range(7)) for at in range(6, len(data))]
+    assert own.grams(0, int(own.sizes.sum())).tolist()[: len(want)] == want
+    assert own.grams(5, 7).tolist() == want[5:7]
+
+
+def test_places_find_every_number():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 50, 100_000):
+        numbers = np.unique(r.integers(0, 1 << 56, n))
+        asked = r.permutation(np.repeat(np.arange(len(numbers)), 3))
+        assert (C.Places(numbers).of(numbers[asked]) == asked).all()
 
 
 def test_odd_rows(spark):
