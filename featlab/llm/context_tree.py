@@ -273,13 +273,24 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return counts.mapInPandas(down, "shard int, data binary")
 
 
-def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """asked: (block, kind, shard, data), known: (kind, shard, data). (block, kind, shard, data) with the values of each block's keys, in their order.
+def values(kind: int, data: bytes):
+    """A shard's answers to packed keys, in their order. kind 1: counts, packed; kind 2: single-precision numbers."""
+    key, value = unpacked(data, "i" if kind == 1 else "f")
 
-    kind 1: counts, packed; kind 2: single-precision numbers. A shard that many blocks ask is answered in several tasks, as many as
-    the questions have times its own size or TASK_BYTES, so its copies are no more than the questions.
+    def answer(asked: bytes) -> bytes:
+        found = value[np.searchsorted(key, unpacked(asked, "i")[0])]
+        return squeezed(found.astype("<i8")) if kind == 1 else found.astype("<f4").tobytes()
+
+    return answer
+
+
+def answers(asked: DataFrame, known: DataFrame, prepare=values) -> DataFrame:
+    """asked: (block, kind, shard, data), known: (kind, shard, data). (block, kind, shard, data) with prepare(kind, known data)(asked data).
+
+    A shard that many blocks ask is answered in several tasks, as many as the questions have times its own size or TASK_BYTES, so
+    its copies are no more than the questions. A shard that is not known is answered as an empty one.
     """
-    sizes = asked.groupBy("kind", "shard").agg(F.sum(F.octet_length("data")).alias("asked")).join(known.select("kind", "shard", F.octet_length("data").alias("own")), ["kind", "shard"])
+    sizes = asked.groupBy("kind", "shard").agg(F.sum(F.octet_length("data")).alias("asked")).join(known.select("kind", "shard", F.octet_length("data").alias("own")), ["kind", "shard"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     sizes = sizes.select("kind", "shard", F.ceil(F.col("asked") / F.greatest(F.col("own"), F.lit(TASK_BYTES))).cast("long").alias("groups"))
     left = asked.join(sizes, ["kind", "shard"]).select("kind", "shard", F.pmod(F.xxhash64("block"), "groups").alias("salt"), "block", "data")
     right = known.join(sizes, ["kind", "shard"]).select(F.col("kind").alias("to_kind"), F.col("shard").alias("to_shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("to_salt"), "data")
@@ -287,10 +298,8 @@ def answers(asked: DataFrame, known: DataFrame) -> DataFrame:
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
             return pd.DataFrame({"block": [], "kind": [], "shard": [], "data": []})
-        counts = int(a["kind"].iloc[0]) == 1
-        key, value = unpacked(b["data"].iloc[0], "i" if counts else "f")
-        found = (value[np.searchsorted(key, unpacked(d, "i")[0])] for d in a["data"])
-        out = [squeezed(x.astype("<i8")) if counts else x.astype("<f4").tobytes() for x in found]
+        own = prepare(int(a["kind"].iloc[0]), b["data"].iloc[0] if len(b) else packed(*[np.zeros(0, np.int64)] * 2))
+        out = [own(d) for d in a["data"]]
         return pd.DataFrame({"block": a["block"], "kind": a["kind"], "shard": a["shard"], "data": out})
 
     return left.groupBy("kind", "shard", "salt").cogroup(right.groupBy("to_kind", "to_shard", "to_salt")).applyInPandas(run, "block long, kind int, shard int, data binary")

@@ -1,4 +1,4 @@
-"""Token ids, packing, pieces, personal data and quality: each against a plain version."""
+"""Token ids, packing, pieces and personal data: each against a plain version."""
 
 import hashlib
 import random
@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from featlab.llm import binary_output, packing, pieces, pii, quality, tokens
+from featlab.llm import binary_output, packing, pieces, pii, tokens
 from tests.llm.helpers import docs
 
 public = pytest.importorskip("public_tokenizers")
@@ -222,58 +222,3 @@ def test_mask_stage(spark):
     assert "[EMAIL]" in out[10]["text"] and "[IP]" in out[10]["text"] and "555-5010" not in out[10]["text"]
     assert out[4]["text"] is None and out[5]["text"] == "The same text here"
     assert pii.mask(docs(spark, [])).count() == 0
-
-
-def test_kneser_ney_equals_plain_counts(spark):
-    texts = ["the cat sat. the the cat", "A cat sat on 12 mats", "the end"]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    p = 2.0 ** model.table.astype(float)
-    assert np.allclose(p.reshape(-1, 64).sum(1), 1, atol=2e-3)
-    g = [int(x) for t in texts for x in quality.grams(t)]
-    c4 = {x: g.count(x) for x in g}
-    orders, keys = {4: c4}, set(c4)
-    for n in (3, 2, 1):
-        keys_n = [x % 64**n for x in keys]
-        orders[n] = {x: keys_n.count(x) for x in keys_n}
-        keys = set(keys_n)
-
-    def prob(x, n):
-        if n == 0:
-            return 1 / 64
-        c = orders[n]
-        n1, n2, n3, n4 = (sum(v == k for v in c.values()) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = [1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5]
-        d = [min(max(v, 0.05), k + 0.95) for k, v in enumerate(d)]
-        own = {k: v for k, v in c.items() if k // 64 == x // 64}
-        lower = prob(x % 64 ** (n - 1), n - 1)
-        if not own:
-            return lower
-        total, off = sum(own.values()), lambda v: d[min(v, 3) - 1]
-        return (own[x] - off(own[x])) / total + sum(map(off, own.values())) / total * lower if x in own else sum(map(off, own.values())) / total * lower
-
-    r = random.Random(1)
-    for x in [*list(c4)[:20], *(r.randrange(64**4) for _ in range(20))]:
-        assert np.log2(prob(x, 4)) == pytest.approx(float(model.table[x]), abs=0.02)
-
-
-def test_symbols_mark_repeated_words():
-    s = quality.symbols("Ab ab ab cd")
-    assert (s == quality.SAME).sum() == 1 and len(s) == len("Ab ab cd") + 1
-    assert len(quality.symbols("")) == 0 and len(quality.grams(None)) == 1
-    assert (quality.symbols("x x\tx\nx") == quality.SAME).sum() == 3
-
-
-def test_quality_keeps_clean_and_rejects_junk(spark):
-    r = random.Random(2)
-    syl = ["an", "the", "re", "ing", "to", "er", "on"]
-    clean = lambda: " ".join("".join(r.choice(syl) for _ in range(r.randint(1, 3))) for _ in range(60)) + "."
-    rows = [(i, clean(), "en") for i in range(300)] + [(1000 + i, clean().upper().replace(" ", "!! "), "en") for i in range(20)] + [(2000, None, None), (2001, "", "xx"), (None, clean(), "en"), (2002, "ok", "en")]
-    d = docs(spark, rows)
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(1000, 0, 0), (None, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r["kept"] for r in quality.quality(d, labels).collect()}
-    assert not any(got[1000 + i] for i in range(20)) and sum(got[i] for i in range(300)) >= 297 and got[2000] and got[2001]
-    out = quality.drop_low_quality(d, labels)
-    assert out.schema == d.schema and out.count() == sum(quality_row["kept"] for quality_row in quality.quality(d, labels).collect())
-    assert quality.drop_low_quality(d, labels.where("false")).count() == len(rows)
-    assert quality.quality(docs(spark, []), labels).count() == 0
