@@ -82,18 +82,29 @@ def filter_words(hits: int) -> int:
     return min(FILTER_MOST, max(FILTER_WORDS, (hits * FILTER_BITS // 64).bit_length()))
 
 
-def _bits(digest, words: int):
+def bit_place(digest, words: int):
     h = F.xxhash64(digest)
     return F.pmod(h, F.lit(1 << words)).cast("int"), F.shiftright(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
 
 def hit_filter(hits: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
     """(word, bits), 2**words rows at most."""
-    word, bit = _bits(F.col("digest"), words)
+    word, bit = bit_place(F.col("digest"), words)
     one = F.expr("shiftleft(1L, bit)")
     return hits.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(one).alias("bits"))
 
 
+def marked(rows: DataFrame, key, keys: DataFrame, name: str) -> DataFrame:
+    """rows with a column `name`: false if key is certainly not among keys (one column). The filter over keys is what is broadcast."""
+    held = keys.select(F.col(keys.columns[0]).alias("digest"))
+    words = filter_words(keys.count())
+    word, bit = bit_place(key, words)
+    at, held_bits, taken = fresh("_word", rows), fresh("_bits", rows), rows.columns
+    bits = hit_filter(held, words).select(F.col("word").alias(at), F.col("bits").alias(held_bits))
+    joined = rows.withColumn(at, word).join(F.broadcast(bits), at, "left")
+    return joined.select(*taken, F.coalesce(F.getbit(held_bits, bit) == 1, F.lit(False)).alias(name))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
     """(id, norm, digest)"""
     norm = normalised(text_col)
@@ -119,7 +130,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = index.hits()
 
     words = filter_words(hits.count())
-    word, bit = _bits(F.col("digest"), words)
+    word, bit = bit_place(F.col("digest"), words)
     passed = keyed.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(hit_filter(hits, words)), "word").where(F.expr("shiftright(bits, bit) & 1L") == 1)
     groups = passed.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     verified = written(groups.select("digest", F.xxhash64("norm").alias("text_hash"), "keep_id", "group_size").join(hits, "digest", "left_semi"), "verified")
