@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlab.operators.prefix import below
 from featlab.operators.rank import column_order, top_k
 
 
@@ -71,25 +72,36 @@ def f_regression(long: DataFrame, target: str = "label") -> DataFrame:
 def ks(long: DataFrame) -> DataFrame:
     """Mean over classes of the greatest distance between the class's distribution and the rest's.
 
-    Counts by value first; running sums then go over distinct values of a feature.
+    Counts by value first; sums over smaller values then go by buckets of values, so no task holds a feature.
     """
-    value = long.groupBy("j", "label", "x").agg(F.count("*").alias("n"))
+    value = long.groupBy("j", "x", "label").agg(F.count("*").alias("n"))
+    totals = value.groupBy("j", "label").agg(F.sum("n").alias("nc"))
+    whole = totals.groupBy("j").agg(F.sum("nc").alias("nt"))
     points = value.groupBy("j", "x").agg(F.sum("n").alias("all"))
-    classes = value.groupBy("j", "label").agg(F.sum("n").alias("nc"))
-    total = points.groupBy("j").agg(F.sum("all").alias("nt"))
-    grid = points.join(classes, "j").join(value, ["j", "x", "label"], "left").select("j", "x", "label", "all", "nc", F.coalesce("n", F.lit(0)).alias("n"))
-    up = Window.partitionBy("j", "label").orderBy("x")
-    run = grid.withColumn("a", F.sum("n").over(up)).withColumn("b", F.sum(F.col("all") - F.col("n")).over(up)).join(total, "j")
-    gap = F.abs(F.col("a") / F.col("nc") - F.col("b") / F.nullif(F.col("nt") - F.col("nc"), F.lit(0)))
-    return run.groupBy("j", "label").agg(F.max(gap).alias("d")).groupBy("j").agg(F.avg("d").alias("score"))
+    every = below(points, ["j"], "x", ["all"]).select("j", "x", (F.col("below_all") + F.col("all")).alias("upto"))
+    own = below(value, ["j", "label"], "x", ["n"]).select("j", "label", "x", F.col("below_n").alias("a0"), (F.col("below_n") + F.col("n")).alias("a1"))
+    # the distance is greatest just before or at a value of the class: between two of them only the rest rises
+    at = own.join(every, ["j", "x"]).join(points, ["j", "x"]).join(totals, ["j", "label"]).join(whole, "j")
+    rest = F.nullif(F.col("nt") - F.col("nc"), F.lit(0))
+    now = F.abs(F.col("a1") / F.col("nc") - (F.col("upto") - F.col("a1")) / rest)
+    before = F.abs(F.col("a0") / F.col("nc") - (F.col("upto") - F.col("all") - F.col("a0")) / rest)
+    gap = at.groupBy("j", "label").agg(F.max(F.greatest(now, before)).alias("d"))
+    return gap.groupBy("j").agg(F.avg("d").alias("score"))
 
 
 def cei(long: DataFrame) -> DataFrame:
-    """1 less the least share of other labels inside a class's span, rows in order of value, then id."""
-    at = long.withColumn("pos", F.row_number().over(Window.partitionBy("j").orderBy("x", "id")))
-    span = at.groupBy("j", "label").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"))
-    share = 1 - F.col("n").cast("double") / (F.col("b") - F.col("a") + 1)
-    return span.groupBy("j").agg((1 - F.min(share)).alias("score"))
+    """1 less the least share of other labels inside a class's span, rows in order of value, then id.
+
+    A span is the class's first and last row; the rows inside it are counted by one aggregation over (feature, class),
+    so nothing is sorted.
+    """
+    at = F.struct("x", "id")
+    span = long.groupBy("j", "label").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n"))
+    spans = span.groupBy("j").agg(F.collect_list(F.struct("label", "lo", "hi", "n")).alias("spans"))  # a struct for each class
+    inside = long.join(spans, "j").select("j", F.explode(F.filter("spans", lambda s: (at >= s["lo"]) & (at <= s["hi"]))).alias("s"))
+    held = inside.groupBy("j", F.col("s.label").alias("label")).agg(F.count("*").alias("m"), F.max("s.n").alias("n"))
+    share = 1 - F.col("n").cast("double") / F.col("m")
+    return held.groupBy("j").agg((1 - F.min(share)).alias("score"))
 
 
 def binned(long: DataFrame, bins: int = 10) -> DataFrame:

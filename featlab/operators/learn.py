@@ -201,11 +201,21 @@ class AdaBoost:
             w /= w.sum()
             if not np.isfinite(w).all() or w.max() > 1 - 1e-12:
                 break
+        self.classes = classes
         total = sum(a for a, _ in self.members) or 1.0
         self.importance = sum((a * t.importance for a, t in self.members), np.zeros(x.shape[1])) / total
         return self
 
 
+    def predict_proba(self, x):
+        """Shares of the members' weights; even ones without members."""
+        votes = np.zeros((len(x), self.classes))
+        for a, t in self.members:
+            votes[np.arange(len(x)), t.predict_proba(x).argmax(1)] += a
+        total = votes.sum(1, keepdims=True)
+        return np.where(total > 0, votes / np.where(total > 0, total, 1), 1 / self.classes)
+
+
 class Boosting:
     """Gradient boosting of the logistic loss, two classes."""
 
@@ -374,6 +384,16 @@ class LinearSVM:
         return d if d.shape[1] > 1 else np.concatenate((-d, d), axis=1)
 
 
+#: Numbers of a rows x rows matrix that a task holds at most (4 GB).
+SQUARE = 1 << 29
+
+
+def square(n: int, m: int, copies: int = 1) -> None:
+    """ValueError where matrices of n x m numbers are too large for a task."""
+    if n * m * copies > SQUARE:
+        raise ValueError(f"{copies} matrices of {n} x {m} rows don't fit in a task; set max_rows, or take a selector without them")
+
+
 class KernelSVM:
     """RBF, one class against the rest, the dual by coordinate steps; the offset is part of the kernel. gamma: scale."""
 
@@ -381,6 +401,7 @@ class KernelSVM:
         self.c, self.sweeps = c, sweeps
 
     def kernel(self, x):
+        square(len(x), len(self.x))
         d = (x * x).sum(1)[:, None] + (self.x * self.x).sum(1)[None] - 2 * x @ self.x.T
         return np.exp(-self.gamma * np.maximum(d, 0)) + 1.0
 
@@ -408,7 +429,8 @@ class KernelSVM:
         return self
 
     def decision(self, x):
-        return self.kernel(self.scale(x)) @ self.a
+        z = self.scale(x)
+        return np.concatenate([self.kernel(z[k : k + 1024]) @ self.a for k in range(0, len(z), 1024)]) if len(z) else np.zeros((0, self.a.shape[1]))
 
     def predict_proba(self, x):
         return softmax(2 * self.decision(x))
@@ -450,7 +472,7 @@ class LDA:
 
 def evaluator(name: str):
     """The classifiers that judge selections, with the benchmark's settings."""
-    return {"LR": Logistic, "SVM": KernelSVM, "RF": lambda: Forest(300, None, False), "KNN": KNN, "ETREE": Forest, "LDA": LDA}[name.upper()]()
+    return {"LR": Logistic, "SVM": KernelSVM, "RF": lambda: Forest(300, None, False), "KNN": KNN, "ETREE": Forest, "LDA": LDA, "ADABOOST": AdaBoost}[name.upper()]()
 
 
 # --- metrics ---
@@ -498,9 +520,9 @@ def permutation_importance(score, x: np.ndarray, repeats: int, seed: int = 0) ->
 class Net:
     """Dense layers with manual gradients and Adam. acts: relu, tanh, sigmoid or linear for each layer."""
 
-    def __init__(self, sizes: list[int], acts: list[str], rng, rate: float = 1e-3):
-        self.w = [rng.standard_normal((a, b)) * np.sqrt(2 / (a + b)) for a, b in zip(sizes, sizes[1:], strict=False)]
-        self.b = [np.zeros(b) for b in sizes[1:]]
+    def __init__(self, sizes: list[int], acts: list[str], rng, rate: float = 1e-3, kind=np.float64):
+        self.w = [(rng.standard_normal((a, b)) * np.sqrt(2 / (a + b))).astype(kind) for a, b in zip(sizes, sizes[1:], strict=False)]
+        self.b = [np.zeros(b, kind) for b in sizes[1:]]
         self.acts, self.adam = acts, Adam([*self.w, *self.b], rate)
 
     def forward(self, x):
@@ -527,13 +549,21 @@ class Net:
 class Adam:
     def __init__(self, params, rate=1e-3):
         self.p, self.rate, self.t = params, rate, 0
-        self.m, self.v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        self.m, self.v, self.own = ([np.zeros_like(p) for p in params] for _ in range(3))
 
     def step(self, grads):
         self.t += 1
-        for p, g, m, v in zip(self.p, grads, self.m, self.v, strict=True):
+        for p, g, m, v, own in zip(self.p, grads, self.m, self.v, self.own, strict=True):  # in place: most of the time goes into memory
             m *= 0.9
-            m += 0.1 * g
+            np.multiply(g, 0.1, out=own)
+            m += own
             v *= 0.999
-            v += 0.001 * g * g
-            p -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+            own *= g
+            own *= 0.01
+            v += own
+            np.multiply(v, 1 / (1 - 0.999**self.t), out=own)
+            np.sqrt(own, out=own)
+            own += 1e-8
+            np.divide(m, own, out=own)
+            own *= self.rate / (1 - 0.9**self.t)
+            p -= own

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featlab.operators.prefix import below
+
 
 def confusion(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "predicted").agg(F.count("*").alias("n"))
@@ -27,11 +29,10 @@ def weighted_prf(pred: DataFrame) -> DataFrame:
 def _auc(scores: DataFrame, by: list[str]) -> DataFrame:
     """(by, auc) of (by, y 0/1, score): the rank sum with mean ranks for ties, from counts by distinct score.
 
-    Running counts go over distinct scores of a group, not over rows.
+    Counts below a score go by buckets of distinct scores, so no task holds a group.
     """
-    v = scores.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = v.withColumn("win", F.col("pos") * (below + (F.col("n") - F.col("pos")) / 2))
+    v = scores.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.count("*").alias("n"))
+    w = below(v, by, "score", ["neg"]).withColumn("win", F.col("pos") * (F.col("below_neg") + F.col("neg") / 2))
     return w.groupBy(*by).agg((F.sum("win") / F.nullif(F.sum("pos") * F.sum(F.col("n") - F.col("pos")), F.lit(0))).alias("auc"))
 
 
@@ -55,6 +56,7 @@ def auc_ovo(scores: DataFrame) -> DataFrame:
 def pr_curve(scores: DataFrame, positive: int = 1) -> DataFrame:
     """(score, precision, recall) at each distinct score, from the highest down."""
     v = scores.groupBy("score").agg(F.sum((F.col("label") == positive).cast("int")).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    all_pos = v.agg(F.sum("pos").alias("p"))
-    return v.withColumn("tp", F.sum("pos").over(down)).withColumn("k", F.sum("n").over(down)).crossJoin(F.broadcast(all_pos)).select("score", (F.col("tp") / F.col("k")).alias("precision"), (F.col("tp") / F.nullif(F.col("p"), F.lit(0))).alias("recall"))
+    all_ = v.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
+    at = below(v.withColumn("g", F.lit(0)), ["g"], "score", ["pos", "n"]).crossJoin(F.broadcast(all_))  # one row
+    tp, k = F.col("p") - F.col("below_pos"), F.col("all") - F.col("below_n")
+    return at.select("score", (tp / k).alias("precision"), (tp / F.nullif(F.col("p"), F.lit(0))).alias("recall"))

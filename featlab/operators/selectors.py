@@ -1,9 +1,10 @@
 """Feature selectors on one fold's dense matrix.
 
 Each takes a Fold and its parameters and returns features, best first, with scores where it has them.
-`select` runs one of them for every group of a wide frame, in parallel over groups. A group with more
-than `max_rows` rows is thinned to about as many by a hash of the id first; the filters of
-operators.filters have no such bound.
+`select` runs one of them for every group of a wide frame, in parallel over groups, on all rows of the
+group; only a caller that sets `max_rows` gets a hash sample, and then a column that tells. A group has to
+fit in a task. What needs a matrix of rows by rows raises ValueError where that has over learn.SQUARE
+numbers; the filters of operators.filters have no such bound.
 """
 
 from __future__ import annotations
@@ -18,9 +19,6 @@ from pyspark.sql import functions as F
 
 from featlab.operators import learn
 
-MAX_ROWS = 100_000
-
-
 @dataclass
 class Fold:
     x: np.ndarray
@@ -87,6 +85,7 @@ def univariate(f: Fold, score_func: str = "chi2", **_):
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    learn.square(len(a), len(b))
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
 
 
@@ -386,6 +385,7 @@ def class_span_genetic(f: Fold, pre_keep: int = 50, ga_beta: float = 2, ga_pop:
         at = rng.permutation(np.flatnonzero(f.y == c))
         fold[at] = np.arange(len(at)) % cv_splits
     apart = fold[:, None] == fold[None]
+    learn.square(len(f.x), len(f.x), len(keep))
     parts = [(f.x[:, [j]] - f.x[:, [j]].T) ** 2 for j in keep]
     known: dict[bytes, float] = {}
 
@@ -412,19 +412,19 @@ def class_span_genetic(f: Fold, pre_keep: int = 50, ga_beta: float = 2, ga_pop:
 # --- networks ---
 
 
-def concrete_autoencoder(f: Fold, num_epochs: int = 16, batch_size: int = 16, learning_rate: float = 1e-3, start_temp: float = 10.0, min_temp: float = 0.1, **_):
+def concrete_autoencoder(f: Fold, num_epochs: int = 800, batch_size: int = 16, learning_rate: float = 1e-3, start_temp: float = 10.0, min_temp: float = 0.1, **_):
     """k soft one-hot rows choose inputs that a 320-320-p decoder rebuilds; the temperature falls from start to end. Score: mean logit of a feature."""
     rng, x = f.rng(), learn.Scaler(f.x)(f.x)
-    x = 1 / (1 + np.exp(-x))
+    x = (1 / (1 + np.exp(-x))).astype(np.float32)
     k, p = min(f.k, f.p), f.p
-    logits = rng.standard_normal((k, p)) * 0.01
-    net, adam = learn.Net([k, 320, 320, p], ["relu", "relu", "sigmoid"], rng, learning_rate), learn.Adam([logits], learning_rate)
+    logits = (rng.standard_normal((k, p)) * 0.01).astype(np.float32)
+    net, adam = learn.Net([k, 320, 320, p], ["relu", "relu", "sigmoid"], rng, learning_rate, np.float32), learn.Adam([logits], learning_rate)
     steps = num_epochs * max(1, len(x) // batch_size)
     for i in range(steps):
         t = start_temp * (min_temp / start_temp) ** (i / max(1, steps - 1))
         b = x[rng.integers(0, len(x), min(batch_size, len(x)))]
-        noise = -np.log(-np.log(rng.uniform(1e-9, 1 - 1e-9, (k, p))))
-        m = learn.softmax((logits + noise) / t)
+        noise = -np.log(-np.log(rng.uniform(1e-9, 1 - 1e-9, (k, p)))).astype(np.float32)
+        m = learn.softmax((logits + noise) / np.float32(t))
         g = net.backward(2 * (net.forward(b @ m.T) - b) / b.size)
         gm = g.T @ b
         adam.step([m * (gm - (gm * m).sum(1, keepdims=True)) / t])
@@ -633,14 +633,20 @@ def graph_network(f: Fold, epochs: int = 5, learning_rate: float = 1e-3, q: floa
     return [j - 1 for j in chosen[1:]], scores
 
 
-def select(wide: DataFrame, fn: Callable, k: int, params: dict | None = None, seed: int = 0, by: list[str] | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(by, rank, j, score) by one selector for each group of wide (by, id, label, features)."""
+def _thinned(wide: DataFrame, by: list[str], seed: int, max_rows: int) -> DataFrame:
+    """About max_rows rows of each group by a hash of the id, with n_rows, how many there were."""
+    n = wide.groupBy(*by).agg(F.count("*").alias("n_rows"))
+    rows = wide.join(n, by) if by else wide.crossJoin(F.broadcast(n))  # one row
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * max_rows / F.greatest(F.col("n_rows"), F.lit(max_rows)))
+
+
+def select(wide: DataFrame, fn: Callable, k: int, params: dict | None = None, seed: int = 0, by: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
+    """(by, rank, j, score) by one selector for each group of wide (by, id, label, features). With max_rows also n_rows and rows_used: about as many rows of each group are used."""
     by = by or []
-    n = wide.groupBy(*by).agg(F.count("*").alias("_n"))
-    keep = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * max_rows / F.greatest(F.col("_n"), F.lit(max_rows))
-    rows = wide.join(n, by) if by else wide.crossJoin(F.broadcast(n))
+    rows = wide if max_rows is None else _thinned(wide, by, seed, max_rows)
+    told = [] if max_rows is None else ["n_rows", "rows_used"]
     names = by or ["_all"]
-    rows = rows.where(keep).drop("_n").withColumn("_all", F.lit(0))
+    rows = rows.withColumn("_all", F.lit(0))
     options = dict(params or {})
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -650,19 +656,20 @@ def select(wide: DataFrame, fn: Callable, k: int, params: dict | None = None, se
         out = pd.DataFrame({"rank": np.arange(1, len(order) + 1, dtype=np.int32), "j": np.array(order, np.int32), "score": np.array(scores, float)})
         for c in reversed(names):
             out.insert(0, c, part[c].iloc[0])
-        return out
+        return out.assign(n_rows=part["n_rows"].iloc[0], rows_used=len(part)) if told else out
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", rank int, j int, score double"
-    return rows.groupBy(*names).applyInPandas(run, schema).select(*by, "rank", "j", "score")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", rank int, j int, score double" + "".join(f", {c} long" for c in told)
+    return rows.groupBy(*names).applyInPandas(run, schema).select(*by, "rank", "j", "score", *told)
 
 
-def forest_importance(wide: DataFrame, classes: int, trees: int = 200, depth: int | None = 3, extra: bool = True, seed: int = 0, tasks: int = 8, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(j, score): mean importance over trees that grow in several tasks; each task has all rows, or a hash sample of its own of about max_rows."""
-    n = wide.count()
+def forest_importance(wide: DataFrame, classes: int, trees: int = 200, depth: int | None = 3, extra: bool = True, seed: int = 0, tasks: int = 8, max_rows: int | None = None) -> DataFrame:
+    """(j, score): mean importance over trees that grow in several tasks, each on all rows. With max_rows each task has a hash sample of its own of about as many, and a column n_rows tells how many there were."""
     tasks = max(1, min(tasks, trees))
     copies = wide.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    if n > max_rows:
-        copies = copies.where(F.pmod(F.xxhash64("id", "task", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * max_rows / n)
+    n = None
+    if max_rows is not None:
+        n = wide.count()
+        copies = copies.where(F.pmod(F.xxhash64("id", "task", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * max_rows / max(n, max_rows))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
@@ -672,4 +679,5 @@ def forest_importance(wide: DataFrame, classes: int, trees: int = 200, depth: in
         f = learn.Forest(depth=depth, extra=extra, seeds=seeds).fit(np.array(part["features"].tolist(), float), y, classes, seed)
         return pd.DataFrame({"j": np.arange(len(f.importance), dtype=np.int32), "s": f.importance * len(seeds)})
 
-    return copies.groupBy("task").applyInPandas(run, "j int, s double").groupBy("j").agg((F.sum("s") / trees).alias("score"))
+    out = copies.groupBy("task").applyInPandas(run, "j int, s double").groupBy("j").agg((F.sum("s") / trees).alias("score"))
+    return out if n is None else out.withColumn("n_rows", F.lit(n))

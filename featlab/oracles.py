@@ -106,7 +106,7 @@ SELECT rank::INT AS rank, j, round(score, 6) AS score FROM r WHERE rank <= 10"""
     "fs_ks_topk": _top(_KS),
     "fs_cei_rank": _top("SELECT j, 1 - min(1 - n::DOUBLE / (b - a + 1)) AS score FROM (SELECT j, label, min(p) AS a, max(p) AS b, count(*) AS n FROM (SELECT j, label, row_number() OVER (PARTITION BY j ORDER BY x, id) AS p FROM x) GROUP BY ALL) GROUP BY j", 50),
     "fs_cfs_entropy": _top("SELECT h1.j, coalesce(2 * (h1.h + h2.h - h12.h) / nullif(h1.h + h2.h, 0), 0) AS score FROM (SELECT j, entropy(b) AS h FROM b GROUP BY j) h1 JOIN (SELECT j, entropy(label) AS h FROM b GROUP BY j) h2 USING (j) JOIN (SELECT j, entropy(b * 100 + label) AS h FROM b GROUP BY j) h12 USING (j)", 10, f"{_EMB}, {_BIN}"),
-    "cfs_feature_uncertainty": f"WITH {_EMB}, {_BIN}, h AS (SELECT j, entropy(b) AS h FROM b GROUP BY j), p AS (SELECT a.j AS i, c.j AS j, entropy(a.b * 100 + c.b) AS h FROM b a JOIN b c ON a.id = c.id AND a.j < c.j WHERE c.j < 12 GROUP BY ALL) SELECT p.i, p.j, round(coalesce(2 * (a.h + c.h - p.h) / nullif(a.h + c.h, 0), 0), 6) AS su FROM p JOIN h a ON a.j = p.i JOIN h c ON c.j = p.j",
+    "cfs_feature_uncertainty": f"WITH {_EMB}, {_BIN}, h AS (SELECT j, entropy(b) AS h FROM b GROUP BY j), p AS (SELECT a.j AS i, c.j AS j, entropy(a.b * 100 + c.b) AS h FROM b a JOIN b c ON a.id = c.id AND a.j < c.j GROUP BY ALL) SELECT p.i, p.j, round(coalesce(2 * (a.h + c.h - p.h) / nullif(a.h + c.h, 0), 0), 6) AS su FROM p JOIN h a ON a.j = p.i JOIN h c ON c.j = p.j",
     "topk_ascending": f"WITH t AS ({_top(_VAR)}) SELECT 11 - rank AS rank, j, score FROM t",
     "topk_column_order": f"WITH t AS ({_top(_VAR)}) SELECT row_number() OVER (ORDER BY j)::INT AS rank, j, score FROM t",
     "kth_largest_mask": f"WITH {_EMB}, s AS (SELECT j, round(avg(x * x), 4) AS score FROM x GROUP BY j) SELECT j, score FROM s WHERE score >= (SELECT min(score) FROM (SELECT score FROM s ORDER BY score DESC LIMIT 10))",
@@ -117,7 +117,7 @@ SELECT rank::INT AS rank, j, round(score, 6) AS score FROM r WHERE rank <= 10"""
     "slice_by_selection": f"WITH {_EMB}, v AS ({_VAR}), t AS (SELECT j FROM v ORDER BY round(score, 9) DESC, j LIMIT 3) SELECT j, count(*) AS n, round(sum(x), 6) AS s FROM x WHERE j IN (SELECT j FROM t) GROUP BY j",
     "minmax_scale_stats": f"WITH {_LI}, s AS (SELECT j, (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS x FROM lx WINDOW w AS (PARTITION BY j)) SELECT j, round(avg(x), 6) AS mean, min(x) AS lo, max(x) AS hi FROM s GROUP BY j",
     "zscore_stats": f"WITH {_LI}, s AS (SELECT j, y2 AS label, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x FROM lx WINDOW w AS (PARTITION BY j)) SELECT j, label, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS var FROM s GROUP BY ALL",
-    "row_l2_normalise": f"WITH {_EMB}, s AS (SELECT id, label, j, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12) AS x FROM x) SELECT id, label, j, round(x, 6) AS x FROM s WHERE j < 4",
+    "row_l2_normalise": f"WITH {_EMB}, s AS (SELECT id, label, j, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12) AS x FROM x) SELECT id, label, j, round(x, 6) AS x FROM s",
     "label_profile": "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT (SELECT label FROM c ORDER BY n DESC, label LIMIT 1) AS majority, max(n) AS n_majority, round(max(n) * 100.0::DOUBLE / sum(n), 3) AS majority_percent, count(*) AS classes, round(1.0::DOUBLE / count(*), 6) AS class_fraction FROM c",
     "class_counts": "SELECT label, count(*) AS n FROM embeddings GROUP BY label",
     "label_rebase": "SELECT (label - (SELECT min(label) FROM embeddings))::INT AS label, count(*) AS n FROM embeddings GROUP BY ALL",
@@ -202,7 +202,7 @@ ks, hypers, dks AS dataset_ks, das AS dataset_algorithms FROM m JOIN ga USING (r
     "dataset_category": f"WITH {_RUNS}, {_BICD}, {_SUM} SELECT metric, category, count(*) AS datasets FROM sm GROUP BY ALL",
     "light_results": f"WITH {_RUNS}, f AS (SELECT * FROM runs WHERE fs = 'FS'), a AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY avg_auc DESC, seq) = 1), b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY avg_accuracy DESC, seq) = 1) SELECT seq, dataset, avg_auc, avg_accuracy FROM a UNION SELECT seq, dataset, avg_auc, avg_accuracy FROM b",
     "wide_flatten": f"WITH {_RUNS} SELECT dataset, algorithm, " + ", ".join(f"max(round({m}, 3)) FILTER (evaluator = '{e}') AS {e.lower()}_{m}" for e in ("ETREE", "LR", "SVM", "RF", "KNN", "LDA") for m in ("avg_accuracy", "avg_auc")) + " FROM runs GROUP BY dataset, algorithm",
-    "fold_statistics": f"WITH {_RUNS} SELECT dataset, evaluator, round(avg(avg_auc), 3) AS avg_auc, round(stddev_pop(avg_auc), 3) AS std_auc, max(avg_auc) AS max_auc, count(*) AS folds FROM runs WHERE seq % 11 = 0 GROUP BY ALL",
+    "fold_statistics": f"WITH {_RUNS} SELECT dataset, evaluator, round(avg(avg_auc), 3) AS avg_auc, round(stddev_pop(avg_auc), 3) AS std_auc, max(avg_auc) AS max_auc, count(*) AS folds FROM runs GROUP BY ALL",
     "best_evaluator": f"WITH {_RUNS}, r AS (SELECT dataset, evaluator, round(avg(avg_auc), 6) AS auc FROM runs GROUP BY ALL) SELECT dataset, evaluator, auc FROM r QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY auc DESC, evaluator) = 1",
     "change_log_pivot": f"WITH {_RUNS}, w AS (SELECT dataset, fs, " + ", ".join(f"max(avg_auc) FILTER (algorithm = '{a}') AS {a}" for a in _ALGORITHMS) + " FROM runs GROUP BY dataset, fs) SELECT dataset, fs, " + ", ".join(f"CASE WHEN {a} = greatest({', '.join(_ALGORITHMS)}) THEN '**' || {a} || '**' ELSE {a}::VARCHAR END AS {a}" for a in _ALGORITHMS) + " FROM w",
     "custom_round": f"SELECT l_orderkey * 8 + l_linenumber AS seq, round({_CROUND.format(x='x')}, 9) AS y FROM (SELECT *, round(l_discount * l_tax * l_tax / 100, 12) AS x FROM lineitem)",
@@ -211,7 +211,7 @@ ks, hypers, dks AS dataset_ks, das AS dataset_algorithms FROM m JOIN ga USING (r
     "gt_contribution": f"WITH {_RUNS}, g AS (SELECT seq, round(avg_auc - avg_accuracy, 3) AS absolute, round((avg_auc / nullif(avg_accuracy, 0) - 1) * 100, 3) AS percent FROM runs) SELECT seq, absolute, round(percent, 2) AS percent, CASE WHEN percent >= 10 THEN 'Hard Interesting' ELSE '' END AS label FROM g",
     "fs_contribution": f"WITH {_RUNS}, {_BICD} SELECT f.dataset, round(f.best - h.best, 3) AS gain, CASE WHEN round(f.best - h.best, 3) > 0 THEN 'Yes' ELSE 'No' END AS contributes FROM bicd f JOIN bicd h ON f.dataset = h.dataset AND f.metric = 'avg_auc' AND h.metric = 'avg_auc' AND f.fs = 'FS' AND h.fs = 'No FS'",
     "top_features_slice": f"WITH {_RANKS}, l AS (SELECT fold, list(j ORDER BY rank) AS js FROM ranks GROUP BY fold) SELECT fold, array_to_string(js[1:CASE WHEN len(js) >= 25 THEN 25 ELSE 10 END], ',') AS js FROM l",
-    "json_cell": f"WITH {_RUNS} SELECT dataset, '[' || string_agg('{{\"seq\":' || seq || ',\"k\":' || k || '}}', ',' ORDER BY seq, k) || ']' AS json FROM runs WHERE seq % 50 = 0 GROUP BY dataset",
+    "json_cell": f"WITH {_RUNS} SELECT dataset, '[' || string_agg('{{\"seq\":' || seq || ',\"k\":' || k || '}}', ',' ORDER BY seq, k) || ']' AS json FROM runs GROUP BY dataset",
     "repositories": f"WITH {_RUNS} SELECT DISTINCT repository FROM runs",
     "file_stems": f"WITH {_RUNS} SELECT DISTINCT dataset || '.mat' AS file, dataset AS stem FROM runs",
     "extreme_matrix_entries": f"WITH {_EMB}, {_MEANS}, {_PAIRS_J}, mm AS (SELECT i, j, s / n AS v FROM pj CROSS JOIN n WHERE i < j), a AS (SELECT *, 'largest' AS side FROM mm ORDER BY round(v, 9) DESC, i, j LIMIT 5), b AS (SELECT *, 'smallest' AS side FROM mm ORDER BY round(v, 9), i, j LIMIT 5) SELECT i, j, round(v, 6) AS v, side FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
@@ -222,4 +222,10 @@ ks, hypers, dks AS dataset_ks, das AS dataset_algorithms FROM m JOIN ga USING (r
     "encode_leave_one_out": f"WITH {_CAT_ROWS} SELECT category, y, count(*) AS n, round(avg(coalesce((s - y) / nullif(k - 1, 0), g)), 6) AS encoded FROM st GROUP BY ALL",
     "encode_james_stein": f"WITH {_CAT_ROWS} SELECT category, y, count(*) AS n, round(avg((1 - v / (v + gv)) * m + v / (v + gv) * g), 6) AS encoded FROM st GROUP BY ALL",
     "full_results_upsert": f"WITH {_RUNS} SELECT repository, dataset, fs, algorithm, k, hyper, evaluator, seq FROM runs QUALIFY row_number() OVER (PARTITION BY repository, dataset, fs, algorithm, k, hyper, evaluator ORDER BY seq % 3 = 0 DESC, seq DESC) = 1",
+    "original_fs_upsert": f"WITH {_RUNS}, v AS (SELECT *, k / 10.0::DOUBLE AS hard_t, folds * 10.0::DOUBLE AS training_percent, 10.0::DOUBLE AS removed_percent FROM runs) SELECT repository, dataset, hard_t, training_percent, algorithm, k, seq FROM v QUALIFY row_number() OVER (PARTITION BY repository, dataset, hard_t, training_percent, algorithm, k ORDER BY seq % 3 = 0 DESC, seq DESC) = 1",
+    "dataset_labels_upsert": f"WITH {_RUNS}, v AS (SELECT *, k / 10.0::DOUBLE AS hard_t, folds * 10.0::DOUBLE AS training_percent, 10.0::DOUBLE AS removed_percent FROM runs) SELECT repository, dataset, hard_t, training_percent, n, p, fs, algorithm, seq FROM v QUALIFY row_number() OVER (PARTITION BY repository, dataset, hard_t, training_percent, n, p, fs, algorithm ORDER BY seq % 3 = 0 ASC, seq ASC) = 1",
+    "change_log_upsert": f"WITH {_RUNS}, v AS (SELECT *, k / 10.0::DOUBLE AS hard_t, folds * 10.0::DOUBLE AS training_percent, 10.0::DOUBLE AS removed_percent FROM runs) SELECT repository, dataset, removed_percent, fs, hard_t, training_percent, seq FROM v QUALIFY row_number() OVER (PARTITION BY repository, dataset, removed_percent, fs, hard_t, training_percent ORDER BY seq % 3 = 0 DESC, seq DESC) = 1",
+    "directory_listing": "SELECT * FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(dataset)",
+    "training_size": "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS (SELECT i, round(0.5 - i * 0.01, 2) AS share FROM range(50) t(i)), t AS (SELECT i, share, sum(round_even(n * share, 0))::BIGINT AS a, sum(n)::BIGINT AS n FROM c CROSS JOIN s GROUP BY ALL), b AS (SELECT * FROM t WHERE least(a, n - a) >= 50 AND least(share, 1 - share) >= 0.3 ORDER BY i LIMIT 1) SELECT share::DOUBLE AS share, a AS n_train, n - a AS n_test FROM b",
+    "hyperparameter_sheets": """SELECT algorithm, setting_no::INT AS setting_no, comment, n_params::INT AS n_params FROM (VALUES ('Skewness', 1, 'skew_threshold=1', 1), ('CFS', 1, 't=5', 1), ('MCFS', 1, 'metric=euclidean; neighbor_mode=knn; weight_mode=heat_kernel', 3), ('RFS', 1, 'gamma=0.01; max_iter=1000', 2), ('ReliefF', 1, 'n_neighbors=10', 1), ('GRAPH', 1, 'lambda1=0.8; lambda2=0.8; rho=0.1; max_iter=300', 4), ('low_variance', 1, 'p=0.1', 1), ('LS', 1, 'metric=euclidean; neighbor_mode=knn; weight_mode=heat_kernel', 3), ('SVM_RBF', 1, 'C=1; gamma=scale', 2), ('CEI_GA', 1, 'pre_keep=50; ga_beta=2; ga_pop=20; ga_gen=50; cv_splits=5', 5), ('SVM_Forward', 1, 'C=1', 1), ('SHAP', 1, 'n_estimators=100; learning_rate=0.1; max_depth=3', 3), ('SVM_Backward', 1, 'C=0.1; penalty=l1; tol=0.05', 3), ('DecisionTree_Backward', 1, 'max_depth=4; min_samples_split=10; min_samples_leaf=5; max_leaf_nodes=15', 4), ('DecisionTree_Forward', 1, 'max_depth=4; min_samples_split=10; min_samples_leaf=5; max_leaf_nodes=15', 4), ('AdaBoost', 1, 'n_estimators=100; learning_rate=5; max_depth=5', 3), ('ETree', 1, 'n_estimators=200; max_depth=3', 2), ('CT', 1, 't=1', 1), ('CAE', 1, 'num_epochs=800; batch_size=16', 2), ('DLFS', 1, 'data_batch_size=16; mask_batch_size=16; s=5; s_p=2; phase_2_start=600; max_batches=1500; early_stopping_patience=60', 7), ('UFS', 1, 'epochs_number=200; batch_size_value=16; loss_weight_1=0.0078125; p_learning_rate=0.001', 4), ('SVC', 1, 'C=1; penalty=l2', 2), ('Univariate', 1, 'score_func=chi2', 1), ('alpha_investing', 1, 'w0=10; dw=0.01', 2), ('mRMR', 1, 'relevance=f; denominator=mean', 2), ('GRACES', 1, 'epochs=5; learning_rate=0.001; q=2; n_dropouts=10; dropout_prob=0.5; batch_size=16; alpha=0.95; sigma=0.1; f_correct=0', 9), ('DT', 1, 'No_hyperparamters', 0), ('LeadingEV', 1, 'No_hyperparamters', 0)) t(algorithm, setting_no, comment, n_params)""",
 }

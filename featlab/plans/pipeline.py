@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featlab.operators import learn, splits
-from featlab.operators.selectors import MAX_ROWS, Fold, ranked
+from featlab.operators.selectors import Fold, ranked
 from featlab.plans import results
 from featlab.plans.registry import EVALUATORS, FOLDS, K_LIST, REGISTRY, SEED, SETTINGS, THRESHOLD, comment
 
@@ -26,18 +26,15 @@ def importance(name: str, model, x: np.ndarray, y: np.ndarray, classes: int, see
     return learn.permutation_importance(lambda z: float((model.predict_proba(z).argmax(1) == y).mean()), x, 5, seed)
 
 
-def fold_runs(wide: DataFrame, algorithm: str | None, ks: list[int], evaluators: list[str], folds: int = FOLDS, seed: int = SEED, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
+def fold_runs(wide: DataFrame, algorithm: str | None, ks: list[int], evaluators: list[str], folds: int = FOLDS, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each fold, K and evaluator. algorithm None: all features, K the number of them.
 
-    Each class that is missing from one side of a fold gets all its rows from the other. Folds with more
-    than max_rows training rows are thinned by a hash of the id.
+    Each class that is missing from one side of a fold gets all its rows from the other. A fold's rows
+    meet in one task.
     """
     entry, params = (REGISTRY[algorithm], SETTINGS.get(algorithm, {})) if algorithm else (None, {})
     dealt = splits.stratified_folds(wide, folds, seed)
-    n = wide.count()
     rows = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("test", F.col("fold") == F.col("part")).drop("fold")
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * max_rows / n)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")

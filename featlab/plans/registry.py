@@ -32,7 +32,7 @@ SETTINGS: dict[str, dict[str, object]] = {
     "AdaBoost": {"n_estimators": 100, "learning_rate": 5, "max_depth": 5},
     "ETree": {"n_estimators": 200, "max_depth": 3},
     "CT": {"t": 1},
-    "CAE": {"num_epochs": 16, "batch_size": 16},
+    "CAE": {"num_epochs": 800, "batch_size": 16},  # the published training, beyond the 16 that its run identity names
     "DLFS": {"data_batch_size": 16, "mask_batch_size": 16, "s": 5, "s_p": 2, "phase_2_start": 600, "max_batches": 1500, "early_stopping_patience": 60},
     "UFS": {"epochs_number": 200, "batch_size_value": 16, "loss_weight_1": 0.0078125, "p_learning_rate": 0.001},
     "SVC": {"C": 1, "penalty": "l2"},

@@ -27,12 +27,19 @@ RESULTS = T.StructType(
 
 
 def open_or_create(spark: SparkSession, path: str, schema: T.StructType = RESULTS) -> DataFrame:
-    """The table at path, or an empty one; columns that it lacks are null."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    """The table at path, or an empty one; columns that it lacks are null. Where a save was cut short, the table before it."""
+    fs, at = _paths(spark, path, "", ".before")
+    found = next((p for p in at if fs.exists(p)), None)
+    if found is None:
         return spark.createDataFrame([], schema)
-    return ensure_columns(spark.read.parquet(path), schema)
+    return ensure_columns(spark.read.parquet(found.toString()), schema)
+
+
+def _paths(spark: SparkSession, path: str, *ends: str):
+    """The file system, and path with each of the ends."""
+    jvm = spark.sparkContext._jvm
+    at = [jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + e) for e in ends]
+    return at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -70,15 +77,14 @@ def upsert_table(name: str, old: DataFrame, new: DataFrame, seq: str | None = No
 
 
 def save(df: DataFrame, path: str) -> None:
-    """Overwrite through a second folder, as df may come from path itself."""
-    spark = df.sparkSession
-    other = path.rstrip("/") + ".next"
-    df.write.mode("overwrite").parquet(other)
-    jvm = spark.sparkContext._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(other), jvm.org.apache.hadoop.fs.Path(path)
-    fs = b.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    fs.rename(a, b)
+    """Overwrite beside the table, then swap: df may come from path itself, and at each moment the old or the new table is there in whole."""
+    fs, (now, new, old) = _paths(df.sparkSession, path, "", ".next", ".before")
+    df.write.mode("overwrite").parquet(new.toString())
+    if fs.exists(now):
+        fs.delete(old, True)  # what a save that was cut short has left; path is there, so it isn't needed
+        fs.rename(now, old)
+    fs.rename(new, now)
+    fs.delete(old, True)
 
 
 def where_all(df: DataFrame, conditions: dict[str, object]) -> DataFrame:

@@ -139,8 +139,7 @@ def fs_cfs_entropy(spark, d):
 
 @query
 def cfs_feature_uncertainty(spark, d):
-    long = _emb_long(spark, d).where("j < 12")  # a slice of the features: pairs of these
-    return rounded(filters.feature_uncertainty(filters.binned(long)))
+    return rounded(filters.feature_uncertainty(filters.binned(_emb_long(spark, d))))
 
 
 @query
@@ -203,7 +202,7 @@ def zscore_stats(spark, d):
 @query
 def row_l2_normalise(spark, d):
     wide = _emb(spark, d).withColumn("features", X.l2_normalised(F.col("features")))
-    return rounded(M.to_long(wide).where("j < 4"))  # four cells a row; the norm is of the whole row
+    return rounded(M.to_long(wide))
 
 
 @query
@@ -612,7 +611,7 @@ def wide_flatten(spark, d):
 
 @query
 def fold_statistics(spark, d):
-    folds = runs(spark, d).select("dataset", "evaluator", F.col("seq").alias("fold"), F.col("avg_auc").alias("auc")).where("fold % 11 = 0")
+    folds = runs(spark, d).select("dataset", "evaluator", F.col("seq").alias("fold"), F.col("avg_auc").alias("auc"))
     return results.fold_summary(folds, ["dataset", "evaluator"], ("auc",)).select("dataset", "evaluator", "avg_auc", "std_auc", "max_auc", F.size("auc_list").cast("long").alias("folds"))
 
 
@@ -667,8 +666,7 @@ def top_features_slice(spark, d):
 
 @query
 def json_cell(spark, d):
-    r = runs(spark, d).where("seq % 50 = 0")
-    return results.as_json(r, ["dataset"], ["seq", "k"])
+    return results.as_json(runs(spark, d), ["dataset"], ["seq", "k"])
 
 
 @query
@@ -704,7 +702,7 @@ def fs_etree(spark, d):
 
 @query
 def cv_pipeline(spark, d):
-    return pipeline.cross_validate(_emb(spark, d), "embeddings", "low_variance", "driver", [5, 10], ["LR", "KNN", "LDA", "ETREE"])
+    return pipeline.cross_validate(_emb(spark, d), "embeddings", "low_variance", "driver", [5, 10], EVALUATORS)
 
 
 @query
@@ -738,7 +736,9 @@ def ground_truth_rescore(spark, d):
 
 @query
 def hard_baseline(spark, d):
-    return rounded(hard.single_split(splits.train_test(splits.peel(_emb(spark, d), 5), 0.5), None, [64]))
+    rows = splits.train_test(splits.peel(_emb(spark, d), 5), 0.5)
+    both = hard.single_split(rows, None, [64]).unionByName(hard.single_split(rows, None, [64], "ADABOOST"))
+    return rounded(both)
 
 
 @query
@@ -827,3 +827,51 @@ def selected_importance(spark, d):
     chosen = filters.low_variance(_emb_long(spark, d), 10).select("j")
     total = imp.agg(F.sum("score").alias("t"))
     return imp.join(chosen, "j").crossJoin(F.broadcast(total)).select("j", X.custom_round(F.col("score") / F.col("t")).alias("importance"))
+
+
+@query
+def directory_listing(spark, d):
+    """Stems of the table files; a folder of part files counts as one."""
+    return M.list_datasets(spark, d, "*.parquet").select("dataset").where("dataset NOT LIKE 'part-%'")
+
+
+def _variants(spark, d):
+    """Runs as rows of the tables of hard variants."""
+    return runs(spark, d).select("seq", "repository", "dataset", "fs", "algorithm", "k", "n", "p", (F.col("k") / 10.0).alias("hard_t"), (F.col("folds") * 10.0).alias("training_percent"), F.lit(10.0).alias("removed_percent"), F.col("n").alias("training_length"), "avg_auc")
+
+
+def _variant_halves(spark, d):
+    r = _variants(spark, d)
+    return r.where("seq % 3 <> 0"), r.where("seq % 3 = 0")
+
+
+@query
+def original_fs_upsert(spark, d):
+    return results.upsert_table("original_fs", *_variant_halves(spark, d), "seq").select("repository", "dataset", "hard_t", "training_percent", "algorithm", "k", "seq")
+
+
+@query
+def dataset_labels_upsert(spark, d):
+    return results.upsert_table("dataset_labels", *_variant_halves(spark, d), "seq").select("repository", "dataset", "hard_t", "training_percent", "n", "p", "fs", "algorithm", "seq")
+
+
+@query
+def change_log_upsert(spark, d):
+    return results.upsert_table("change_log", *_variant_halves(spark, d), "seq").select("repository", "dataset", "removed_percent", "fs", "hard_t", "training_percent", "seq")
+
+
+@query
+def mrmr_same_domain(spark, d):
+    return rounded(redundancy.mrmr(_emb(spark, d), K, same_domain=lambda j: str(j % 4)))
+
+
+@query
+def outcome_row(spark, d):
+    """The documentation row of a hard variant: half of the rows train, three tenths of each class are peeled off for the variant."""
+    wide = _emb(spark, d)
+    rows, variant = (splits.train_test(w, 0.5) for w in (wide, splits.peel(wide, 3)))
+    score = lambda r, name, k: hard.single_split(r, name, [k])
+    known = hard.single_split(variant, None, [K], selected=[r["j"] for r in filters.low_variance(_emb_long(spark, d), K).collect()])  # K features
+    sizes = {"n": wide.count(), "p": 64, "classes": 10, "hard_t": 0.7, "removed_percent": 30.0, "removed_percent_fs": 30.0}
+    out = hard.document(spark, "embeddings", sizes, score(rows, None, 64), score(rows, "low_variance", K), score(variant, None, 64), score(variant, "DT", K), {"auc": known, "accuracy": known})
+    return out.select("dataset", "label", "n", "p", "classes", "leading_fs", "leading_hard_fs", "auc_hard_indices", "auc_gt_indices", "auc_common")

@@ -16,9 +16,13 @@ def load_matrix(spark: SparkSession, path: str, features: str = "X", label: str
 
 
 def matrix(df: DataFrame, id_col: str | None, label: str, features: str) -> DataFrame:
-    """Wide form with absolute values; without an id column rows are numbered."""
-    ids = F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id()
-    return df.select(ids.alias("id"), F.col(label).cast("int").alias("label"), F.transform(F.col(features), lambda v: F.abs(v.cast("double"))).alias("features"))
+    """Wide form with absolute values. Without an id column a row's id is a hash of its content, and of how many equal rows go before
+    it: the same in any layout of the files, so folds are too."""
+    rows = df.select(F.col(id_col).cast("long").alias("id") if id_col else F.xxhash64(label, features).alias("id"), F.col(label).cast("int").alias("label"), F.transform(F.col(features), lambda v: F.abs(v.cast("double"))).alias("features"))
+    if id_col:
+        return rows
+    equal = rows.groupBy("id", "label", "features").agg(F.count("*").alias("n"))  # repeated rows are merged before the shuffle
+    return equal.select("id", "label", "features", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth")).select(F.when(F.col("nth") == 1, F.col("id")).otherwise(F.xxhash64("id", "nth")).alias("id"), "label", "features")
 
 
 def matrix_of_columns(df: DataFrame, columns: list[str], label: Column, id_col: Column) -> DataFrame:
