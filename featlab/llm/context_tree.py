@@ -12,7 +12,7 @@ block's distinct grams (context and byte) and words with their training counts.
 blocks by merging packed shards, MERGE at a time, as often as it takes; the probabilities of a block's
 grams, and the counts of its words, go back to that block, in its own order. A token that every text
 holds is one entry a block. Nothing from the corpus is gathered on the driver or sent to all executors,
-save the nodes of depth 0 and 1, 65,536 at most. Words are told apart by 63 bits of their XXH3.
+save the nodes of depth 0 and 1, 65,536 at most. Words are told apart by 56 bits of their XXH3.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from featlab.llm.common import LOWER, parts, text_or_empty, written
 DEPTH = 6
 #: Characters of text in a block; characters for each shard of grams and words; packed rows merged at a time; bytes of
 #: packed questions that a task answers at least.
-BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 12_000_000, 4_500_000, 64, 1 << 25
+BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 32_000_000, 4_500_000, 64, 1 << 25
 #: All grams of a two-byte context are in one shard, so more shards than that are of no use.
 MOST_SHARDS = 1 << 16
 END = b"\n"
-#: Positions whose grams are made, or looked up, at a time.
-_SLICE = 1 << 20
+#: Positions whose grams are sorted, or looked up, at a time.
+_SORTED, _LOOKED_UP = 1 << 23, 1 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -54,42 +54,50 @@ class Block:
 
     def __init__(self, streams: list[bytes], depth: int):
         self.depth, self.streams = depth, streams
-        self.flat = np.frombuffer(b"".join([END * depth + s for s in streams]), np.uint8)
+        self.flat = np.frombuffer(END * 8 + b"".join([END * depth + s for s in streams]), np.uint8)
         self.sizes = np.array([len(s) for s in streams], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.size = len(self.flat) - 8
+        self.real = np.ones(self.size, bool)
+        self.real[(self.starts + depth * np.arange(len(streams)))[:, None] + np.arange(depth)] = False
+        # number i ends with byte i, the bytes before it are above it
+        self.windows = np.ndarray(self.size, ">u8", self.flat, 1, (1,))
 
     def grams(self, lo: int, hi: int) -> np.ndarray:
-        """Of the bytes lo to hi of all streams together: the byte lowest and the context above it, its last byte lowest."""
-        at = np.arange(lo, hi)
-        at += self.depth * np.searchsorted(self.starts, at, "right")
-        out = self.flat[at].astype(np.int64)
-        for k in range(1, self.depth + 1):
-            out |= self.flat[at - k].astype(np.int64) << (8 * k)
-        return out
+        """Of the streams' bytes among those at lo to hi: the byte lowest and the context above it, its last byte lowest."""
+        return (self.windows[lo:hi][self.real[lo:hi]].astype("<u8") & np.uint64((1 << 8 * (self.depth + 1)) - 1)).astype(np.int64)
 
-    def slices(self) -> Iterator[tuple[int, int]]:
-        total = int(self.sizes.sum())
-        return ((k, min(k + _SLICE, total)) for k in range(0, total, _SLICE))
+    def slices(self, size: int) -> Iterator[tuple[int, int]]:
+        return ((k, min(k + size, self.size)) for k in range(0, self.size, size))
 
-    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def counted(self, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All distinct grams, and how often each occurs in the streams marked in train."""
-        every, seen = [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        marked = np.repeat(train, self.sizes)
-        for lo, hi in self.slices():
+        marked = np.repeat(np.zeros(len(self.sizes), bool) if train is None else train, self.sizes)
+        some, at = [], 0
+        for lo, hi in self.slices(_SORTED):
             g = self.grams(lo, hi)
-            every.append(np.unique(g))
-            seen.append(np.unique(g[marked[lo:hi]], return_counts=True))
-        gram = np.unique(np.concatenate(every))
-        return gram, np.bincount(np.searchsorted(gram, np.concatenate([g for g, _ in seen])), np.concatenate([c for _, c in seen]), len(gram)).astype(np.int64)
+            key, c = np.unique(g << 1 | marked[at : at + len(g)], return_counts=True)
+            at += len(g)
+            some.append((key, c))
+        if len(some) == 1:
+            key, c = some[0]
+        else:
+            key, where = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+            c = np.bincount(where, np.concatenate([c for _, c in some]), len(key)).astype(np.int64)
+        gram = key >> 1
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        return gram[first], np.add.reduceat(c * (key & 1), first)
 
     def numbered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words, the number of the word of each token, and the first token of each stream."""
         numbers: dict = defaultdict()
         numbers.default_factory = numbers.__len__
-        tokens = [s.split(b" ") for s in self.streams]
-        flat = np.concatenate([np.fromiter(map(numbers.__getitem__, t), np.int64, len(t)) for t in tokens])
-        size = np.array([len(t) for t in tokens], np.int64)
-        return list(numbers), flat, np.cumsum(size) - size
+        flat = []
+        for s in self.streams:
+            tokens = s.split(b" ")
+            flat.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
+        size = np.array([len(t) for t in flat], np.int64)
+        return list(numbers), np.concatenate(flat), np.cumsum(size) - size
 
 
 class Places:
@@ -113,7 +121,7 @@ class Places:
 def word_keys(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(1)).astype(np.int64)
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(8)).astype(np.int64)
 
 
 def packed(gram: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -152,7 +160,7 @@ def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
 
 
 def word_shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return (key >> 31) * shards >> 32
+    return (key >> 24) * shards >> 32
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -279,7 +287,7 @@ def values(kind: int, data: bytes):
 
     def answer(asked: bytes) -> bytes:
         found = value[np.searchsorted(key, unpacked(asked, "i")[0])]
-        return squeezed(found.astype("<i8")) if kind == 1 else found.astype("<f4").tobytes()
+        return squeezed(found.astype("<i8" if kind == 1 else "<f4"))
 
     return answer
 
@@ -315,7 +323,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars:
 
         own = Block([s for _, s, _ in rows], depth)
         train = np.array([not held_out(i) for i, _, _ in rows])
-        text = zstandard.ZstdCompressor(level=1).compress(b"".join(own.streams))
+        text = zstandard.ZstdCompressor(level=3).compress(b"".join(own.streams))
         yield pd.DataFrame([(block, 0, -1, text, pickle.dumps(([i for i, *_ in rows], own.sizes, [n for *_, n in rows])))], columns=names)
         words, flat, first = own.numbered()
         marked = np.repeat(train, np.diff(np.append(first, len(flat))))
@@ -394,9 +402,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         key, at = np.unique(word_keys(words), return_inverse=True)
         c = value(1, key, word_shard(key, shards), lambda d: restored(d, "<i8"))[at]
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat]
-        gram = np.unique(np.concatenate([np.unique(own.grams(lo, hi)) for lo, hi in own.slices()]))
-        logp, places = value(2, gram, shard_of(gram, shards), lambda d: np.frombuffer(d, "<f4")), Places(gram)
-        each = np.concatenate([logp[places.of(own.grams(lo, hi))].astype(np.float32) for lo, hi in own.slices()])
+        gram, _ = own.counted()
+        logp, places = value(2, gram, shard_of(gram, shards), lambda d: restored(d, "<f4")), Places(gram)
+        each = np.concatenate([logp[places.of(own.grams(lo, hi))].astype(np.float32) for lo, hi in own.slices(_LOOKED_UP)])
         sums = np.add.reduceat(each, own.starts, dtype=np.float64)
         frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": np.diff(np.append(first, len(flat))), "n_known": np.add.reduceat((c > 0)[flat].astype(np.int64), first), "train_tokens": total, "base_score": np.add.reduceat(base, first), "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]

@@ -103,8 +103,23 @@ def test_contexts_reach_across_words():
     own = C.Block([C.stream(text), C.stream("x")], 6)
     data = b"\n" * 6 + b"one two \n"
     want = [sum(data[at - k] << (8 * k) for k in range(7)) for at in range(6, len(data))]
-    assert own.grams(0, int(own.sizes.sum())).tolist()[: len(want)] == want
-    assert own.grams(5, 7).tolist() == want[5:7]
+    assert own.grams(0, own.size).tolist()[: len(want)] == want and len(own.grams(0, own.size)) == own.sizes.sum()
+    assert [g for a, b in own.slices(5) for g in own.grams(a, b).tolist()] == own.grams(0, own.size).tolist()
+
+
+def test_counts_are_of_marked_streams(monkeypatch):
+    r = np.random.default_rng(3)
+    streams = [C.stream(" ".join(r.choice(["a", "bc", "def"], 30))) for _ in range(20)]
+    train = r.random(20) < 0.5
+    own = C.Block(streams, 3)
+    all_, c = own.counted(train)
+    want, of = Counter(), own.grams(0, own.size)
+    for start, size, marked in zip(own.starts, own.sizes, train, strict=True):
+        want.update(of[start : start + size].tolist() if marked else [])
+    assert all_.tolist() == sorted(set(of.tolist())) and dict(zip(all_.tolist(), c.tolist(), strict=True)) == {g: want[g] for g in all_.tolist()}
+    monkeypatch.setattr(C, "_SORTED", 17)
+    again = own.counted(train)
+    assert (again[0] == all_).all() and (again[1] == c).all()
 
 
 def test_places_find_every_number():
