@@ -7,11 +7,13 @@ at most EPSILON * sqrt((1 - f^2) / f^2 / (D - 1)) with f the factor, but for a p
 with exp(-c EPSILON^2). Only pairs whose bound reaches the threshold are computed again in double
 precision, and those alone decide.
 
-Candidates come from further rotations: TABLES tables of BITS sign bits each, within a label. A pair at
-the threshold's angle shares a table's bits with probability (1 - angle/180)**BITS; with the defaults
-all tables miss a pair at cosine 0.93 in 0.2 % of cases, one at 0.95 in 0.01 %, one at 0.975 never in
-practice. Buckets over TILE vectors are cut into tiles, so that no task holds a whole group; tasks count
-links and pass on one tree of links a tile, not the pairs.
+Candidates come from further rotations: tables of sign bits, within a label. A pair at the threshold's
+angle shares a table's bits with probability (1 - angle/180)**bits, and there are as many tables as keep
+the share of such pairs that all tables miss at MISS; pairs that are more similar are missed less (with 16
+bits 0.13 % at cosine 0.93, 0.007 % at 0.95). The bits grow with the vectors of the largest label, one for
+each doubling from LEAST_BITS on, so unrelated vectors don't crowd the buckets. Buckets over TILE vectors
+are cut into tiles, so that no task holds a whole group; tasks count links and pass on one tree of links a
+tile, not the pairs. Vectors travel as they came, in single precision where that loses nothing.
 """
 
 from __future__ import annotations
@@ -27,7 +29,19 @@ from pyspark.sql import functions as F
 from featlab.llm.common import parts, written
 from featlab.llm.components import components
 
-COSINE, TABLES, BITS, TILE, EPSILON, SEED = 0.93, 48, 16, 512, 5.0, 17
+COSINE, MISS, TILE, EPSILON, SEED = 0.93, 0.0013, 512, 5.0, 17
+#: Sign bits of a table at least and at most, and vectors a label for each bucket from which on more bits are taken.
+LEAST_BITS, MOST_BITS, CROWD = 16, 32, 256
+
+
+def tables_for(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """(tables, bits) for n vectors in the largest label."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (n // CROWD).bit_length()))
+    shared = (1 - np.arccos(cosine) / np.pi) ** bits
+    return int(np.ceil(np.log(MISS) / np.log1p(-shared))), bits
+
+
+TABLES, BITS = tables_for(0)
 
 
 @lru_cache(maxsize=64)
@@ -86,42 +100,63 @@ def _valid(vector):
     return F.col("label").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    out = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares of very large or small ones stay finite
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _packed(v: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        short = v.astype("<f4")
+    return (short if (short == v).all() else v.astype("<f8")).tobytes()
+
+
+def _unpacked(data: list[bytes], dim: int) -> np.ndarray:
+    return np.array([np.frombuffer(d, "<f4" if len(d) == 4 * dim else "<f8") for d in data], np.float64).reshape(len(data), dim)
+
+
+def _width(bits: int) -> int:
+    """Bytes of a table's key."""
+    return 2 if bits <= 16 else 4
+
+
 def _keyed(reps: DataFrame, tables: int, bits: int) -> DataFrame:
-    """(rep, label, mult, dim, keys, unit): all tables' keys as 32-bit numbers and the unit vector, as bytes."""
+    """(rep, label, mult, dim, keys, vec): all tables' keys and the vector, as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for dim, part in rows.groupby(rows["vector"].map(len)):
-                unit = np.array(part["vector"].tolist(), np.float64).reshape(len(part), dim)
-                unit /= np.abs(unit).max(axis=1, keepdims=True)  # squares of very large or small ones stay finite
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                keys = sign_tables(unit, tables, bits)
-                flat = keys.astype("<u4")
-                yield pd.DataFrame({"rep": part["rep"], "label": part["label"], "mult": part["mult"], "dim": dim, "keys": [k.tobytes() for k in flat], "unit": [u.tobytes() for u in unit]})
+                vec = np.array(part["vector"].tolist(), np.float64).reshape(len(part), dim)
+                flat = sign_tables(units(vec), tables, bits).astype(f"<u{_width(bits)}")
+                yield pd.DataFrame({"rep": part["rep"], "label": part["label"], "mult": part["mult"], "dim": dim, "keys": [k.tobytes() for k in flat], "vec": [_packed(v) for v in vec]})
 
-    return reps.mapInPandas(run, "rep long, label long, mult long, dim int, keys binary, unit binary")
+    return reps.mapInPandas(run, "rep long, label long, mult long, dim int, keys binary, vec binary")
 
 
-def _tables(keyed: DataFrame, tables: int) -> DataFrame:
-    """(rep, label, dim, t, key) from the packed keys; key: the table's four bytes."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring(F.col("keys"), t * 4 + 1, 4)))
+def _tables(keyed: DataFrame, tables: int, bits: int) -> DataFrame:
+    """(rep, label, dim, t, key) from the packed keys; key: the table's bytes."""
+    w = _width(bits)
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.substring(F.col("keys"), t * w + 1, w)))
     return keyed.select("rep", "label", "dim", at.alias("t", "key"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, bits: int = BITS, tile: int = TILE) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, bits: int | None = None, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors (vec_id, embedding, label).
 
     Rows link when their labels are equal and not null and their cosine reaches the threshold. Vectors
     that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of
     different lengths. Equal vectors of a label link with each other; a repeated row is a vector of its
-    own. A row without vec_id counts as a link of others but names no component.
+    own. A row without vec_id, or with one that is no whole number, counts as a link of others but names no
+    component. tables, bits: those of tables_for unless given.
     """
     rows = vectors.select(F.col("vec_id").try_cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.withColumn("valid", F.coalesce(_valid("vector"), F.lit(False)))
     reps = rows.where("valid").groupBy("label", "vector").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("mult"))
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")  # numbers are settled once written
+    if tables is None or bits is None:
+        tables, bits = tables_for(reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0, cosine)
     keyed = written(_keyed(reps, tables, bits), "codes")
-    at = _tables(keyed, tables)
+    at = _tables(keyed, tables, bits)
     sizes = at.groupBy("label", "dim", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = at.join(sizes, ["label", "dim", "t", "key"])
     # bucket cells: g chunks; a vector of chunk i goes to the tiles (i, j) and (j, i)
@@ -131,7 +166,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     to = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     tiles = shared.select("rep", "t", "chunk", "label", "dim", "key", to.alias("other"))
     tiles = tiles.select("rep", "t", (F.col("chunk") > F.col("other")).cast("int").alias("side"), F.xxhash64("label", "dim", "t", "key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("cell"))
-    held = tiles.join(keyed.select("rep", "mult", "keys", "unit"), "rep")
+    held = tiles.join(keyed.select("rep", "mult", "dim", "keys", "vec"), "rep")
     n = parts(vectors.sparkSession)
     held = held.repartition(n, "cell").sortWithinPartitions("cell")
 
@@ -143,9 +178,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
             cut = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on in the next batch
             kept = part[cut:]
             if cut:
-                yield _cells(part[:cut], cosine)
+                yield _cells(part[:cut], cosine, bits)
         if kept is not None:
-            yield _cells(kept, cosine)
+            yield _cells(kept, cosine, bits)
 
     found = written(held.mapInPandas(run, "a long, b long, n long"), "found")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
@@ -159,7 +194,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _cells(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def _cells(rows: pd.DataFrame, cosine: float, bits: int) -> pd.DataFrame:
     """Counts (a, null, n) and links (a, b, 0) of all cells of a sorted frame."""
     cell = rows["cell"].to_numpy()
     edge = np.flatnonzero(np.diff(cell)) + 1
@@ -170,8 +205,8 @@ def _cells(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         part = rows[lo:hi]
         t = int(part["t"].iloc[0])
         ids = part["rep"].to_numpy()
-        unit = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(hi - lo, -1)
-        keys = np.frombuffer(b"".join(part["keys"]), "<u4").reshape(hi - lo, -1)
+        unit = units(_unpacked(list(part["vec"]), int(part["dim"].iloc[0])))
+        keys = np.frombuffer(b"".join(part["keys"]), f"<u{_width(bits)}").reshape(hi - lo, -1)
         counts, tree = links_within(ids, part["mult"].to_numpy(), unit, keys[:, :t], part["side"].to_numpy(), cosine)
         for i in np.flatnonzero(counts).tolist():
             a.append(int(ids[i]))

@@ -40,3 +40,29 @@ def test_empty_and_estimate(spark):
         x = np.sign(p @ o) / 8
         est.append(x @ (p @ q) / (x @ (p @ o)))
     assert abs(np.mean(est) - o @ q) < 0.02
+
+
+def test_rows_without_an_id_and_repeated_rows(spark):
+    r = np.random.default_rng(4)
+    base = r.standard_normal(32)
+    near = lambda: (base + 0.1 * r.standard_normal(32)).tolist()
+    same = near()
+    rows = [(1, same, 0), (1, same, 0), (2, near(), 0), (None, near(), 0), (None, r.standard_normal(32).tolist(), 0), (3, r.standard_normal(32).tolist(), 0)]
+    df = spark.createDataFrame([(*x, "x", 1) for x in rows], SCHEMA)
+    got = sorted(((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in rotation_codes.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (None, 0, None, False), (3, 0, 3, True)], key=str)
+    text = spark.createDataFrame([("a", same, 0), ("7", same, 0)], "vec_id string, embedding array<float>, label int")
+    assert sorted(((x["vec_id"], x["n_links"], x["component_id"]) for x in rotation_codes.near_vectors(text).collect()), key=str) == [(7, 1, 7), (None, 1, 7)]
+
+
+def test_bits_grow_with_the_vectors_and_tables_keep_the_recall():
+    assert rotation_codes.tables_for(1000) == (rotation_codes.TABLES, 16) == (48, 16)
+    before = (0, 0)
+    for n in (10**7, 10**8, 10**9, 10**12):
+        tables, bits = rotation_codes.tables_for(n)
+        assert (tables, bits) > before and (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= rotation_codes.MISS
+        before = tables, bits
+    assert rotation_codes.tables_for(10**12)[1] <= 32
+    # as far as single precision loses nothing, vectors travel in it
+    v = np.array([0.1, 2.0])
+    assert len(rotation_codes._packed(v)) == 16 and len(rotation_codes._packed(v.astype(np.float32).astype(float))) == 8
