@@ -91,6 +91,18 @@ _ALGORITHMS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 _CAT_ROWS = """c AS (SELECT l_returnflag || (l_suppkey % 7) AS category, (l_linestatus = 'O')::INT AS y FROM lineitem),
 st AS (SELECT category, y, count(*) OVER w AS k, (sum(y) OVER w)::DOUBLE AS s, avg(y) OVER w AS m, coalesce(var_samp(y) OVER w, 0) AS v, avg(y) OVER () AS g, var_samp(y) OVER () AS gv FROM c WINDOW w AS (PARTITION BY category))"""
 
+def _greedy(rel: str, k: int, of: str, where: str = "true") -> str:
+    """mRMR step by step: relevance over the mean or greatest |correlation| with the features chosen before."""
+    steps = ["s1 AS (SELECT 1 AS rank, j, score FROM rel ORDER BY round(score, 9) DESC, j LIMIT 1)", "c1 AS (SELECT * FROM s1)"]
+    for n in range(2, k + 1):
+        red = f"SELECT rr.i AS j, {of}(rr.r) AS d FROM rr JOIN c{n - 1} c ON rr.j = c.j WHERE {where} GROUP BY rr.i"
+        steps.append(f"s{n} AS (SELECT {n} AS rank, rel.j, CASE WHEN d IS NULL THEN score WHEN d = 1 THEN 0 ELSE score / d END AS v FROM rel LEFT JOIN ({red}) q ON q.j = rel.j WHERE rel.j NOT IN (SELECT j FROM c{n - 1}) ORDER BY round(v, 9) DESC, rel.j LIMIT 1)")
+        steps.append(f"c{n} AS MATERIALIZED (SELECT * FROM c{n - 1} UNION ALL SELECT * FROM s{n})")
+    return f"""WITH {_EMB}, {_MEANS}, {_PAIRS_J}, {_COV}, {_CORR}, rel AS MATERIALIZED (SELECT * FROM ({rel}) WHERE score > 0),
+rr AS MATERIALIZED (SELECT i, j, greatest(0.001, abs(r)) AS r FROM r UNION ALL SELECT j, i, greatest(0.001, abs(r)) FROM r), {", ".join(steps)}
+SELECT rank::INT AS rank, j, round(score, 6) AS score FROM c{k}"""
+
+
 ORACLES: dict[str, str] = {
     "fs_low_variance_topk": _top(_VAR),
     "fs_low_variance_floor": f"WITH {_EMB}, s AS ({_VAR}), c AS (SELECT count(*) FILTER (score > 0.1 * (1 - 0.1)) AS a, count(*) FILTER (score > 0.01) AS b, count(*) AS n FROM s) SELECT (CASE WHEN a > 0 THEN 0.1::DOUBLE * (1 - 0.1::DOUBLE) WHEN b > 0 THEN 0.01::DOUBLE ELSE 0 END)::DOUBLE AS floor, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE n END AS n_pass FROM c",
@@ -228,4 +240,6 @@ ks, hypers, dks AS dataset_ks, das AS dataset_algorithms FROM m JOIN ga USING (r
     "directory_listing": "SELECT * FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(dataset)",
     "training_size": "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), s AS (SELECT i, round(0.5 - i * 0.01, 2) AS share FROM range(50) t(i)), t AS (SELECT i, share, sum(round_even(n * share, 0))::BIGINT AS a, sum(n)::BIGINT AS n FROM c CROSS JOIN s GROUP BY ALL), b AS (SELECT * FROM t WHERE least(a, n - a) >= 50 AND least(share, 1 - share) >= 0.3 ORDER BY i LIMIT 1) SELECT share::DOUBLE AS share, a AS n_train, n - a AS n_test FROM b",
     "hyperparameter_sheets": """SELECT algorithm, setting_no::INT AS setting_no, comment, n_params::INT AS n_params FROM (VALUES ('Skewness', 1, 'skew_threshold=1', 1), ('CFS', 1, 't=5', 1), ('MCFS', 1, 'metric=euclidean; neighbor_mode=knn; weight_mode=heat_kernel', 3), ('RFS', 1, 'gamma=0.01; max_iter=1000', 2), ('ReliefF', 1, 'n_neighbors=10', 1), ('GRAPH', 1, 'lambda1=0.8; lambda2=0.8; rho=0.1; max_iter=300', 4), ('low_variance', 1, 'p=0.1', 1), ('LS', 1, 'metric=euclidean; neighbor_mode=knn; weight_mode=heat_kernel', 3), ('SVM_RBF', 1, 'C=1; gamma=scale', 2), ('CEI_GA', 1, 'pre_keep=50; ga_beta=2; ga_pop=20; ga_gen=50; cv_splits=5', 5), ('SVM_Forward', 1, 'C=1', 1), ('SHAP', 1, 'n_estimators=100; learning_rate=0.1; max_depth=3', 3), ('SVM_Backward', 1, 'C=0.1; penalty=l1; tol=0.05', 3), ('DecisionTree_Backward', 1, 'max_depth=4; min_samples_split=10; min_samples_leaf=5; max_leaf_nodes=15', 4), ('DecisionTree_Forward', 1, 'max_depth=4; min_samples_split=10; min_samples_leaf=5; max_leaf_nodes=15', 4), ('AdaBoost', 1, 'n_estimators=100; learning_rate=5; max_depth=5', 3), ('ETree', 1, 'n_estimators=200; max_depth=3', 2), ('CT', 1, 't=1', 1), ('CAE', 1, 'num_epochs=800; batch_size=16', 2), ('DLFS', 1, 'data_batch_size=16; mask_batch_size=16; s=5; s_p=2; phase_2_start=600; max_batches=1500; early_stopping_patience=60', 7), ('UFS', 1, 'epochs_number=200; batch_size_value=16; loss_weight_1=0.0078125; p_learning_rate=0.001', 4), ('SVC', 1, 'C=1; penalty=l2', 2), ('Univariate', 1, 'score_func=chi2', 1), ('alpha_investing', 1, 'w0=10; dw=0.01', 2), ('mRMR', 1, 'relevance=f; denominator=mean', 2), ('GRACES', 1, 'epochs=5; learning_rate=0.001; q=2; n_dropouts=10; dropout_prob=0.5; batch_size=16; alpha=0.95; sigma=0.1; f_correct=0', 9), ('DT', 1, 'No_hyperparamters', 0), ('LeadingEV', 1, 'No_hyperparamters', 0)) t(algorithm, setting_no, comment, n_params)""",
+    "mrmr_ks_max": _greedy(_KS, 10, "max"),
+    "mrmr_same_domain": _greedy(_F.format(y="label", t="x"), 10, "avg", "rr.i % 4 = rr.j % 4"),
 }
