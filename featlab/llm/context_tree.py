@@ -37,7 +37,7 @@ BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 32_000_000, 4_500_000, 64, 1 << 25
 MOST_SHARDS = 1 << 16
 END = b"\n"
 #: Positions whose grams are sorted, or looked up, at a time.
-_SORTED, _LOOKED_UP = 1 << 23, 1 << 20
+_SORTED, _LOOKED_UP = 1 << 22, 1 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -70,9 +70,24 @@ class Block:
     def slices(self, size: int) -> Iterator[tuple[int, int]]:
         return ((k, min(k + size, self.size)) for k in range(0, self.size, size))
 
-    def counted(self, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(self) -> np.ndarray:
+        """All distinct grams, ascending."""
+        return np.unique(np.concatenate([np.unique(self.grams(lo, hi)) for lo, hi in self.slices(_SORTED)]))
+
+    def sums(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each stream the sum of its grams' values; grams: all distinct ones, ascending."""
+        places, out, at = Places(grams), np.zeros(len(self.sizes)), 0
+        for lo, hi in self.slices(_LOOKED_UP):
+            own = values[places.of(self.grams(lo, hi))]
+            if len(own):
+                a, b = np.searchsorted(self.starts, at, "right") - 1, np.searchsorted(self.starts, at + len(own), "left")
+                out[a:b] += np.add.reduceat(own, np.maximum(self.starts[a:b] - at, 0))
+                at += len(own)
+        return out
+
+    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All distinct grams, and how often each occurs in the streams marked in train."""
-        marked = np.repeat(np.zeros(len(self.sizes), bool) if train is None else train, self.sizes)
+        marked = np.repeat(train, self.sizes)
         some, at = [], 0
         for lo, hi in self.slices(_SORTED):
             g = self.grams(lo, hi)
@@ -104,7 +119,7 @@ class Places:
     """Positions of numbers in an ascending array, by a table of hashes that the array itself checks."""
 
     def __init__(self, sorted_: np.ndarray):
-        self.all, self.shift = sorted_, np.uint64(61 - max(1, len(sorted_)).bit_length())
+        self.all, self.shift = sorted_, np.uint64(62 - max(1, len(sorted_)).bit_length())
         self.table = np.zeros(1 << int(64 - self.shift), np.int32)
         self.table[self._hash(sorted_)] = np.arange(len(sorted_), dtype=np.int32)
 
@@ -389,6 +404,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         text = zstandard.ZstdDecompressor().decompress(stored["data"])
         ends = np.cumsum(sizes).tolist()
         own = Block([text[b - int(n) : b] for b, n in zip(ends, sizes, strict=True)], depth)
+        del text
 
         def value(kind: int, keys: np.ndarray, shard: np.ndarray, read) -> np.ndarray:
             order, out = np.argsort(shard, kind="stable"), np.zeros(len(keys))
@@ -401,12 +417,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         words, flat, first = own.numbered()
         key, at = np.unique(word_keys(words), return_inverse=True)
         c = value(1, key, word_shard(key, shards), lambda d: restored(d, "<i8"))[at]
-        base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat]
-        gram, _ = own.counted()
-        logp, places = value(2, gram, shard_of(gram, shards), lambda d: restored(d, "<f4")), Places(gram)
-        each = np.concatenate([logp[places.of(own.grams(lo, hi))].astype(np.float32) for lo, hi in own.slices(_LOOKED_UP)])
-        sums = np.add.reduceat(each, own.starts, dtype=np.float64)
-        frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": np.diff(np.append(first, len(flat))), "n_known": np.add.reduceat((c > 0)[flat].astype(np.int64), first), "train_tokens": total, "base_score": np.add.reduceat(base, first), "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
+        base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat], first)
+        known, n_tokens = np.add.reduceat((c > 0)[flat].astype(np.int64), first), np.diff(np.append(first, len(flat)))
+        del words, flat, key, at, c
+        gram = own.distinct()
+        sums = own.sums(gram, value(2, gram, shard_of(gram, shards), lambda d: restored(d, "<f4")))
+        frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": n_tokens, "n_known": known, "train_tokens": total, "base_score": base, "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]
         return frame
 
