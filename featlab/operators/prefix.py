@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Buckets of a group at most.
-BUCKETS = 256
+BUCKETS = 64
 
 
 def below(points: DataFrame, by: list[str], x: str, sums: list[str]) -> DataFrame:

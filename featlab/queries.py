@@ -702,7 +702,12 @@ def fs_etree(spark, d):
 
 @query
 def cv_pipeline(spark, d):
-    return pipeline.cross_validate(_emb(spark, d), "embeddings", "low_variance", "driver", [5, 10], EVALUATORS)
+    return pipeline.cross_validate(_emb(spark, d), "embeddings", "low_variance", "driver", [5, 10], ["LR", "KNN", "LDA", "ETREE"])
+
+
+@query
+def cv_pipeline_svm_rf(spark, d):
+    return pipeline.cross_validate(_emb(spark, d), "embeddings", "low_variance", "driver", [5], ["SVM", "RF"])
 
 
 @query
