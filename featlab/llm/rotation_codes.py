@@ -112,7 +112,10 @@ def _packed(v: np.ndarray) -> bytes:
 
 
 def _unpacked(data: list[bytes], dim: int) -> np.ndarray:
-    return np.array([np.frombuffer(d, "<f4" if len(d) == 4 * dim else "<f8") for d in data], np.float64).reshape(len(data), dim)
+    kind = {4 * dim: "<f4", 8 * dim: "<f8"}
+    if len({*map(len, data)}) == 1:
+        return np.frombuffer(b"".join(data), kind[len(data[0])]).astype(np.float64).reshape(len(data), dim)
+    return np.array([np.frombuffer(d, kind[len(d)]) for d in data], np.float64)
 
 
 def _width(bits: int) -> int:
