@@ -37,7 +37,7 @@ BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 32_000_000, 4_500_000, 64, 1 << 25
 MOST_SHARDS = 1 << 16
 END = b"\n"
 #: Positions whose grams are sorted, or looked up, at a time.
-_SORTED, _LOOKED_UP = 1 << 22, 1 << 20
+_SORTED, _LOOKED_UP = 1 << 21, 1 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -49,6 +49,21 @@ def stream(text: str) -> bytes:
     return b" ".join([*text.encode("utf-8", "surrogatepass").translate(LOWER).split(), END])
 
 
+def _sorted_once(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers, ascending, by a sort: numpy's unique hashes them, which takes far longer here. x is changed."""
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _added(a: np.ndarray, c: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists with counts as one."""
+    both = np.concatenate((a, b))
+    order = np.argsort(both, kind="stable")  # two runs, so it is a merge
+    both = both[order]
+    first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
+    return both[first], np.add.reduceat(np.concatenate((c, d))[order], first)
+
+
 class Block:
     """Some texts' streams, each after as many end bytes as a context has."""
 
@@ -72,7 +87,10 @@ class Block:
 
     def distinct(self) -> np.ndarray:
         """All distinct grams, ascending."""
-        return np.unique(np.concatenate([np.unique(self.grams(lo, hi)) for lo, hi in self.slices(_SORTED)]))
+        out = np.zeros(0, np.int64)
+        for lo, hi in self.slices(_SORTED):
+            out = _sorted_once(np.concatenate((out, self.grams(lo, hi))))
+        return out
 
     def sums(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
         """For each stream the sum of its grams' values; grams: all distinct ones, ascending."""
@@ -87,18 +105,18 @@ class Block:
 
     def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All distinct grams, and how often each occurs in the streams marked in train."""
-        marked = np.repeat(train, self.sizes)
-        some, at = [], 0
+        marked, some, at = np.repeat(train, self.sizes), [], 0
         for lo, hi in self.slices(_SORTED):
             g = self.grams(lo, hi)
-            key, c = np.unique(g << 1 | marked[at : at + len(g)], return_counts=True)
+            g <<= 1
+            g |= marked[at : at + len(g)]
             at += len(g)
-            some.append((key, c))
-        if len(some) == 1:
-            key, c = some[0]
-        else:
-            key, where = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
-            c = np.bincount(where, np.concatenate([c for _, c in some]), len(key)).astype(np.int64)
+            some.append(np.unique(g, return_counts=True))
+            while len(some) > 1 and len(some[-2][0]) < 2 * len(some[-1][0]):  # few long lists, not one for each slice
+                some[-2:] = [_added(*some[-2], *some[-1])]
+        while len(some) > 1:
+            some[-2:] = [_added(*some[-2], *some[-1])]
+        key, c = some[0]
         gram = key >> 1
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
         return gram[first], np.add.reduceat(c * (key & 1), first)
@@ -344,12 +362,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars:
         marked = np.repeat(train, np.diff(np.append(first, len(flat))))
         key, at = np.unique(word_keys(words), return_inverse=True)
         count = np.bincount(at[flat[marked]], minlength=len(key))
-        gram, c = own.counted(train)
-        for kind, keys, counts, shard in ((1, key, count, word_shard(key, shards)), (2, gram, c, shard_of(gram, shards))):
+
+        def questions(kind: int, keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pd.DataFrame:
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
             some = [(k, order[a:b]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
-            yield pd.DataFrame([(block, kind, k, packed(keys[m], counts[m]), None) for k, m in some], columns=names)
+            return pd.DataFrame([(block, kind, k, packed(keys[m], counts[m]), None) for k, m in some], columns=names)
+
+        yield questions(1, key, count, word_shard(key, shards))
+        del text, words, flat, first, marked, key, at, count
+        gram, c = own.counted(train)
+        yield questions(2, gram, c, shard_of(gram, shards))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
