@@ -37,7 +37,7 @@ BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 32_000_000, 4_500_000, 64, 1 << 25
 MOST_SHARDS = 1 << 16
 END = b"\n"
 #: Positions whose grams are sorted, or looked up, at a time.
-_SORTED, _LOOKED_UP = 1 << 21, 1 << 20
+_SORTED, _LOOKED_UP = 1 << 20, 1 << 20
 
 
 def held_out(doc_id) -> bool:
@@ -371,6 +371,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars:
 
         yield questions(1, key, count, word_shard(key, shards))
         del text, words, flat, first, marked, key, at, count
+        rows.clear()  # grams need the bytes only once
+        own.streams = []
         gram, c = own.counted(train)
         yield questions(2, gram, c, shard_of(gram, shards))
 
@@ -443,6 +445,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat], first)
         known, n_tokens = np.add.reduceat((c > 0)[flat].astype(np.int64), first), np.diff(np.append(first, len(flat)))
         del words, flat, key, at, c
+        own.streams = []
         gram = own.distinct()
         sums = own.sums(gram, value(2, gram, shard_of(gram, shards), lambda d: restored(d, "<f4")))
         frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": n_tokens, "n_known": known, "train_tokens": total, "base_score": base, "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
