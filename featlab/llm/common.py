@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,12 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def framed(rows: list, names: list[str], whole: tuple[str, ...]) -> pd.DataFrame:
+    """rows as a pandas frame; the columns in whole are long, may hold nulls, and never pass through floats."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pd.DataFrame({c: pd.array(list(v), dtype="Int64") if c in whole else pd.Series(v, dtype=object) for c, v in zip(names, columns, strict=True)})
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
