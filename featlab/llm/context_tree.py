@@ -36,8 +36,8 @@ BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 32_000_000, 4_500_000, 64, 1 << 25
 #: All grams of a two-byte context are in one shard, so more shards than that are of no use.
 MOST_SHARDS = 1 << 16
 END = b"\n"
-#: Positions whose grams are sorted, or looked up, at a time.
-_SORTED, _LOOKED_UP = 1 << 20, 1 << 20
+#: Positions of a range of shards, about; positions looked at at a time; the range of those that hold no gram.
+RANGE, SLICE, NO_RANGE = 1 << 22, 1 << 20, 0xFFFF
 
 
 def held_out(doc_id) -> bool:
@@ -49,10 +49,11 @@ def stream(text: str) -> bytes:
     return b" ".join([*text.encode("utf-8", "surrogatepass").translate(LOWER).split(), END])
 
 
-def _sorted_once(x: np.ndarray) -> np.ndarray:
-    """The distinct numbers, ascending, by a sort: numpy's unique hashes them, which takes far longer here. x is changed."""
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and how often each occurs. By a sort: numpy's unique hashes them, which takes far longer here. x is changed."""
     x.sort()
-    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
 
 
 def _added(a: np.ndarray, c: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,61 +66,92 @@ def _added(a: np.ndarray, c: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[
 
 
 class Block:
-    """Some texts' streams, each after as many end bytes as a context has."""
+    """Some texts' streams, each after as many end bytes as a context has.
 
-    def __init__(self, streams: list[bytes], depth: int):
-        self.depth, self.streams = depth, streams
+    Grams are walked range by range: a range is some consecutive shards that hold about RANGE of the block's
+    positions, so that no list of all distinct grams is ever held, only one range's.
+    """
+
+    def __init__(self, streams: list[bytes], depth: int, shards: int, size: int | None = None):
+        self.depth, self.streams, self.shards = depth, streams, shards
         self.flat = np.frombuffer(END * 8 + b"".join([END * depth + s for s in streams]), np.uint8)
         self.sizes = np.array([len(s) for s in streams], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
         self.size = len(self.flat) - 8
-        self.real = np.ones(self.size, bool)
-        self.real[(self.starts + depth * np.arange(len(streams)))[:, None] + np.arange(depth)] = False
+        self.firsts = np.cumsum(self.sizes + depth) - self.sizes  # of each stream's bytes
         # number i ends with byte i, the bytes before it are above it
         self.windows = np.ndarray(self.size, ">u8", self.flat, 1, (1,))
-
-    def grams(self, lo: int, hi: int) -> np.ndarray:
-        """Of the streams' bytes among those at lo to hi: the byte lowest and the context above it, its last byte lowest."""
-        return (self.windows[lo:hi][self.real[lo:hi]].astype("<u8") & np.uint64((1 << 8 * (self.depth + 1)) - 1)).astype(np.int64)
-
-    def slices(self, size: int) -> Iterator[tuple[int, int]]:
+        self._deal(size or RANGE)
+
+    def _deal(self, size: int) -> None:
+        """ranges: (first shard, one after the last); of: each position's range, NO_RANGE for bytes that aren't predicted."""
+        shard = shard_of(np.arange(1 << 16, dtype=np.int64) << 8, self.shards)
+        count = np.zeros(1 << 16, np.int64)
+        for lo, hi in self.slices():
+            count += np.bincount(self._context(lo, hi), minlength=1 << 16)
+        upto = np.append(0, np.cumsum(np.bincount(shard, count, self.shards)))
+        edges = [0]
+        while edges[-1] < self.shards:
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(upto, upto[edges[-1]] + size, "right")) - 1))
+        edges[-1] = self.shards
+        self.ranges = list(zip(edges[:-1], edges[1:], strict=True))
+        table = (np.searchsorted(edges, shard, "right") - 1).astype(np.uint16)
+        self.of = np.empty(self.size, np.uint16)
+        for lo, hi in self.slices():
+            self.of[lo:hi] = table[self._context(lo, hi)]
+        self.of[(self.firsts - self.depth)[:, None] + np.arange(self.depth)] = NO_RANGE
+
+    def _context(self, lo: int, hi: int) -> np.ndarray:
+        """The last two context bytes at each position."""
+        return ((self.windows[lo:hi] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+
+    def slices(self, size: int | None = None) -> Iterator[tuple[int, int]]:
+        size = size or SLICE
         return ((k, min(k + size, self.size)) for k in range(0, self.size, size))
 
-    def distinct(self) -> np.ndarray:
-        """All distinct grams, ascending."""
-        out = np.zeros(0, np.int64)
-        for lo, hi in self.slices(_SORTED):
-            out = _sorted_once(np.concatenate((out, self.grams(lo, hi))))
-        return out
+    def grams(self, r: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions from lo to hi in a range, and their grams: the byte lowest and the context above it, its last byte lowest."""
+        at = np.flatnonzero(self.of[lo:hi] == r) + lo
+        return at, (self.windows[at].astype("<u8") & np.uint64((1 << 8 * (self.depth + 1)) - 1)).astype(np.int64)
 
-    def sums(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """For each stream the sum of its grams' values; grams: all distinct ones, ascending."""
-        places, out, at = Places(grams), np.zeros(len(self.sizes)), 0
-        for lo, hi in self.slices(_LOOKED_UP):
-            own = values[places.of(self.grams(lo, hi))]
-            if len(own):
-                a, b = np.searchsorted(self.starts, at, "right") - 1, np.searchsorted(self.starts, at + len(own), "left")
-                out[a:b] += np.add.reduceat(own, np.maximum(self.starts[a:b] - at, 0))
-                at += len(own)
-        return out
+    def counted(self, r: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """A range's distinct grams, and how often each occurs at the positions marked (None: at all)."""
+        some, held, n = [], [], 0
 
-    def counted(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All distinct grams, and how often each occurs in the streams marked in train."""
-        marked, some, at = np.repeat(train, self.sizes), [], 0
-        for lo, hi in self.slices(_SORTED):
-            g = self.grams(lo, hi)
-            g <<= 1
-            g |= marked[at : at + len(g)]
-            at += len(g)
-            some.append(np.unique(g, return_counts=True))
+        def add() -> None:
+            some.append(_distinct(np.concatenate(held)))
+            held.clear()
             while len(some) > 1 and len(some[-2][0]) < 2 * len(some[-1][0]):  # few long lists, not one for each slice
                 some[-2:] = [_added(*some[-2], *some[-1])]
+
+        for lo, hi in self.slices():
+            at, g = self.grams(r, lo, hi)
+            held.append(g << 1 | (1 if marked is None else marked[at]))
+            n += len(g)
+            if n >= RANGE:
+                add()
+                n = 0
+        add()
         while len(some) > 1:
             some[-2:] = [_added(*some[-2], *some[-1])]
         key, c = some[0]
         gram = key >> 1
-        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        return gram[first], np.add.reduceat(c * (key & 1), first)
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+        return gram[first], np.add.reduceat(c * (key & 1), first) if len(gram) else c
+
+    def marked(self, train: np.ndarray) -> np.ndarray:
+        """Of each position, whether its stream is in train."""
+        return np.repeat(train, self.sizes + self.depth)
+
+    def add_sums(self, out: np.ndarray, r: int, grams: np.ndarray, values: np.ndarray) -> None:
+        """Adds to each stream's number in out the values of its grams in a range; grams: all distinct ones there, ascending."""
+        places = Places(grams)
+        for lo, hi in self.slices():
+            at, g = self.grams(r, lo, hi)
+            if len(at):
+                total = np.append(0.0, np.cumsum(values[places.of(g)]))
+                a, b = np.searchsorted(self.firsts, lo, "right") - 1, np.searchsorted(self.firsts, hi, "left")
+                edge = np.searchsorted(at, np.append(self.firsts[max(a, 0) : b], hi))
+                out[max(a, 0) : b] += np.diff(total[edge])
 
     def numbered(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct words, the number of the word of each token, and the first token of each stream."""
@@ -187,6 +219,7 @@ def restored(data: bytes, kind: str) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
+
 def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     """By the last two context bytes."""
     return ((((gram >> 8) & 0xFFFF) * 40503) & 0xFFFF) * shards >> 16
@@ -210,15 +243,15 @@ HALF = np.log(0.5)
 
 
 class Subtree:
-    """All nodes at depths `top` to depth of the contexts of some grams; all grams with the same last `top` context bytes are here."""
-
-    def __init__(self, gram: np.ndarray, c: np.ndarray, depth: int, top: int):
-        self.n, byte = len(gram), gram & 255
-        keys = np.concatenate([(gram >> 8 << 8) | (1 << k) | (byte >> (8 - k)) for k in range(8)])
-        self.bit = np.concatenate([(byte >> (7 - k)) & 1 for k in range(8)])
-        weight = np.tile(c.astype(np.float64), 8)
-        node, self.at = np.unique(keys, return_inverse=True)
-        zeros, ones = (np.bincount(self.at, weight * (self.bit == b), len(node)) for b in (0, 1))
+    """All nodes of one of a byte's eight choices, at depths `top` to depth of the contexts of some grams; all grams with the same last `top` context bytes are here."""
+
+    def __init__(self, gram: np.ndarray, c: np.ndarray, k: int, depth: int, top: int):
+        byte = gram & 255
+        self.bit = (byte >> (7 - k)) & 1
+        key = (gram >> 8 << 8) | (1 << k) | (byte >> (8 - k))  # ascending, as the grams are
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        node, self.at = key[new], np.cumsum(new) - 1
+        zeros, ones = (np.bincount(self.at, c * (self.bit == b), len(node)) for b in (0, 1))
         kt = _log_kt(zeros, ones)
         self.levels = [(node, zeros, ones, kt, kt, None)]
         for d in range(depth - 1, top - 1, -1):
@@ -229,7 +262,7 @@ class Subtree:
             self.levels.append((parent, z, o, kt, HALF + np.logaddexp(kt, children), up))
 
     def mixed(self) -> np.ndarray:
-        """The probability of each of the 8 n choices, mixed over the depths here."""
+        """The probability of each gram's choice, mixed over the depths here."""
         at, p = self.at, None
         for _, zeros, ones, kt, weighted, up in self.levels:
             at = at if up is None else up[at]
@@ -259,14 +292,17 @@ class Crown:
         z, o, w = (x.reshape(256, 256).sum(0) for x in (z, o, own))
         self.one0, self.stop0, _ = level(z, o, w)
 
-    def mixed(self, gram: np.ndarray, tree: Subtree) -> np.ndarray:
-        """log10 of the probability of each gram's byte in its context."""
-        p, byte = tree.mixed(), gram & 255
-        node = np.concatenate([(1 << k) | (byte >> (8 - k)) for k in range(8)])
-        at = np.tile(((gram >> 8) & 255) << 8, 8) | node
-        for one, stop, k in ((self.one1, self.stop1, at), (self.one0, self.stop0, node)):
-            p = stop[k] * np.where(tree.bit, one[k], 1 - one[k]) + (1 - stop[k]) * p
-        return np.log10(p).reshape(8, -1).sum(0)
+    def mixed(self, gram: np.ndarray, c: np.ndarray, depth: int, top: int) -> np.ndarray:
+        """log10 of the probability of each gram's byte in its context; one of the byte's choices at a time."""
+        out = np.zeros(len(gram))
+        for k in range(8):
+            tree = Subtree(gram, c, k, depth, top)
+            p, node = tree.mixed(), (1 << k) | ((gram & 255) >> (8 - k))
+            at = (((gram >> 8) & 255) << 8) | node
+            for one, stop, j in ((self.one1, self.stop1, at), (self.one0, self.stop0, node)):
+                p = stop[j] * np.where(tree.bit, one[j], 1 - one[j]) + (1 - stop[j]) * p
+            out += np.log10(p)
+        return out
 
 
 def _summed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +333,10 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for data in rows["data"]:
-                node, zeros, ones, _, weighted, _ = Subtree(*unpacked(data, "i"), depth, 2).levels[-1]
-                yield pd.DataFrame({"key": (((node >> 8) & 255) << 8) | (node & 255), "zeros": zeros, "ones": ones, "weighted": weighted})
+                gram, c = unpacked(data, "i")
+                for k in range(8):
+                    node, zeros, ones, _, weighted, _ = Subtree(gram, c, k, depth, 2).levels[-1]
+                    yield pd.DataFrame({"key": (((node >> 8) & 255) << 8) | (node & 255), "zeros": zeros, "ones": ones, "weighted": weighted})
 
     counts = counts.repartition(parts(counts.sparkSession), "shard")  # small rows, long work: not to be coalesced
     two = counts.select("data").mapInPandas(up, "key long, zeros double, ones double, weighted double")
@@ -309,7 +347,7 @@ def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         for rows in batches:
             for shard, data in zip(rows["shard"], rows["data"], strict=True):
                 gram, c = unpacked(data, "i")
-                yield pd.DataFrame({"shard": [shard], "data": [packed(gram, crown.mixed(gram, Subtree(gram, c, depth, 2)))]})
+                yield pd.DataFrame({"shard": [shard], "data": [packed(gram, crown.mixed(gram, c, depth, 2))]})
 
     return counts.mapInPandas(down, "shard int, data binary")
 
@@ -354,7 +392,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars:
     def frames(block: int, rows: list[tuple[int | None, bytes, int]]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        own = Block([s for _, s, _ in rows], depth)
+        own = Block([s for _, s, _ in rows], depth, shards)
         train = np.array([not held_out(i) for i, _, _ in rows])
         text = zstandard.ZstdCompressor(level=3).compress(b"".join(own.streams))
         yield pd.DataFrame([(block, 0, -1, text, pickle.dumps(([i for i, *_ in rows], own.sizes, [n for *_, n in rows])))], columns=names)
@@ -373,8 +411,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars:
         del text, words, flat, first, marked, key, at, count
         rows.clear()  # grams need the bytes only once
         own.streams = []
-        gram, c = own.counted(train)
-        yield questions(2, gram, c, shard_of(gram, shards))
+        marked = own.marked(train)
+        for r in range(len(own.ranges)):
+            gram, c = own.counted(r, marked)
+            if len(gram):
+                yield questions(2, gram, c, shard_of(gram, shards))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -428,26 +469,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         ids, sizes, text_bytes = pickle.loads(stored["more"])
         text = zstandard.ZstdDecompressor().decompress(stored["data"])
         ends = np.cumsum(sizes).tolist()
-        own = Block([text[b - int(n) : b] for b, n in zip(ends, sizes, strict=True)], depth)
+        own = Block([text[b - int(n) : b] for b, n in zip(ends, sizes, strict=True)], depth, shards)
         del text
 
-        def value(kind: int, keys: np.ndarray, shard: np.ndarray, read) -> np.ndarray:
+        given_by = {kind: dict(zip(part["shard"], part["data"], strict=True)) for kind, part in right.groupby("kind")}
+
+        def value(kind: int, keys: np.ndarray, shard: np.ndarray, of: tuple[int, int], read) -> np.ndarray:
             order, out = np.argsort(shard, kind="stable"), np.zeros(len(keys))
-            edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            part = right[right["kind"] == kind]
-            for k, data in zip(part["shard"], part["data"], strict=True):
-                out[order[edge[k] : edge[k + 1]]] = read(data)
+            edge = np.searchsorted(shard[order], np.arange(of[0], of[1] + 1))
+            for k in range(*of):
+                if edge[k - of[0]] < edge[k - of[0] + 1]:
+                    out[order[edge[k - of[0]] : edge[k - of[0] + 1]]] = read(given_by[kind][k])
             return out
 
         words, flat, first = own.numbered()
         key, at = np.unique(word_keys(words), return_inverse=True)
-        c = value(1, key, word_shard(key, shards), lambda d: restored(d, "<i8"))[at]
+        c = value(1, key, word_shard(key, shards), (0, shards), lambda d: restored(d, "<i8"))[at]
         base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat], first)
         known, n_tokens = np.add.reduceat((c > 0)[flat].astype(np.int64), first), np.diff(np.append(first, len(flat)))
         del words, flat, key, at, c
         own.streams = []
-        gram = own.distinct()
-        sums = own.sums(gram, value(2, gram, shard_of(gram, shards), lambda d: restored(d, "<f4")))
+        sums = np.zeros(len(sizes))
+        for r, of in enumerate(own.ranges):
+            gram, _ = own.counted(r)
+            own.add_sums(sums, r, gram, value(2, gram, shard_of(gram, shards), of, lambda d: restored(d, "<f4")))
         frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": n_tokens, "n_known": known, "train_tokens": total, "base_score": base, "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]
         return frame

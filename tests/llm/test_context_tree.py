@@ -81,10 +81,10 @@ def test_probabilities_of_a_byte_sum_to_one():
     gram, c = np.unique(gram, return_counts=True)
     one = (gram[0] >> 8 << 8) | np.arange(256)
     every, at = np.unique(np.concatenate((gram, one)), return_inverse=True)
-    tree = C.Subtree(every, np.bincount(at[: len(gram)], c, len(every)), C.DEPTH, 2)
-    node, z, o, _, w, _ = tree.levels[-1]
+    counts = np.bincount(at[: len(gram)], c, len(every))
+    node, z, o, w = (np.concatenate(x) for x in zip(*[[t.levels[-1][j] for j in (0, 1, 2, 4)] for t in (C.Subtree(every, counts, k, C.DEPTH, 2) for k in range(8))], strict=True))
     crown = C.Crown((((node >> 8) & 255) << 8) | (node & 255), z, o, w)
-    p = 10 ** crown.mixed(every, tree)
+    p = 10 ** crown.mixed(every, counts, C.DEPTH, 2)
     assert p[np.searchsorted(every, one)].sum() == pytest.approx(1)
 
 
@@ -98,28 +98,46 @@ def test_merging_takes_several_rounds(spark, monkeypatch):
     assert many == pytest.approx(one, rel=1e-6) and few == pytest.approx(one, rel=1e-6)
 
 
+def all_grams(block):
+    """The gram of each predicted byte, in order."""
+    at, g = (np.concatenate(x) for x in zip(*[block.grams(r, 0, block.size) for r in range(len(block.ranges))], strict=True))
+    return g[np.argsort(at)]
+
+
 def test_contexts_reach_across_words():
     text = "one two"
-    own = C.Block([C.stream(text), C.stream("x")], 6)
     data = b"\n" * 6 + b"one two \n"
     want = [sum(data[at - k] << (8 * k) for k in range(7)) for at in range(6, len(data))]
-    assert own.grams(0, own.size).tolist()[: len(want)] == want and len(own.grams(0, own.size)) == own.sizes.sum()
-    assert [g for a, b in own.slices(5) for g in own.grams(a, b).tolist()] == own.grams(0, own.size).tolist()
+    for size in (1, 3, None):
+        own = C.Block([C.stream(text), C.stream("x")], 6, 5, size)
+        got = all_grams(own)
+        assert got.tolist()[: len(want)] == want and len(got) == own.sizes.sum()
 
 
-def test_counts_are_of_marked_streams(monkeypatch):
+@pytest.mark.parametrize(("size", "slice_"), [(None, None), (40, 17), (1, 5)])
+def test_counts_and_sums_go_range_by_range(monkeypatch, size, slice_):
     r = np.random.default_rng(3)
-    streams = [C.stream(" ".join(r.choice(["a", "bc", "def"], 30))) for _ in range(20)]
-    train = r.random(20) < 0.5
-    own = C.Block(streams, 3)
-    all_, c = own.counted(train)
-    want, of = Counter(), own.grams(0, own.size)
-    for start, size, marked in zip(own.starts, own.sizes, train, strict=True):
-        want.update(of[start : start + size].tolist() if marked else [])
-    assert all_.tolist() == sorted(set(of.tolist())) and dict(zip(all_.tolist(), c.tolist(), strict=True)) == {g: want[g] for g in all_.tolist()}
-    monkeypatch.setattr(C, "_SORTED", 17)
-    again = own.counted(train)
-    assert (again[0] == all_).all() and (again[1] == c).all()
+    streams = [C.stream(" ".join(r.choice(["a", "bc", "def"], n))) for n in [30] * 10 + [0, 1, 200] + [5] * 10]
+    train = r.random(len(streams)) < 0.5
+    if slice_:
+        monkeypatch.setattr(C, "SLICE", slice_)
+        monkeypatch.setattr(C, "RANGE", 11)
+    own = C.Block(streams, 3, 7, size)
+    assert own.ranges[0][0] == 0 and own.ranges[-1][1] == 7 and all(a[1] == b[0] for a, b in zip(own.ranges, own.ranges[1:], strict=False)) and (size is None or len(own.ranges) > 1)
+    of, edge = all_grams(own), np.cumsum([0, *own.sizes])
+    want, sums = Counter(), np.zeros(len(streams))
+    for a, b, marked in zip(edge, edge[1:], train, strict=False):
+        want.update(of[a:b].tolist() if marked else [])
+    got = {}
+    for k, shards in enumerate(own.ranges):
+        gram, c = own.counted(k, own.marked(train))
+        assert (np.diff(gram) > 0).all() and ((C.shard_of(gram, 7) >= shards[0]) & (C.shard_of(gram, 7) < shards[1])).all()
+        assert (own.counted(k)[0] == gram).all()
+        got |= dict(zip(gram.tolist(), c.tolist(), strict=True))
+        if len(gram):
+            own.add_sums(sums, k, gram, gram / 7.0)
+    assert got == {g: want[g] for g in set(of.tolist())}
+    assert sums == pytest.approx([of[a:b].sum() / 7.0 for a, b in zip(edge, edge[1:], strict=False)])
 
 
 def test_places_find_every_number():
