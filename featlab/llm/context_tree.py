@@ -7,12 +7,14 @@ context of 0 to DEPTH bytes, with a Krichevsky-Trofimov estimate. Weighted seque
 the deepest contexts up, half for a context's own estimate and half for its children's product; the
 weights that this gives each depth mix the estimates when a text is scored.
 
-One pass over the texts writes, for each block of texts, the texts themselves, packed, and by shard the
-block's distinct grams (context and byte) and words with their training counts. Counts are summed over
+One pass over the texts writes blocks of them, packed, and how often each block has its most frequent
+contexts; contexts that are hot in all blocks together are cut up, so that no shard has more than its share of
+the grams. Each block then asks, by shard, about its distinct grams (context and byte) and words, with their
+training counts. Counts are summed over
 blocks by merging packed shards, MERGE at a time, as often as it takes; the probabilities of a block's
 grams, and the counts of its words, go back to that block, in its own order. A token that every text
 holds is one entry a block. Nothing from the corpus is gathered on the driver or sent to all executors,
-save the nodes of depth 0 and 1, 65,536 at most. Words are told apart by 56 bits of their XXH3.
+save the nodes of depth 0 and 1, 65,536 at most, and those of hot contexts, of which there are 2 * HOT of a length at most. Words are told apart by 56 bits of their XXH3.
 """
 
 from __future__ import annotations
@@ -33,11 +35,13 @@ DEPTH = 6
 #: Characters of text in a block; characters for each shard of grams and words; packed rows merged at a time; bytes of
 #: packed questions that a task answers at least.
 BLOCK_CHARS, SHARD_CHARS, MERGE, TASK_BYTES = 32_000_000, 4_500_000, 64, 1 << 25
-#: All grams of a two-byte context are in one shard, so more shards than that are of no use.
-MOST_SHARDS = 1 << 16
+MOST_SHARDS = (1 << 16) - 1
+#: A context of at least two bytes at more than one in so many of all positions is cut into its extensions by a byte before it, which
+#: go to shards of their own.
+HOT = 512
 END = b"\n"
-#: Positions of a range of shards, about; positions looked at at a time; the range of those that hold no gram.
-RANGE, SLICE, NO_RANGE = 1 << 22, 1 << 20, 0xFFFF
+#: Positions of a range of shards, about; positions looked at at a time (they fit a processor's cache); the shard of those that hold no gram.
+RANGE, SLICE, NO_SHARD = 1 << 22, 1 << 16, 0xFFFF
 
 
 def held_out(doc_id) -> bool:
@@ -72,7 +76,7 @@ class Block:
     positions, so that no list of all distinct grams is ever held, only one range's.
     """
 
-    def __init__(self, streams: list[bytes], depth: int, shards: int, size: int | None = None):
+    def __init__(self, streams: list[bytes], depth: int, shards: Shards | None = None, size: int | None = None):
         self.depth, self.streams, self.shards = depth, streams, shards
         self.flat = np.frombuffer(END * 8 + b"".join([END * depth + s for s in streams]), np.uint8)
         self.sizes = np.array([len(s) for s in streams], np.int64)
@@ -80,38 +84,50 @@ class Block:
         self.firsts = np.cumsum(self.sizes + depth) - self.sizes  # of each stream's bytes
         # number i ends with byte i, the bytes before it are above it
         self.windows = np.ndarray(self.size, ">u8", self.flat, 1, (1,))
-        self._deal(size or RANGE)
+        if shards:
+            self._deal(size or RANGE)
 
     def _deal(self, size: int) -> None:
-        """ranges: (first shard, one after the last); of: each position's range, NO_RANGE for bytes that aren't predicted."""
-        shard = shard_of(np.arange(1 << 16, dtype=np.int64) << 8, self.shards)
-        count = np.zeros(1 << 16, np.int64)
+        """shard: each position's, NO_SHARD for bytes that aren't predicted; ranges: (first shard, one after the last)."""
+        self.shard = np.empty(self.size, np.uint16)
         for lo, hi in self.slices():
-            count += np.bincount(self._context(lo, hi), minlength=1 << 16)
-        upto = np.append(0, np.cumsum(np.bincount(shard, count, self.shards)))
+            self.shard[lo:hi] = self.shards.of(self._gram(lo, hi))
+        self.shard[(self.firsts - self.depth)[:, None] + np.arange(self.depth)] = NO_SHARD
+        upto = np.append(0, np.cumsum(sum(np.bincount(self.shard[lo:hi], minlength=NO_SHARD + 1) for lo, hi in self.slices(RANGE))[: self.shards.n]))
         edges = [0]
-        while edges[-1] < self.shards:
+        while edges[-1] < self.shards.n:
             edges.append(max(edges[-1] + 1, int(np.searchsorted(upto, upto[edges[-1]] + size, "right")) - 1))
-        edges[-1] = self.shards
         self.ranges = list(zip(edges[:-1], edges[1:], strict=True))
-        table = (np.searchsorted(edges, shard, "right") - 1).astype(np.uint16)
-        self.of = np.empty(self.size, np.uint16)
-        for lo, hi in self.slices():
-            self.of[lo:hi] = table[self._context(lo, hi)]
-        self.of[(self.firsts - self.depth)[:, None] + np.arange(self.depth)] = NO_RANGE
 
-    def _context(self, lo: int, hi: int) -> np.ndarray:
-        """The last two context bytes at each position."""
-        return ((self.windows[lo:hi] >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+    def _gram(self, at, to: int | None = None) -> np.ndarray:
+        """The byte lowest and the context above it, its last byte lowest."""
+        own = self.windows[at] if to is None else self.windows[at:to]
+        return (own.astype("<u8") & np.uint64((1 << 8 * (self.depth + 1)) - 1)).astype(np.int64)
+
+    def heavy(self, share: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(d, contexts, how often) of all contexts of 2 to depth - 1 bytes at more than that share of the positions."""
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for d in range(2, self.depth):
+            so_far = Shards(1, [c for _, c, _ in out])
+            count = np.zeros(len(so_far.contexts), np.int64)
+            for lo, hi in self.slices():
+                count += so_far.further(self._gram(lo, hi))
+            many = count > share * self.size
+            if not many.any():
+                break
+            out.append((d, so_far.contexts[many], count[many])) 
+        return out
 
     def slices(self, size: int | None = None) -> Iterator[tuple[int, int]]:
         size = size or SLICE
         return ((k, min(k + size, self.size)) for k in range(0, self.size, size))
 
     def grams(self, r: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions from lo to hi in a range, and their grams: the byte lowest and the context above it, its last byte lowest."""
-        at = np.flatnonzero(self.of[lo:hi] == r) + lo
-        return at, (self.windows[at].astype("<u8") & np.uint64((1 << 8 * (self.depth + 1)) - 1)).astype(np.int64)
+        """Positions from lo to hi in a range, and their grams."""
+        first, after = self.ranges[r]
+        own = self.shard[lo:hi] - np.uint16(first)  # those before it wrap around
+        at = np.flatnonzero(own < after - first) + lo
+        return at, self._gram(at)
 
     def counted(self, r: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """A range's distinct grams, and how often each occurs at the positions marked (None: at all)."""
@@ -220,9 +236,44 @@ def restored(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
-    """By the last two context bytes."""
-    return ((((gram >> 8) & 0xFFFF) * 40503) & 0xFFFF) * shards >> 16
+class Shards:
+    """Numbers from 0 to n - 1 for grams, by their context: all grams with the same last two context bytes are in one shard, or, where those
+    bytes are hot, all with the same last three, and so on. hot: contexts of two bytes, of three, ...; each without its first byte is hot, too."""
+
+    def __init__(self, n: int, hot: tuple | list = ()):
+        self.n, self.hot, self.tables = n, [np.sort(np.asarray(h, np.int64)) for h in hot if len(h)], []
+        contexts = np.arange(1 << 16, dtype=np.int64)
+        for d, own in enumerate([*self.hot, np.zeros(0, np.int64)], 2):
+            mixed = (contexts * 8 + d).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            at = np.searchsorted(own, contexts)
+            is_hot = own[np.minimum(at, len(own) - 1)] == contexts if len(own) else np.zeros(len(contexts), bool)
+            self.tables.append(np.where(is_hot, -1 - at, (mixed * np.uint64(n) >> np.uint64(32)).astype(np.int64)).astype(np.int32))  # below zero: the place among the hot
+            self.contexts, contexts = contexts, (own[:, None] | (np.arange(256, dtype=np.int64) << 8 * d)).ravel()
+
+    def _walk(self, gram: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes of context, grams, their places in the table of so many bytes, what it says), of all grams first, then of those hot so far."""
+        at, place = np.arange(len(gram)), (gram >> 8) & 0xFFFF
+        for d, table in enumerate(self.tables, 2):
+            found = table[place]
+            yield d, at, place, found
+            inside = np.flatnonzero(found < 0)
+            at = at[inside]
+            place = (-1 - found[inside]) * 256 + ((gram[at] >> 8 * (d + 1)) & 255)
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        out = np.empty(len(gram), np.int32)
+        for _, at, _, found in self._walk(gram):
+            out[at] = found
+        return out
+
+    def by_top(self, gram: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(d, grams): those that share their last d context bytes with all of their shard's that have the same last d - 1."""
+        return [(d, at[found >= 0]) for d, at, _, found in self._walk(gram) if (found >= 0).any()]
+
+    def further(self, gram: np.ndarray) -> np.ndarray:
+        """How many grams have each context of the last table: two bytes, or the longest hot ones and one byte before."""
+        *_, (_, _, place, _) = self._walk(gram)
+        return np.bincount(place, minlength=len(self.contexts))
 
 
 def word_shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -276,32 +327,50 @@ class Subtree:
 
 
 class Crown:
-    """Depths 1 and 0, dense by last byte and node: probability of a one, weight of stopping there."""
-
-    def __init__(self, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray):
-        def dense(x, n, at):
-            return np.bincount(at, x, n) if len(at) else np.zeros(n)
-
-        def level(z, o, w):
-            kt = _log_kt(z, o)
-            own = HALF + np.logaddexp(kt, w)
-            return (o + 0.5) / (z + o + 1), np.exp(HALF + kt - own), own
-
-        z, o, w = (dense(x, 1 << 16, key) for x in (zeros, ones, children))
-        self.one1, self.stop1, own = level(z, o, w)
+    """What is above the shards' subtrees: the nodes of depths 1 and 0, dense by last byte and node, and those of hot contexts. For each
+    node the probability of a one, and the weight of stopping there."""
+
+    def __init__(self, children: dict[int, list[np.ndarray]], depth: int):
+        """children: by depth, (context << 8 | node, zeros, ones, weighted), sums over the children that shards hold of the nodes of that depth."""
+        sums = {d: list(c) for d, c in children.items()}
+        self.deep: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        none = [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+        for d in range(depth - 1, 0, -1):
+            key, zeros, ones, weighted = sums.get(d, none)
+            node, up = np.unique(key, return_inverse=True)
+            z, o, w = (np.bincount(up, x, len(node)) for x in (zeros, ones, weighted))
+            one, stop, own = self._node(z, o, w)
+            if d > 1:
+                self.deep[d] = node, one, stop
+                sums[d - 1] = [np.concatenate(x) for x in zip(sums.get(d - 1, none), (((node >> 8) & ((1 << 8 * (d - 1)) - 1)) << 8 | (node & 255), z, o, own), strict=True)]
+        dense = lambda x: np.bincount(node, x, 1 << 16) if len(node) else np.zeros(1 << 16)
+        z, o, w = dense(z), dense(o), dense(w)
+        self.one1, self.stop1, own = self._node(z, o, w)
         z, o, w = (x.reshape(256, 256).sum(0) for x in (z, o, own))
-        self.one0, self.stop0, _ = level(z, o, w)
+        self.one0, self.stop0, _ = self._node(z, o, w)
+
+    @staticmethod
+    def _node(z: np.ndarray, o: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kt = _log_kt(z, o)
+        own = HALF + np.logaddexp(kt, w)
+        return (o + 0.5) / (z + o + 1), np.exp(HALF + kt - own), own
 
-    def mixed(self, gram: np.ndarray, c: np.ndarray, depth: int, top: int) -> np.ndarray:
+    def mixed(self, gram: np.ndarray, c: np.ndarray, depth: int, shards: Shards) -> np.ndarray:
         """log10 of the probability of each gram's byte in its context; one of the byte's choices at a time."""
         out = np.zeros(len(gram))
-        for k in range(8):
-            tree = Subtree(gram, c, k, depth, top)
-            p, node = tree.mixed(), (1 << k) | ((gram & 255) >> (8 - k))
-            at = (((gram >> 8) & 255) << 8) | node
-            for one, stop, j in ((self.one1, self.stop1, at), (self.one0, self.stop0, node)):
-                p = stop[j] * np.where(tree.bit, one[j], 1 - one[j]) + (1 - stop[j]) * p
-            out += np.log10(p)
+        for top, some in shards.by_top(gram):
+            g, own_c = gram[some], c[some]
+            for k in range(8):
+                tree = Subtree(g, own_c, k, depth, top)
+                p, node = tree.mixed(), (1 << k) | ((g & 255) >> (8 - k))
+                above = []
+                for d in range(top - 1, 1, -1):
+                    key, one, stop = self.deep[d]
+                    at = np.searchsorted(key, ((g >> 8) & ((1 << 8 * d) - 1)) << 8 | node)
+                    above.append((one, stop, at))
+                for one, stop, at in (*above, (self.one1, self.stop1, (((g >> 8) & 255) << 8) | node), (self.one0, self.stop0, node)):
+                    p = stop[at] * np.where(tree.bit, one[at], 1 - one[at]) + (1 - stop[at]) * p
+                out[some] += np.log10(p)
         return out
 
 
@@ -327,27 +396,30 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.select("kind", "shard", "data")
 
 
-def gram_scores(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def gram_scores(counts: DataFrame, shards: Shards, depth: int = DEPTH) -> DataFrame:
     """counts: (shard, data) with packed (gram, c). (shard, data) with packed (gram, logp)."""
 
     def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for data in rows["data"]:
                 gram, c = unpacked(data, "i")
-                for k in range(8):
-                    node, zeros, ones, _, weighted, _ = Subtree(gram, c, k, depth, 2).levels[-1]
-                    yield pd.DataFrame({"key": (((node >> 8) & 255) << 8) | (node & 255), "zeros": zeros, "ones": ones, "weighted": weighted})
+                for top, some in shards.by_top(gram):
+                    for k in range(8):
+                        node, zeros, ones, _, weighted, _ = Subtree(gram[some], c[some], k, depth, top).levels[-1]
+                        parent = ((node >> 8) & ((1 << 8 * (top - 1)) - 1)) << 8 | (node & 255)
+                        yield pd.DataFrame({"d": np.int32(top - 1), "key": parent, "zeros": zeros, "ones": ones, "weighted": weighted})
 
     counts = counts.repartition(parts(counts.sparkSession), "shard")  # small rows, long work: not to be coalesced
-    two = counts.select("data").mapInPandas(up, "key long, zeros double, ones double, weighted double")
-    one = two.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).orderBy("key").toPandas()  # 65,536 rows at most
-    crown = Crown(one["key"].to_numpy(np.int64), one["zeros"].to_numpy(float), one["ones"].to_numpy(float), one["weighted"].to_numpy(float))
+    below = counts.select("data").mapInPandas(up, "d int, key long, zeros double, ones double, weighted double")
+    # 65,536 rows for depth 1, and 256 for each hot context, of which there are 2 * HOT of a length at most
+    sums = below.groupBy("d", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).orderBy("d", "key").toPandas()
+    crown = Crown({int(d): [own["key"].to_numpy(np.int64), *(own[x].to_numpy(float) for x in ("zeros", "ones", "weighted"))] for d, own in sums.groupby("d")}, depth)
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for shard, data in zip(rows["shard"], rows["data"], strict=True):
                 gram, c = unpacked(data, "i")
-                yield pd.DataFrame({"shard": [shard], "data": [packed(gram, crown.mixed(gram, c, depth, 2))]})
+                yield pd.DataFrame({"shard": [shard], "data": [packed(gram, crown.mixed(gram, c, depth, shards))]})
 
     return counts.mapInPandas(down, "shard int, data binary")
 
@@ -384,38 +456,19 @@ def answers(asked: DataFrame, known: DataFrame, prepare=values) -> DataFrame:
     return left.groupBy("kind", "shard", "salt").cogroup(right.groupBy("to_kind", "to_shard", "to_salt")).applyInPandas(run, "block long, kind int, shard int, data binary")
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int, shards: int) -> DataFrame:
-    """(block, kind, shard, data, more). Kind 0: the streams of a block, and ids, sizes and text bytes; 1: its words of a shard with their
-    training counts; 2: its grams of a shard with theirs."""
-    names = ["block", "kind", "shard", "data", "more"]
+def texts(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars: int) -> DataFrame:
+    """(block, kind, data, more). Kind 0: the streams of a block; more: its ids, stream sizes and text bytes. Kind d from 2 to depth - 1: the
+    contexts of d bytes at more than one in 2 * HOT of a block's positions, with counts; kind 1: how many positions it has."""
+    names = ["block", "kind", "data", "more"]
 
-    def frames(block: int, rows: list[tuple[int | None, bytes, int]]) -> Iterator[pd.DataFrame]:
+    def frame(block: int, rows: list[tuple[int | None, bytes, int]]) -> pd.DataFrame:
         import zstandard
 
-        own = Block([s for _, s, _ in rows], depth, shards)
-        train = np.array([not held_out(i) for i, _, _ in rows])
-        text = zstandard.ZstdCompressor(level=3).compress(b"".join(own.streams))
-        yield pd.DataFrame([(block, 0, -1, text, pickle.dumps(([i for i, *_ in rows], own.sizes, [n for *_, n in rows])))], columns=names)
-        words, flat, first = own.numbered()
-        marked = np.repeat(train, np.diff(np.append(first, len(flat))))
-        key, at = np.unique(word_keys(words), return_inverse=True)
-        count = np.bincount(at[flat[marked]], minlength=len(key))
-
-        def questions(kind: int, keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pd.DataFrame:
-            order = np.argsort(shard, kind="stable")
-            edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            some = [(k, order[a:b]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
-            return pd.DataFrame([(block, kind, k, packed(keys[m], counts[m]), None) for k, m in some], columns=names)
-
-        yield questions(1, key, count, word_shard(key, shards))
-        del text, words, flat, first, marked, key, at, count
-        rows.clear()  # grams need the bytes only once
-        own.streams = []
-        marked = own.marked(train)
-        for r in range(len(own.ranges)):
-            gram, c = own.counted(r, marked)
-            if len(gram):
-                yield questions(2, gram, c, shard_of(gram, shards))
+        ids, streams, text_bytes = zip(*rows, strict=True)
+        text = zstandard.ZstdCompressor(level=3).compress(b"".join(streams))
+        own = Block(list(streams), depth)
+        sorted_ = lambda c, n: packed(*(x[np.argsort(c)] for x in (c, n)))
+        return pd.DataFrame([(block, 0, text, pickle.dumps((list(ids), own.sizes, list(text_bytes)))), (block, 1, packed(np.zeros(1, np.int64), np.array([own.size])), None), *[(block, d, sorted_(c, n), None) for d, c, n in own.heavy(1 / (2 * HOT))]], columns=names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -427,12 +480,72 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, depth: int, block_chars:
                 held.append((None if doc_id is None else int(doc_id), s, len(text.encode("utf-8", "surrogatepass"))))
                 chars += len(s)
                 if chars >= block_chars:
-                    yield from frames(block, held)
+                    yield frame(block, held)
                     block, held, chars = block + 1, [], 0
         if held:
-            yield from frames(block, held)
+            yield frame(block, held)
+
+    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "block long, kind int, data binary, more binary")
 
-    return docs.select(F.col(id_col).try_cast("long").cast("string").alias("id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "block long, kind int, shard int, data binary, more binary")
+
+def hot_contexts(rows: DataFrame) -> tuple[int, list[list[int]]]:
+    """rows: those of texts() from kind 1 on. All positions, and by length the contexts that may be at more than one in HOT of them.
+
+    A context with that share of all positions has it in some block, and what other blocks don't tell of it is less than half of that. So
+    what they tell sums up to one in 2 * HOT at least, which no more than 2 * HOT contexts of a length can reach.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            for kind, data in zip(some["kind"], some["data"], strict=True):
+                context, n = unpacked(data, "i")
+                yield pd.DataFrame({"d": np.int32(kind), "context": context, "n": n})
+
+    counts = rows.select("kind", "data").mapInPandas(run, "d int, context long, n long").groupBy("d", "context").agg(F.sum("n").alias("n"))
+    counts = written(counts, "contexts")
+    total = counts.where("d = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot: dict[int, list[int]] = defaultdict(list)
+    for r in counts.where((F.col("d") > 1) & (F.col("n") * 2 * HOT > total)).collect():
+        hot[r["d"]].append(r["context"])
+    return total, [hot[d] for d in sorted(hot)]
+
+
+def opened(data: bytes, more: bytes, depth: int, shards: Shards) -> tuple[Block, list, list]:
+    """A row of texts() as a block, with ids and text bytes."""
+    import zstandard
+
+    ids, sizes, text_bytes = pickle.loads(more)
+    text, ends = zstandard.ZstdDecompressor().decompress(data), np.cumsum(sizes).tolist()
+    return Block([text[b - int(n) : b] for b, n in zip(ends, sizes, strict=True)], depth, shards), ids, text_bytes
+
+
+def questions(rows: DataFrame, depth: int, shards: Shards) -> DataFrame:
+    """rows: those of texts() of kind 0. (block, kind, shard, data). Kind 1: a block's words of a shard with their training counts; 2: its grams of a shard with theirs."""
+
+    def frame(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(shards.n + 1))
+        some = [(k, order[a:b]) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+        return pd.DataFrame([(block, kind, k, packed(keys[m], counts[m])) for k, m in some], columns=["block", "kind", "shard", "data"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for block, data, more in part.itertuples(index=False, name=None):
+                own, ids, _ = opened(data, more, depth, shards)
+                train = np.array([not held_out(i) for i in ids])
+                words, flat, first = own.numbered()
+                own.streams = []  # grams need the bytes only once
+                marked = np.repeat(train, np.diff(np.append(first, len(flat))))
+                key, at = np.unique(word_keys(words), return_inverse=True)
+                yield frame(block, 1, key, np.bincount(at[flat[marked]], minlength=len(key)), word_shard(key, shards.n))
+                del words, flat, first, key, at
+                marked = own.marked(train)
+                for r in range(len(own.ranges)):
+                    gram, c = own.counted(r, marked)
+                    if len(gram):
+                        yield frame(block, 2, gram, c, shards.of(gram))
+
+    return rows.select("block", "data", "more").mapInPandas(run, "block long, kind int, shard int, data binary")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -445,10 +558,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     length for each byte predicted. Null texts are empty, ids that are no whole number null. Without
     training rows every choice is even.
     """
-    chars = docs.agg(F.sum(F.length(text_or_empty(text_col)).cast("long"))).first()[0] or 0
-    shards = int(min(MOST_SHARDS, max(16, -(-chars // shard_chars))))
-    index = written(blocks(docs, id_col, text_col, depth, block_chars, shards), "blocks")
-    asked = index.where("kind > 0").select("block", "kind", "shard", "data")
+    index = written(texts(docs, id_col, text_col, depth, block_chars), "blocks")
+    total, hot = hot_contexts(index.where("kind > 0"))
+    shards = Shards(int(min(MOST_SHARDS, max(16, -(-total // shard_chars)))), hot)
+    asked = written(questions(index.where("kind = 0"), depth, shards), "questions")
     counts = merged(asked)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -458,20 +571,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     size = counts.where("kind = 1").select("data").mapInPandas(sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    scored = gram_scores(counts.where("kind = 2").select("shard", "data"), depth).select(F.lit(2).alias("kind"), "shard", "data")
+    scored = gram_scores(counts.where("kind = 2").select("shard", "data"), shards, depth).select(F.lit(2).alias("kind"), "shard", "data")
     known = written(scored.unionByName(counts.where("kind = 1")), "known")
     given = answers(asked, known).withColumnRenamed("block", "to_block")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        stored = left.iloc[0]
-        ids, sizes, text_bytes = pickle.loads(stored["more"])
-        text = zstandard.ZstdDecompressor().decompress(stored["data"])
-        ends = np.cumsum(sizes).tolist()
-        own = Block([text[b - int(n) : b] for b, n in zip(ends, sizes, strict=True)], depth, shards)
-        del text
-
+        own, ids, text_bytes = opened(left["data"].iloc[0], left["more"].iloc[0], depth, shards)
+        sizes = own.sizes
         given_by = {kind: dict(zip(part["shard"], part["data"], strict=True)) for kind, part in right.groupby("kind")}
 
         def value(kind: int, keys: np.ndarray, shard: np.ndarray, of: tuple[int, int], read) -> np.ndarray:
@@ -484,7 +590,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
         words, flat, first = own.numbered()
         key, at = np.unique(word_keys(words), return_inverse=True)
-        c = value(1, key, word_shard(key, shards), (0, shards), lambda d: restored(d, "<i8"))[at]
+        c = value(1, key, word_shard(key, shards.n), (0, shards.n), lambda d: restored(d, "<i8"))[at]
         base = np.add.reduceat(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))[flat], first)
         known, n_tokens = np.add.reduceat((c > 0)[flat].astype(np.int64), first), np.diff(np.append(first, len(flat)))
         del words, flat, key, at, c
@@ -492,7 +598,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         sums = np.zeros(len(sizes))
         for r, of in enumerate(own.ranges):
             gram, _ = own.counted(r)
-            own.add_sums(sums, r, gram, value(2, gram, shard_of(gram, shards), of, lambda d: restored(d, "<f4")))
+            own.add_sums(sums, r, gram, value(2, gram, shards.of(gram), of, lambda d: restored(d, "<f4")))
         frame = pd.DataFrame({id_col: pd.array(ids, "Int64"), "held_out": [held_out(i) for i in ids], "n_tokens": n_tokens, "n_known": known, "train_tokens": total, "base_score": base, "score": sums, "n_bytes": sizes, "text_bytes": text_bytes})
         frame["bits_per_byte"] = -frame["score"] / np.log10(2) / frame["n_bytes"]
         return frame

@@ -83,8 +83,8 @@ def test_probabilities_of_a_byte_sum_to_one():
     every, at = np.unique(np.concatenate((gram, one)), return_inverse=True)
     counts = np.bincount(at[: len(gram)], c, len(every))
     node, z, o, w = (np.concatenate(x) for x in zip(*[[t.levels[-1][j] for j in (0, 1, 2, 4)] for t in (C.Subtree(every, counts, k, C.DEPTH, 2) for k in range(8))], strict=True))
-    crown = C.Crown((((node >> 8) & 255) << 8) | (node & 255), z, o, w)
-    p = 10 ** crown.mixed(every, counts, C.DEPTH, 2)
+    crown = C.Crown({1: [(((node >> 8) & 255) << 8) | (node & 255), z, o, w]}, C.DEPTH)
+    p = 10 ** crown.mixed(every, counts, C.DEPTH, C.Shards(3))
     assert p[np.searchsorted(every, one)].sum() == pytest.approx(1)
 
 
@@ -109,7 +109,7 @@ def test_contexts_reach_across_words():
     data = b"\n" * 6 + b"one two \n"
     want = [sum(data[at - k] << (8 * k) for k in range(7)) for at in range(6, len(data))]
     for size in (1, 3, None):
-        own = C.Block([C.stream(text), C.stream("x")], 6, 5, size)
+        own = C.Block([C.stream(text), C.stream("x")], 6, C.Shards(5), size)
         got = all_grams(own)
         assert got.tolist()[: len(want)] == want and len(got) == own.sizes.sum()
 
@@ -122,7 +122,8 @@ def test_counts_and_sums_go_range_by_range(monkeypatch, size, slice_):
     if slice_:
         monkeypatch.setattr(C, "SLICE", slice_)
         monkeypatch.setattr(C, "RANGE", 11)
-    own = C.Block(streams, 3, 7, size)
+    deal = C.Shards(7, [[0x6320, 0x2061]])
+    own = C.Block(streams, 3, deal, size)
     assert own.ranges[0][0] == 0 and own.ranges[-1][1] == 7 and all(a[1] == b[0] for a, b in zip(own.ranges, own.ranges[1:], strict=False)) and (size is None or len(own.ranges) > 1)
     of, edge = all_grams(own), np.cumsum([0, *own.sizes])
     want, sums = Counter(), np.zeros(len(streams))
@@ -131,7 +132,7 @@ def test_counts_and_sums_go_range_by_range(monkeypatch, size, slice_):
     got = {}
     for k, shards in enumerate(own.ranges):
         gram, c = own.counted(k, own.marked(train))
-        assert (np.diff(gram) > 0).all() and ((C.shard_of(gram, 7) >= shards[0]) & (C.shard_of(gram, 7) < shards[1])).all()
+        assert (np.diff(gram) > 0).all() and ((deal.of(gram) >= shards[0]) & (deal.of(gram) < shards[1])).all()
         assert (own.counted(k)[0] == gram).all()
         got |= dict(zip(gram.tolist(), c.tolist(), strict=True))
         if len(gram):
@@ -140,6 +141,42 @@ def test_counts_and_sums_go_range_by_range(monkeypatch, size, slice_):
     assert sums == pytest.approx([of[a:b].sum() / 7.0 for a, b in zip(edge, edge[1:], strict=False)])
 
 
+def test_hot_contexts_are_cut_into_shards_that_stay_small():
+    """A corpus of one two-byte context: its grams go to shards by the bytes before."""
+    r = np.random.default_rng(5)
+    streams = [b"".join(bytes([x]) + b"ab" for x in r.integers(97, 123, 400).tolist()) + b" \n" for _ in range(30)]
+    whole = C.Block(streams, 6)
+    heavy = whole.heavy(1 / 100)
+    assert [d for d, *_ in heavy] == [2, 3, 4, 5] and {0x6162} <= set(heavy[0][1].tolist())
+    g = np.concatenate([whole._gram(i, i + 1) for i in range(whole.size)])
+    for d, c, n in heavy:
+        at, want = np.unique((g >> 8) & ((1 << 8 * d) - 1), return_counts=True)
+        assert dict(zip(c.tolist(), n.tolist(), strict=True)) == {a: k for a, k in zip(at.tolist(), want.tolist(), strict=True) if k > whole.size / 100}
+    deal, plain_ = C.Shards(64, [c for _, c, _ in heavy]), C.Shards(64)
+    most = lambda s: np.bincount(s.of(g)).max()
+    assert most(deal) < 0.1 * len(g) < 0.3 * len(g) < most(plain_)
+    for top, some in deal.by_top(g):  # a shard's grams share `top` bytes with all of their subtree
+        owner = {}
+        for c, k in zip((g[some] >> 8 & (1 << 8 * top) - 1).tolist(), deal.of(g[some]).tolist(), strict=True):
+            assert owner.setdefault(c, k) == k
+    assert sum(len(some) for _, some in deal.by_top(g)) == len(g)
+
+
+@pytest.mark.parametrize("hot", [2, 6, 512])
+def test_scores_do_not_depend_on_what_is_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr(C, "HOT", hot)
+    rows = [(i, "ababababab abab xab yab " * 3 + t, "en") for i, t in enumerate(["the cat", "", "abab", "zab ab", "hat", "babab", "b", "xyab"])]
+    got = {r["doc_id"]: r["score"] for r in C.score(docs(spark, rows), block_chars=150).collect()}
+    assert got == pytest.approx(plain([r[:2] for r in rows], C.DEPTH), rel=1e-6)
+    total, held = C.hot_contexts(C.texts(docs(spark, rows), "doc_id", "text", C.DEPTH, 150).where("kind > 0"))
+    data = [C.END * C.DEPTH + C.stream(t) for _, t, _ in rows]
+    assert total == sum(map(len, data))
+    for d in range(2, C.DEPTH):
+        n = Counter(x[i - d : i] for x in data for i in range(d, len(x)))
+        must = {int.from_bytes(c, "big") for c, k in n.items() if k > total / hot}
+        assert must <= set(held[d - 2] if d - 2 < len(held) else []) and all(len(h) <= 2 * hot for h in held)
+
+
 def test_places_find_every_number():
     r = np.random.default_rng(2)
     for n in (1, 2, 50, 100_000):
