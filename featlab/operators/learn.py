@@ -239,29 +239,38 @@ class Boosting:
 
 
 def tree_shap(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """(n, p, outputs) Shapley values of a tree whose unknown features follow the training weights: exact, over all subsets of the features it uses."""
-    from itertools import combinations
+    """(n, p, outputs) Shapley values of a tree whose unknown features follow the training weights, exact.
+
+    Leaf by leaf: with some features known, a leaf is reached with the product of o (1 if the row meets the path's conditions on a known
+    feature, else 0) and w (the share of weight that the path keeps at its splits on an unknown one). Sums over all subsets of the path's
+    features go by their sizes, as coefficients of the product of w + o z.
+    """
     from math import factorial
 
-    used = sorted({f for f in tree.feature if f >= 0})
-    m, out = len(used), np.zeros((len(x), x.shape[1], len(tree.value[0])))
+    out = np.zeros((len(x), x.shape[1], len(tree.value[0])))
 
-    def expect(known: frozenset, node: int) -> np.ndarray:
+    def visit(node: int, path: dict[int, tuple[np.ndarray, float]]) -> None:
         f = tree.feature[node]
-        if f < 0:
-            return np.broadcast_to(tree.value[node], (len(x), len(tree.value[node])))
-        a, b = expect(known, tree.left[node]), expect(known, tree.right[node])
-        if f in known:
-            return np.where((x[:, f] <= tree.limit[node])[:, None], a, b)
-        wa, wb = tree.weight[tree.left[node]], tree.weight[tree.right[node]]
-        return (wa * a + wb * b) / (wa + wb)
-
-    value = {frozenset(s): expect(frozenset(s), 0) for k in range(m + 1) for s in combinations(used, k)}
-    for s, v in value.items():
-        for f in used:
-            if f not in s:
-                share = factorial(len(s)) * factorial(m - len(s) - 1) / factorial(m)
-                out[:, f] += share * (value[s | {f}] - v)
+        if f >= 0:
+            low = x[:, f] <= tree.limit[node]
+            whole = tree.weight[tree.left[node]] + tree.weight[tree.right[node]]
+            for child, meets in ((tree.left[node], low), (tree.right[node], ~low)):
+                o, w = path.get(f, (np.ones(len(x), bool), 1.0))
+                visit(child, path | {f: (o & meets, w * tree.weight[child] / whole)})
+            return
+        d = len(path)
+        for f, (o, w) in path.items():
+            by_size = np.ones((1, len(x)))
+            for g, (og, wg) in path.items():
+                if g != f:
+                    grown = np.zeros((len(by_size) + 1, len(x)))
+                    grown[:-1] += wg * by_size
+                    grown[1:] += og * by_size
+                    by_size = grown
+            share = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
+            out[:, f] += ((o - w) * (share @ by_size))[:, None] * tree.value[node]
+
+    visit(0, {})
     return out
 
 

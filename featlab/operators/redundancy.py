@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featlab.operators import filters, moments
+from featlab.operators import filters, forests, moments
 from featlab.sources.matrices import to_long
 
 FLOOR = 0.001
@@ -22,13 +22,14 @@ def _frame(spark: SparkSession, rows: list[tuple[int, float]]) -> DataFrame:
 def mrmr(wide: DataFrame, k: int, relevance: str | Callable[[DataFrame], DataFrame] = "f", denominator: str = "mean", same_domain: Callable[[int], str] | None = None) -> DataFrame:
     """(rank, j, score): relevance over redundancy, greedy.
 
-    relevance: f, ks, f_regression, or a function of the long frame. Redundancy of a candidate with each
+    relevance: f, ks, f_regression, forest (importances of a random forest), or a function of the long frame. Redundancy of a candidate with each
     chosen feature is |correlation|, 0.001 at least and where undefined; their mean or maximum divides,
     1.0 exactly counts as no use. Features without relevance are out. same_domain: redundancy counts
     between features of one domain only.
     """
     long = to_long(wide)
-    score = {"f": filters.f_classif, "ks": filters.ks, "f_regression": filters.f_regression}[relevance](long) if isinstance(relevance, str) else relevance(long)
+    named = {"f": filters.f_classif, "ks": filters.ks, "f_regression": filters.f_regression, "forest": lambda _: forests.importances(wide, extra=False)}
+    score = named[relevance](long) if isinstance(relevance, str) else relevance(long)
     rel = {r["j"]: r["score"] for r in score.collect() if r["score"] is not None and r["score"] > 0}
     pairs = {(r["i"], r["j"]): r["r"] for r in moments.correlation(wide).collect()}
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featlab.functions import expressions as X
-from featlab.operators import consensus, encoders, filters, graphs, metrics, moments, redundancy, selectors, splits
+from featlab.operators import consensus, encoders, filters, forests, graphs, metrics, moments, redundancy, selectors, solvers, splits
 from featlab.operators.rank import at_least_kth, column_order, reversed_rank, tier, top_k
 from featlab.plans import hard, peeling, pipeline, registry, results
 from featlab.session import ensure_importable
@@ -691,13 +691,80 @@ def _selector(name: str, k: int = K):
     query(run)
 
 
-for _name, _k in (("AdaBoost", K), ("SVC", K), ("SHAP", K), ("CT", K), ("LeadingEV", K), ("MCFS", K), ("RFS", K), ("GRAPH", K), ("SVM_Forward", 3), ("SVM_Backward", 60), ("DecisionTree_Forward", 3), ("DecisionTree_Backward", 60), ("SVM_RBF", K), ("CEI_GA", K), ("CAE", K), ("UFS", K), ("DLFS", K), ("GRACES", 5), ("CFS", K)):
+for _name, _k in (("MCFS", K), ("SVM_Backward", 60), ("DecisionTree_Forward", 3), ("DecisionTree_Backward", 60), ("SVM_RBF", K), ("CEI_GA", K), ("CAE", K), ("UFS", K), ("DLFS", K), ("GRACES", 5), ("CFS", K)):
     _selector(_name, _k)
 
 
 @query
 def fs_etree(spark, d):
-    return rounded(top_k(selectors.forest_importance(_emb(spark, d), 10), K))
+    return rounded(top_k(forests.importances(_emb(spark, d)), K))
+
+
+@query
+def fs_adaboost(spark, d):
+    return rounded(top_k(forests.boosted_importances(_emb(spark, d)), K))
+
+
+@query
+def fs_shap(spark, d):
+    return rounded(top_k(forests.shap_select(_emb(spark, d)), K))
+
+
+@query
+def fs_svc(spark, d):
+    return rounded(solvers.svc_select(_emb(spark, d), K))
+
+
+@query
+def fs_svm_forward(spark, d):
+    return rounded(solvers.svm_wrapper(_emb(spark, d), K))
+
+
+@query
+def fs_ct(spark, d):
+    return rounded(solvers.thresholded_eigen(_emb(spark, d), K))
+
+
+@query
+def fs_leading_ev(spark, d):
+    return rounded(solvers.leading_eigenvector(_emb(spark, d), K))
+
+
+@query
+def fs_rfs(spark, d):
+    return rounded(solvers.robust_regression(_emb(spark, d), K))
+
+
+@query
+def fs_graph(spark, d):
+    return rounded(solvers.graph_fused(_emb(spark, d), K))
+
+
+def _judged(spark, d, fit):
+    """Fitted on one side of a split, judged on the other, all by Spark's sums."""
+    wide = _split(spark, d)
+    with solvers.training(wide.where("train")) as rows:
+        model = fit(rows)
+    scored = model.scored(wide.where("NOT train"))
+    each = scored.select("id", "label", F.posexplode("p").alias("at", "score"))
+    codes = F.array(*[F.lit(c) for c in model.labels])
+    auc = metrics.auc_ovr(each.select("id", "label", F.element_at(codes, F.col("at") + 1).alias("class"), "score"))
+    return rounded(metrics.weighted_prf(scored).crossJoin(auc))  # one row each
+
+
+@query
+def logistic_evaluation(spark, d):
+    return _judged(spark, d, solvers.logistic)
+
+
+@query
+def lda_evaluation(spark, d):
+    return _judged(spark, d, solvers.discriminant)
+
+
+@query
+def mrmr_forest_relevance(spark, d):
+    return rounded(redundancy.mrmr(_emb(spark, d), 3, "forest"))
 
 
 @query
@@ -828,7 +895,7 @@ def full_results_upsert(spark, d):
 @query
 def selected_importance(spark, d):
     """Shares of importance of the ten features with the most variance, from trees on all features."""
-    imp = selectors.forest_importance(_emb(spark, d), 10)
+    imp = forests.importances(_emb(spark, d))
     chosen = filters.low_variance(_emb_long(spark, d), 10).select("j")
     total = imp.agg(F.sum("score").alias("t"))
     return imp.join(chosen, "j").crossJoin(F.broadcast(total)).select("j", X.custom_round(F.col("score") / F.col("t")).alias("importance"))
