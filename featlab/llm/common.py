@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset and all runs on this machine, else ValueError."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="featlab-checkpoints-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
