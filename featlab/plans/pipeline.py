@@ -81,7 +81,8 @@ def cross_validate(wide: DataFrame, dataset: str, algorithm: str | None, reposit
     folds = splits.feasible_folds(wide, folds)
     ks = [k for k in (ks or K_LIST) if k <= p] if algorithm else [p]
     began = time.perf_counter()
-    runs = fold_runs(wide, algorithm, ks, list(evaluators or EVALUATORS), folds, seed).cache()
+    # a row for each fold, K and evaluator; read several times below
+    runs = wide.sparkSession.createDataFrame(fold_runs(wide, algorithm, ks, list(evaluators or EVALUATORS), folds, seed).collect(), _FOLD)
     rows = results.fold_summary(runs, ["k", "evaluator"])
     times = runs.groupBy("k", "evaluator").agg(F.count("*").cast("int").alias("good_folds"), F.round(F.avg("seconds"), 3).alias("avg_fit_seconds"), F.round(F.stddev_pop("seconds"), 3).alias("std_fit_seconds"), F.round(F.sum("fs_seconds"), 3).alias("fs_seconds"))
     out = rows.join(times, ["k", "evaluator"]).join(_consensus(runs), ["k", "evaluator"])

@@ -825,7 +825,7 @@ def training_size(spark, d):
 
 @query
 def selection_sweep(spark, d):
-    return rounded(hard.sweep(_split(spark, d), 0.7, 0.9, 3, [5], "Fast", 4))
+    return rounded(hard.sweep(_split(spark, d), 0.7, 0.9, 3, [5], "Fast"))
 
 
 @query
@@ -946,4 +946,4 @@ def outcome_row(spark, d):
     known = hard.single_split(variant, None, [K], selected=[r["j"] for r in filters.low_variance(_emb_long(spark, d), K).collect()])  # K features
     sizes = {"n": wide.count(), "p": 64, "classes": 10, "hard_t": 0.7, "removed_percent": 30.0, "removed_percent_fs": 30.0}
     out = hard.document(spark, "embeddings", sizes, score(rows, None, 64), score(rows, "low_variance", K), score(variant, None, 64), score(variant, "DT", K), {"auc": known, "accuracy": known})
-    return out.select("dataset", "label", "n", "p", "classes", "leading_fs", "leading_hard_fs", "auc_hard_indices", "auc_gt_indices", "auc_common")
+    return rounded(out)

@@ -103,7 +103,7 @@ def test_single_splits_and_the_outcome_row(spark, wide):
     assert set(hard.leading(known, "auc")["selected"]) == {0, 2}
     out = hard.document(spark, "d", {"n": 90, "p": 6, "classes": 3, "hard_t": 0.7}, hd, fs, hd, fs, {"auc": known, "accuracy": known}).first()
     assert out["label"] in ("Hard Interesting", "Hard Not Interesting") and out["auc_overlap"] is not None and out["leading_fs"] == "DT"
-    assert hard.sweep(rows, 0.0, 2.0, 3, [2], "Fast", 3).count() == 1  # the first one is good enough
+    assert hard.sweep(rows, 0.0, 2.0, 3, [2], "Fast").count() == 1  # the first one is good enough
 
 
 def test_contributions_sum_to_probabilities(wide):
