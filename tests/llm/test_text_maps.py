@@ -148,7 +148,7 @@ def test_pieces_equal_the_library(spark):
     assert got == [np.array(x, "<u4").tobytes() for x in lib.encode(texts)]
     assert [own.decode(b) for b in got] == [t.replace("▁", " ") for t in texts]
     rows = pieces.encode(docs(spark)).collect()
-    assert len(rows) == docs(spark).count() and all(r["exact"] for r in rows)
+    assert len(rows) == docs(spark).count() and all(r["exact"] == (r["doc_id"] != 2**60 + 1) for r in rows)  # that text holds the mark
     assert pieces.decode(pieces.encode(docs(spark))).count() == len(rows) and pieces.encode(docs(spark, [])).count() == 0
 
 
@@ -222,3 +222,11 @@ def test_mask_stage(spark):
     assert "[EMAIL]" in out[10]["text"] and "[IP]" in out[10]["text"] and "555-5010" not in out[10]["text"]
     assert out[4]["text"] is None and out[5]["text"] == "The same text here"
     assert pii.mask(docs(spark, [])).count() == 0
+
+
+def test_texts_that_hold_the_mark_are_not_exact(spark):
+    d = docs(spark, [(1, "plain words", "en"), (2, "a \u2581 mark", "en"), (3, "\u2581", "en"), (4, None, "en"), (5, " two  spaces ", "en")])
+    rows = pieces.encode(d)
+    text = {r["doc_id"]: r["text"] for r in pieces.decode(rows).collect()}
+    own = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    assert {r["doc_id"]: r["exact"] for r in rows.collect()} == {i: text[i] == t for i, t in own.items()} and text[2] != own[2] and text[1] == own[1]
