@@ -1,19 +1,17 @@
 """Neighbour graphs over rows, and the scores that use them.
 
-Exact neighbours compare each row with each other row. Rows are packed into blocks of a bounded size and
-each pair of blocks is one unit of work, a matrix product, that keeps the k nearest of each row; a window
-over these merges them. Work is spread over all block pairs and no task holds more than two blocks.
+Exact neighbours come from a metric index (`metric_index`): rows lie in cells around pivots, and pairs of
+blocks of rows that the triangle inequality rules out are never compared. A window merges what the pairs
+keep. No task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featlab.operators import metric_index
+
 BLOCK_ROWS = 2048
 
 
@@ -24,47 +22,7 @@ def neighbours(wide: DataFrame, k: int, metric: str = "euclidean", within: str =
     within: "any" all rows; "same" rows of the same label; "each" the k nearest other rows of every label.
     against: other rows to look for neighbours in. Distances rank with 9 decimals, ties by id.
     """
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        blocks = max(1, -(-df.count() // BLOCK_ROWS))
-        return df.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("blk").agg(F.collect_list(F.struct("id", "label", "features")).alias(name)).drop("blk")
-
-    pairs = packed(wide, "left").crossJoin(packed(wide if against is None else against, "right"))
-    same_rows = against is None
-    sign = -1.0 if metric == "cosine" else 1.0
-
-    def unpack(x):
-        return np.array([r["id"] for r in x], np.int64), np.array([r["label"] for r in x], np.int64), np.array([np.asarray(r["features"], float) for r in x])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for left, right in zip(part["left"], part["right"], strict=True):
-                (ia, la, xa), (ib, lb, xb) = unpack(left), unpack(right)
-                order = np.argsort(ib, kind="stable")
-                ib, lb, xb = ib[order], lb[order], xb[order]
-                if metric == "cosine":
-                    xa, xb = (x / np.maximum(1e-12, np.sqrt((x * x).sum(1, keepdims=True))) for x in (xa, xb))
-                    d = xa @ xb.T
-                else:
-                    d = np.maximum(0, (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2 * xa @ xb.T)
-                    if same_rows:
-                        d[ia[:, None] == ib[None, :]] = 0
-                d = np.round(d, 9)
-                groups = [(None, np.ones(len(ib), bool))] if within == "any" else [(c, lb == c) for c in np.unique(lb)]
-                for c, mask in groups:
-                    if within == "same" and not (la == c).any():
-                        continue
-                    at = np.flatnonzero(mask)
-                    rows_ = np.flatnonzero(la == c) if within == "same" else np.arange(len(ia))
-                    own = sign * d[np.ix_(rows_, at)]
-                    if within == "each" and same_rows:
-                        own = np.where(ia[rows_][:, None] == ib[at][None, :], np.inf, own)
-                    best = np.argsort(own, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(own, best, 1)
-                    ok = np.isfinite(value).ravel()
-                    yield pd.DataFrame({"src": np.repeat(ia[rows_], best.shape[1])[ok], "src_label": np.repeat(la[rows_], best.shape[1])[ok], "dst": ib[at][best].ravel()[ok], "dst_label": lb[at][best].ravel()[ok], "d": sign * value.ravel()[ok]})
-
-    near = pairs.mapInPandas(run, "src long, src_label long, dst long, dst_label long, d double")
+    near = metric_index.nearest(wide, against, k, metric, within, BLOCK_ROWS)
     by = ["src", "dst_label"] if within == "each" else ["src"]
     order = Window.partitionBy(*by).orderBy(F.col("d").desc() if metric == "cosine" else F.col("d").asc(), "dst")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("src", "src_label", "dst", "dst_label", "rank", "d")
