@@ -126,10 +126,16 @@ def symmetrical_uncertainty(bins: DataFrame) -> DataFrame:
     return h1.join(h2, "j").join(h12, "j").select("j", F.coalesce(2 * (top - F.col("h12")) / F.nullif(top, F.lit(0.0)), F.lit(0.0)).alias("score"))
 
 
-def feature_uncertainty(bins: DataFrame) -> DataFrame:
-    """(i, j, su) for i < j: symmetrical uncertainty of two binned features."""
+def feature_uncertainty(bins: DataFrame, of: list[int] | None = None, known: list[int] | None = None) -> DataFrame:
+    """(i, j, su): symmetrical uncertainty of two binned features, each pair once, i < j. of: i is one of these (then j may be less),
+    j no feature of `known`."""
     a, b = bins.select("id", F.col("j").alias("i"), F.col("b").alias("bi")), bins.select("id", "j", "b")
-    both = a.join(b, "id").where("i < j").groupBy("i", "j", "bi", "b").agg(F.count("*").alias("n"))
+    wanted = F.col("i") < F.col("j")
+    if of is not None:
+        a, wanted = a.where(F.col("i").isin(of)), wanted | ~F.col("j").isin(of)
+    if known:
+        b = b.where(~F.col("j").isin(known))
+    both = a.join(b, "id").where(wanted).groupBy("i", "j", "bi", "b").agg(F.count("*").alias("n"))
     h12 = _entropy(both, ["i", "j"]).withColumnRenamed("h", "h12")
     h = _entropy(bins.groupBy("j", "b").agg(F.count("*").alias("n")), ["j"])
     top = F.col("ha") + F.col("hb")
@@ -138,18 +144,44 @@ def feature_uncertainty(bins: DataFrame) -> DataFrame:
 
 def cfs_select(long: DataFrame, k: int, patience: int = 5, bins: int = 10) -> list[int]:
     """Greedy merit: sum of su(f, y) over the root of m + 2 sum su(f, f'); ends when `patience` steps bring no better merit."""
-    b = binned(long, bins)
+    b = binned(long, bins).persist()
+    try:
+        return _greedy_merit(b, k, patience)
+    finally:
+        b.unpersist()
+
+
+#: Pairs of features that a pass of CFS compares, about; the chosen feature's with all others at least.
+CFS_PAIRS = 4096
+
+
+def _greedy_merit(b: DataFrame, k: int, patience: int) -> list[int]:
     with_y = {r["j"]: r["score"] for r in symmetrical_uncertainty(b).collect()}  # a number for each feature
-    pair = {(r["i"], r["j"]): r["su"] for r in feature_uncertainty(b).collect()}  # and for each pair of features
+    by_use, fetched, with_f = sorted(with_y, key=lambda f: (-with_y[f], f)), [], {}
+
+    def fetch(f: int) -> None:
+        """What f, and features likely to follow it, share with all others."""
+        if f in with_f:
+            return
+        new = [f, *[g for g in by_use if g != f and g not in with_f][: max(1, CFS_PAIRS // len(by_use)) - 1]]
+        rows = feature_uncertainty(b, new, fetched).collect()
+        with_f.update({g: {h: with_f[h].get(g, 0.0) for h in fetched} for g in new})
+        for r in rows:
+            with_f[r["i"]][r["j"]] = r["su"]
+            if r["j"] in with_f:
+                with_f[r["j"]][r["i"]] = r["su"]
+        fetched.extend(new)
+
+    shared = dict.fromkeys(with_y, 0.0)  # with what is chosen
     chosen, best, stale, sums, cross = [], 0.0, 0, 0.0, 0.0
     kept = []
     while len(chosen) < min(k, len(with_y)):
         def merit(f):
-            return (sums + with_y[f]) / (len(chosen) + 1 + 2 * (cross + sum(pair[min(f, g), max(f, g)] for g in chosen))) ** 0.5
+            return (sums + with_y[f]) / (len(chosen) + 1 + 2 * (cross + shared[f])) ** 0.5
 
         f = max((f for f in sorted(with_y) if f not in chosen), key=lambda f: (round(merit(f), 12), -f))
         now = merit(f)
-        cross += sum(pair[min(f, g), max(f, g)] for g in chosen)
+        cross += shared[f]
         sums += with_y[f]
         chosen.append(f)
         if now > best + 1e-12:
@@ -158,6 +190,9 @@ def cfs_select(long: DataFrame, k: int, patience: int = 5, bins: int = 10) -> li
             stale += 1
             if stale >= patience:
                 break
+        if len(chosen) < min(k, len(with_y)):
+            fetch(f)
+            shared = {g: v + with_f[f].get(g, 0.0) for g, v in shared.items()}
     return kept
 
 

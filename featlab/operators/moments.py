@@ -90,3 +90,66 @@ def dense(entries: DataFrame, p: int, value: str = "v") -> np.ndarray:
     out[rows["i"], rows["j"]] = rows[value]
     out[rows["j"], rows["i"]] = rows[value]
     return out
+
+
+#: Sums that a task ships in a pass over the rows, about; of features with more products than this one at a time.
+SHIPPED = 1 << 16
+
+
+class Products:
+    """Sums of products of features, a row of P numbers for each feature that is asked for, so that a greedy selector holds rows of what
+    it chose and never P x P. A pass also fetches features that follow in `order`, as many as SHIPPED allows."""
+
+    def __init__(self, wide: DataFrame, order: list[int] | None = None):
+        self.wide, self.order, self.rows, self.passes = wide, order, {}, 0
+        self.n, self.sums, self.squares = self._profile()
+        self.p = len(self.sums)
+
+    def _profile(self) -> tuple[int, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, n = None, 0
+            for part in batches:
+                if len(part):
+                    x = np.array(part["features"].tolist(), float)
+                    own = np.stack((x.sum(0), (x * x).sum(0)))
+                    total, n = own if total is None else total + own, n + len(x)
+            if total is not None:
+                yield pd.DataFrame({"i": np.arange(total.shape[1]), "a": total[0], "b": total[1], "n": n})
+
+        told = self.wide.select("features").mapInPandas(run, "i int, a double, b double, n long").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n")).toPandas().sort_values("i")
+        return (int(told["n"].iloc[0]) if len(told) else 0), told["a"].to_numpy(), told["b"].to_numpy()
+
+    def _fetch(self, columns: list[int]) -> None:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for part in batches:
+                if len(part):
+                    x = np.array(part["features"].tolist(), float)
+                    own = x[:, columns].T @ x
+                    total = own if total is None else total + own
+            if total is not None:
+                for c, s in zip(columns, total, strict=True):
+                    yield pd.DataFrame({"c": c, "i": np.arange(len(s)), "s": s})
+
+        told = self.wide.select("features").mapInPandas(run, "c int, i int, s double").groupBy("c", "i").agg(F.sum("s").alias("s")).toPandas()
+        self.passes += 1
+        for c, own in told.groupby("c"):
+            self.rows[c] = own.sort_values("i")["s"].to_numpy()
+
+    def row(self, j: int) -> np.ndarray:
+        """Σ x_j x_i by i."""
+        if j not in self.rows:
+            ahead = [i for i in (range(j + 1, self.p) if self.order is None else self.order) if i != j and i not in self.rows]
+            self._fetch([j, *ahead[: max(1, SHIPPED // max(1, self.p)) - 1]])
+        return self.rows[j]
+
+    def centred(self, j: int) -> np.ndarray:
+        """Σ (x_j - mean) (x_i - mean) by i."""
+        return self.row(j) - self.sums[j] * self.sums / self.n
+
+    def correlation(self, j: int) -> np.ndarray:
+        """Pearson's r of j with each feature; nan where one is constant."""
+        free = max(1, self.n - 1)
+        v = np.maximum(self.squares - self.sums**2 / self.n, 0) / free
+        sd = np.where(v > 1e-12, np.sqrt(v), np.nan)
+        return self.centred(j) / free / (sd[j] * sd)

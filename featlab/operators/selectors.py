@@ -148,7 +148,8 @@ def alpha_investing(f: Fold, w0: float = 10.0, dw: float = 0.01, **_):
     for j in range(f.p):
         if len(run.chosen) == f.k:
             break
-        run.offer(j, residual_share(gram, cross, total, [*run.chosen, j]))
+        cols = [*run.chosen, j]
+        run.offer(j, residual_share(gram[np.ix_(cols, cols)], cross[cols], total))
     return run.chosen, [1.0 - i / max(1, len(run.chosen)) for i in range(len(run.chosen))]
 
 
