@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.operators import learn, moments
+from featlab.operators import learn, moments, permutation
 from featlab.operators.selectors import ranked
 
 
@@ -132,6 +132,9 @@ class Linear:
     labels: list[int]
     importance: np.ndarray
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return np.array(self.labels)[(x @ self.w + self.b).argmax(1)]
+
     def scored(self, rows: DataFrame) -> DataFrame:
         """(id, label, p array, predicted) of (id, label, features): probabilities by label in order, and the label of the greatest."""
         w, b, labels = self.w, self.b, np.array(self.labels)
@@ -370,3 +373,69 @@ def graph_fused(wide: DataFrame, k: int, lambda1: float = 0.8, lambda2: float =
         q, a, b = soft(w + mu / rho, lambda1 / rho), soft(w[i] + va / rho, lambda2 / rho), soft(-w[j] + vb / rho, lambda2 / rho)
         mu, va, vb = mu + rho * (w - q), va + rho * (w[i] - a), vb + rho * (-w[j] - b)
     return _sum_of_k(wide, np.abs(w), k)
+
+
+# --- the kernel machine ---
+
+#: Rows that span the kernel's features; more rows of the table don't change what a task or the driver holds.
+LANDMARKS = 256
+
+
+@dataclass
+class KernelMachine:
+    """Linear support vectors on Nyström features of the RBF kernel of standardised rows."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    gamma: float
+    landmarks: np.ndarray
+    root: np.ndarray
+    w: np.ndarray
+    labels: list[int]
+
+    def features(self, x: np.ndarray) -> np.ndarray:
+        z = (x - self.mean) / self.scale
+        d = (z * z).sum(1)[:, None] + (self.landmarks * self.landmarks).sum(1)[None] - 2 * z @ self.landmarks.T
+        return np.exp(-self.gamma * np.maximum(d, 0)) @ self.root
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        d = self.features(x) @ self.w[:, :-1].T + self.w[:, -1]
+        return np.array(self.labels)[d.argmax(1) if d.shape[1] > 1 else (d[:, 0] > 0).astype(int)]
+
+
+def kernel_machine(rows: Rows, c: float = 1.0, landmarks: int = LANDMARKS) -> KernelMachine:
+    """RBF with gamma 1 / (P x variance of the standardised rows). Landmarks are the rows with the least hashes of their content, all rows
+    where there are no more; the root of the pseudo-inverse of their kernel maps rows to features, on which the squared hinge is solved
+    as in `support_vectors`, from sums over all rows."""
+    products = moments.Products(rows.frame)
+    mean, var = products.sums / rows.n, np.maximum(products.squares / rows.n - (products.sums / rows.n) ** 2, 0)
+    fit = var > 1e-12 * np.maximum(mean**2, 1e-300)
+    scale = np.where(fit, np.sqrt(var), 1.0)
+    drawn = rows.frame.select("features").distinct().withColumn("h", F.xxhash64("features")).orderBy("h").limit(landmarks).toPandas()
+    own = (np.array(drawn["features"].tolist(), float) - mean) / scale
+    gamma = 1 / (rows.p * max(1e-12, fit.mean()))
+    d = (own * own).sum(1)[:, None] + (own * own).sum(1)[None] - 2 * own @ own.T
+    value, vector = np.linalg.eigh(np.exp(-gamma * np.maximum(d, 0)))
+    keep = value > 1e-9 * value.max()
+    out = KernelMachine(mean, scale, gamma, own, vector[:, keep] / np.sqrt(value[keep]), np.zeros((0, 0)), rows.labels)
+
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                yield pd.DataFrame({"y": part["y"], "features": list(out.features(np.array(part["features"].tolist(), float)))})
+
+    frame = rows.frame.mapInPandas(mapped, "y int, features array<double>").persist()
+    try:
+        width = int(keep.sum())
+        out.w = support_vectors(Rows(frame, width, rows.labels, rows.counts), [list(range(width))], c)[0]
+    finally:
+        frame.unpersist()
+    return out
+
+
+def kernel_select(wide: DataFrame, k: int, c: float = 1.0, repeats: int = 10, seed: int = 0) -> DataFrame:
+    """(rank, j, score): by how much the kernel machine's accuracy on all rows falls when the feature is permuted."""
+    with training(wide) as rows:
+        model = kernel_machine(rows, c)
+    found = permutation.importance(wide.where("label IS NOT NULL AND features IS NOT NULL"), model.predict, repeats, seed).toPandas().sort_values("j")
+    return _sum_of_k(wide, found["score"].to_numpy(), k)

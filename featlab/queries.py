@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from featlab.functions import expressions as X
-from featlab.operators import consensus, encoders, filters, forests, graphs, metrics, moments, redundancy, selectors, solvers, splits
+from featlab.operators import consensus, encoders, filters, forests, graphs, metrics, moments, permutation, redundancy, selectors, solvers, splits
 from featlab.operators.rank import at_least_kth, column_order, reversed_rank, tier, top_k
 from featlab.plans import hard, peeling, pipeline, registry, results
 from featlab.session import ensure_importable
@@ -687,11 +687,11 @@ def _selector(name: str, k: int = K):
     def run(spark, d):
         return rounded(selectors.select(_emb(spark, d), registry.REGISTRY[name].fn, k, registry.SETTINGS.get(name)))
 
-    run.__name__ = "fs_" + {"SVM_RBF": "svm_rbf", "LeadingEV": "leading_ev", "DecisionTree_Forward": "dt_forward", "DecisionTree_Backward": "dt_backward"}.get(name, name.lower())
+    run.__name__ = "fs_" + {"LeadingEV": "leading_ev", "DecisionTree_Forward": "dt_forward", "DecisionTree_Backward": "dt_backward"}.get(name, name.lower())
     query(run)
 
 
-for _name, _k in (("MCFS", K), ("SVM_Backward", 60), ("DecisionTree_Forward", 3), ("DecisionTree_Backward", 60), ("SVM_RBF", K), ("CEI_GA", K), ("CAE", K), ("UFS", K), ("DLFS", K), ("GRACES", 5), ("CFS", K)):
+for _name, _k in (("MCFS", K), ("SVM_Backward", 60), ("DecisionTree_Forward", 3), ("DecisionTree_Backward", 60), ("CEI_GA", K), ("CAE", K), ("UFS", K), ("DLFS", K), ("GRACES", 5), ("CFS", K)):
     _selector(_name, _k)
 
 
@@ -740,6 +740,19 @@ def fs_graph(spark, d):
     return rounded(solvers.graph_fused(_emb(spark, d), K))
 
 
+@query
+def fs_svm_rbf(spark, d):
+    return rounded(solvers.kernel_select(_emb(spark, d), K))
+
+
+@query
+def lda_permutation_importance(spark, d):
+    wide = _emb(spark, d)
+    with solvers.training(wide) as rows:
+        model = solvers.discriminant(rows)
+    return rounded(permutation.importance(wide, model.predict, 5))
+
+
 def _judged(spark, d, fit):
     """Fitted on one side of a split, judged on the other, all by Spark's sums."""
     wide = _split(spark, d)
