@@ -65,7 +65,7 @@ def added(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -
             at = np.flatnonzero(total)
             yield pd.DataFrame({"i": np.append(at, len(total)), "v": np.append(total[at], 0.0)})
 
-    parts = rows.select("y", "features").mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    parts = rows.select("y", "features").mapInPandas(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().to_pandas()
     out = np.zeros(int(parts["i"].max()) + 1 if len(parts) else 1)
     out[parts["i"]] = parts["v"]
     return out[:-1]
