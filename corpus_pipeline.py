@@ -17,6 +17,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Candidates by SimHash fingerprints, and by min-hash buckets for what differs in more bits; an exact check of the shingles follows."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -28,7 +29,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_first_fit(docs)
 
 
-STAGES = [("quality classifier", good), ("exact dedup", exact), ("near-dedup", near), ("pii", private), ("packing", packed)]
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("simhash near-dedup", near), ("pii", private), ("packing", packed)]
 ORACLE_SQL = None
 
 

@@ -1,8 +1,10 @@
 """Near copies: rows whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of BANDS buckets, each keyed by DEPTH min-hashes of the set: a pair at exactly
-0.8 is missed with probability (1 - 0.8**5)**20 = 0.035 %, more similar ones less. Each candidate is
-then checked on the shingles themselves, so no link is below the limit.
+Candidates come from two sides. SimHash fingerprints of the sets that differ in at most two bits are found
+by covering masks (`simhash`); no radius that can be covered reaches all pairs at 0.8, so candidates also
+share one of BANDS buckets, each keyed by DEPTH min-hashes of the set: a pair at exactly 0.8 is missed by
+these with probability (1 - 0.8**5)**20 = 0.035 %, more similar ones less. Each candidate is then checked
+on the shingles themselves, so no link is below the limit.
 
 A bucket's rows are first compared with three of its rows only. Buckets that these links leave in
 several components are then compared in full, in tiles: a row is sent to the tiles of its bucket with
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from featlab.llm.common import LOWER, fresh, parts, written
 from featlab.llm.components import components
 from featlab.llm.exact_dedup import marked
+from featlab.llm.simhash import near_links
 
 WORDS = 5
 #: Least Jaccard similarity as a fraction, so that the limit is exact.
@@ -64,6 +67,14 @@ def bands(own: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The set's SimHash as a signed long: a bit is 1 if more than half the shingles have it; no shingles: 0."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(own), _CHUNK):
+        total += np.unpackbits(own[k : k + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(own), bitorder="little").view("<i8")[0])
+
+
 def _digest(own: np.ndarray) -> int:
     import xxhash
 
@@ -71,16 +82,16 @@ def _digest(own: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, t, s, n, keys), one row for each row of docs: digests of the text and of its set, the set's size and buckets."""
+    """(id, t, s, n, fp, keys), one row for each row of docs: digests of the text and of its set, the set's size, fingerprint and buckets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sets = [shingles(t, words) for t in rows["text"]]
-            yield pd.DataFrame({"id": rows["id"], "t": rows["t"], "s": [_digest(x) for x in sets], "n": [len(x) for x in sets], "keys": [bands(x) for x in sets]})
+            yield pd.DataFrame({"id": rows["id"], "t": rows["t"], "s": [_digest(x) for x in sets], "n": [len(x) for x in sets], "fp": [fingerprint(x) for x in sets], "keys": [bands(x) for x in sets]})
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
-    return rows.mapInPandas(run, "id string, t long, s long, n long, keys array<long>").withColumn("id", F.col("id").try_cast("long"))
+    return rows.mapInPandas(run, "id string, t long, s long, n long, fp long, keys array<long>").withColumn("id", F.col("id").try_cast("long"))
 
 
 def _sets(docs: DataFrame, text_col: str, words: int, needed: DataFrame) -> DataFrame:
@@ -185,16 +196,26 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
     return held.select("cell", "s", "c", "own").mapInPandas(run, "a long, b long").distinct()
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """nodes: (s, fp). (a, b) sets to check: each with the least set of its fingerprint, and the least sets of fingerprints within simhash.RADIUS bits."""
+    least = written(nodes.groupBy("fp").agg(F.min("s").alias("c"), F.count("*").alias("m")), "fingerprints")
+    same = nodes.join(least.where("m > 1"), "fp").where("s <> c").select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b"))
+    links = near_links(least.select("fp"))
+    one, two = least.select(F.col("fp").alias("a"), F.col("c").alias("p")), least.select(F.col("fp").alias("b"), F.col("c").alias("q"))
+    return same.unionByName(links.join(one, "a").join(two, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(id, t, s) of each row of docs, t and s digests of its text and its set, and (s, c) of the sets that are not alone, c their component."""
     rows = written(_signatures(docs, id_col, text_col, words), "signatures")
-    nodes = written(rows.groupBy("s").agg(F.min("t").alias("t"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
+    nodes = written(rows.groupBy("s").agg(F.min("t").alias("t"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
     spread = nodes.select("s", "n", F.explode("keys").alias("key"))
     centres = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("s").alias("c0"), F.max("s").alias("c1"), F.min_by("s", F.xxhash64("s")).alias("c2")).where("size > 1")
     held = written(spread.join(centres, "key"), "buckets")
     ends = held.select("s", F.explode(F.array("c0", "c1", "c2")).alias("c")).where("s <> c").select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).distinct()
-    first = written(ends, "pairs")
-    needed = nodes.join(held.select("s").distinct(), "s", "left_semi").select("t")
+    first = written(ends.unionByName(_by_fingerprint(nodes.where("n > 0"))).distinct(), "pairs")
+    ends_too = first.select(F.explode(F.array("a", "b")).alias("s"))
+    needed = nodes.join(held.select("s").unionByName(ends_too).distinct(), "s", "left_semi").select("t")
     sets = written(_sets(docs, text_col, words, needed), "sets")
     links = written(_checked(first, sets, similarity), "near-links")
     linked = written(components(links, "a", "b"), "near-stars")

@@ -58,3 +58,19 @@ def test_odd_rows(spark):
     assert of[3] == of[5] == of[9] == 3 and of[4] == of[2] == 2 and of[7] == of[8] == 7 and of[10] == of[11] == 10 and of[12] == 12
     assert near_copies.near_components(docs(spark, [])).count() == 0
     assert near_copies.drop_near_copies(docs(spark, [(1, "a", "x"), (1, "a", "x")])).count() == 1
+
+
+def test_fingerprints_alone_find_what_they_reach(spark):
+    """SimHash gives candidates of its own: with no min-hash bucket at all, sets whose fingerprints are near are still linked, after the exact check."""
+    assert corpus_pipeline.STAGES[2][0] == "simhash near-dedup"
+    base = [f"w{i}" for i in range(4000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(f"v{i}" for i in range(400))), (4, "")]
+    a, b = (near_copies.fingerprint(near_copies.shingles(t)) for _, t in rows[:2])
+    assert bin((a ^ b) & (2**64 - 1)).count("1") <= 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_copies._signatures(frame, "doc_id", "text", 5).where("n > 0")
+    pairs = near_copies._by_fingerprint(nodes)
+    checked = near_copies._checked(pairs, near_copies._sets(frame, "text", 5, nodes.select("t")), near_copies.SIMILARITY)
+    ids = {r["s"]: r["id"] for r in nodes.collect()}
+    assert [{ids[r["a"]], ids[r["b"]]} for r in checked.collect()] == [{1, 2}]
+    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_components(frame).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
