@@ -27,3 +27,16 @@ def test_edge_sums_join_no_row_of_features_to_an_edge(spark):
     for of in (np.multiply, lambda a, b: np.abs(a - b)):
         got = graphs.edge_sums(wide, edges, of).orderBy("j").toPandas()["s"]
         assert np.allclose(got, sum((0.5 + k) * of(x[i], x[(7 * i + k) % 600]) for i in range(600) for k in range(3)))
+
+
+def test_rows_are_shipped_narrow_and_found_once(spark):
+    """Features that single precision holds take four bytes, others eight; both directions of an edge come from one search."""
+    rng = np.random.default_rng(1)
+    for x, size in ((rng.random((40, 3)).astype(np.float32).astype(float), 12), (rng.random((40, 3)), 24)):
+        assert {len(v) for v in metric_index.narrow(x)} == {size}
+        assert (metric_index.wide_again(metric_index.narrow(x), 3) == x).all()
+    mixed = [*metric_index.narrow(np.ones((2, 3))), *metric_index.narrow(np.full((1, 3), 0.1))]
+    assert (metric_index.wide_again(mixed, 3) == [[1] * 3, [1] * 3, [0.1] * 3]).all()
+    _, wide = _wide(spark)
+    plan = graphs.affinity(wide, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(") == 1
