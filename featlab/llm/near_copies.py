@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featlab.llm.common import LOWER, fresh, parts, written
+from featlab.llm.common import LOWER, fresh, lean, parts, written
 from featlab.llm.components import components
 from featlab.llm.exact_dedup import marked
 from featlab.llm.simhash import near_links
@@ -91,7 +91,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> Data
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
-    return rows.mapInPandas(run, "id string, t long, s long, n long, fp long, keys array<long>").withColumn("id", F.col("id").try_cast("long"))
+    return rows.mapInPandas(lean(run), "id string, t long, s long, n long, fp long, keys array<long>").withColumn("id", F.col("id").try_cast("long"))
 
 
 def _sets(docs: DataFrame, text_col: str, words: int, needed: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, text_col: str, words: int, needed: DataFrame) -> Data
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     rows = marked(docs.select(text).withColumn("t", F.xxhash64("text")), F.col("t"), needed, "may").where("may").join(needed, "t", "left_semi")
-    return rows.select("text").mapInPandas(run, "s long, own binary").dropDuplicates(["s"])
+    return rows.select("text").mapInPandas(lean(run), "s long, own binary").dropDuplicates(["s"])
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -120,7 +120,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
             yield rows.loc[np.array(keep, bool), ["a", "b"]]
 
     left, right = sets.select(F.col("s").alias("a"), F.col("own").alias("x")), sets.select(F.col("s").alias("b"), F.col("own").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(lean(run), "a long, b long")
 
 
 def common_shingles(some: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
@@ -193,7 +193,7 @@ def _across(mixed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> D
         if kept:
             yield found()
 
-    return held.select("cell", "s", "c", "own").mapInPandas(run, "a long, b long").distinct()
+    return held.select("cell", "s", "c", "own").mapInPandas(lean(run), "a long, b long").distinct()
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:

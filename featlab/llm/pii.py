@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featlab.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -513,7 +515,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     rows = docs.select(F.xxhash64(F.col(id_col), text).alias("h"), text.alias("text")).where(F.col("text").rlike("[0-9@]"))
     least = rows.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(most)
     sample = rows.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])  # `most` numbers at most
-    got = sample.select("h", "text").mapInPandas(nodes, "h long, graph binary").collect()
+    got = sample.select("h", "text").mapInPandas(lean(nodes), "h long, graph binary").collect()
     return fit_field([pickle.loads(r["graph"]) for r in sorted(got, key=lambda r: r["h"])])
 
 
@@ -536,7 +538,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
             )
 
     schema = "id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, schema).withColumn("id", F.col("id").try_cast("long")).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(lean(run), schema).withColumn("id", F.col("id").try_cast("long")).withColumnRenamed("id", id_col)
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None) -> DataFrame:
@@ -557,4 +559,4 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
                 columns["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
