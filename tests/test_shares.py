@@ -40,3 +40,14 @@ def test_rows_are_shipped_narrow_and_found_once(spark):
     _, wide = _wide(spark)
     plan = graphs.affinity(wide, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("run(") == 1
+
+
+def test_no_copy_of_the_rows_is_shuffled_for_a_share(spark):
+    """A task a share, and nothing between what is kept in order and the search."""
+    _, wide = _wide(spark, 1100)
+    for against in (None, wide.where("id % 2 = 0")):
+        near = metric_index.nearest(wide, against, 3, "euclidean", "any", 50)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan
+        assert near.rdd.getNumPartitions() == 3
+        assert near.count() == 3300
