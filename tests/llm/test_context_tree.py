@@ -189,3 +189,21 @@ def test_odd_rows(spark):
     rows = C.score(docs(spark)).collect()
     assert len(rows) == docs(spark).count() and all(r["score"] < 0 for r in rows)
     assert C.score(docs(spark, [])).count() == 0
+
+
+def test_a_block_is_opened_without_more_copies_of_its_text():
+    import pickle
+    import tracemalloc
+
+    import zstandard
+
+    one = b"some words of a text " * 5000 + C.END
+    n = 40
+    data, more = zstandard.ZstdCompressor(level=3).compress(one * n), pickle.dumps((list(range(n)), np.full(n, len(one)), [len(one)] * n))
+    tracemalloc.start()
+    block, _, _ = C.opened(data, more, C.DEPTH, C.Shards(16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert block.streams == [one] * n
+    # its streams, their bytes in a row and a shard of two bytes each; slices are bounded, and so are the tables of 65,536 contexts and shards
+    assert peak < 4 * n * len(one) + 180 * C.SLICE
